@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, quality_rules
+from . import bpe, fingerprint, quality_model, quality_rules, toxicity
 from .oracles import OP10
 
 #: Where the public vocabulary files are; a deployment sets its own folder.
@@ -30,10 +30,18 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.map_codes(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", digest_code, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_grades(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -41,7 +49,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_toxicity": op5_toxicity,
     "op7_fingerprints": op7_fingerprints,
+    "op9_quality_grades": op9_quality_grades,
     "op10_quality_rules": op10_quality_rules,
 }
 
