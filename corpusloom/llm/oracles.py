@@ -33,3 +33,88 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND {" AND ".join(f"{k} <= coalesce({k}_fence, 0)" for k in _FENCED)} AS kept
 FROM f LEFT JOIN fence ON f.lang IS NOT DISTINCT FROM fence.lang AND f.source IS NOT DISTINCT FROM fence.source
 """
+
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP1 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS p FROM d),
+k AS (SELECT *, translate(trim(line, {_STRIP}), '{_UP}', '{_LOW}') AS key FROM l),
+rep AS (SELECT key, max(doc_id) AS largest FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5),
+j AS (SELECT k.*, coalesce(rep.largest <> k.doc_id, false) AS goes FROM k LEFT JOIN rep ON rep.key = k.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (goes)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT goes), '')) AS kept_sha256
+FROM j GROUP BY r, doc_id
+"""
+
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+OP2_CUTOFF = 0.3
+
+
+def _level(name: str, key: str, groups: str) -> str:
+    """Prior strength of one level, by the method of moments."""
+    return f"""{name} AS (SELECT least(greatest(coalesce((r * (1 - r) - s2) / greatest(s2 - r * (1 - r) * g / t, 1e-9), 1000.0), 2.0), 1000.0) AS k FROM (
+  SELECT any_value(rate.r) AS r, sum(n * (bad / nullif(n, 0) - rate.r) * (bad / nullif(n, 0) - rate.r)) / nullif(sum(n), 0) AS s2, count(CASE WHEN n > 0 THEN 1 END) AS g, nullif(sum(n), 0) AS t FROM {groups}, rate))"""
+
+
+OP2 = rf"""
+WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{_UP}', '{_LOW}') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path, (len(regexp_extract_all(html, '[#*%$]{{3}}|!!')) >= 5)::INT AS bad FROM pages),
+labels_of AS (SELECT host, string_split(host, '.') AS ls, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM p GROUP BY host),
+hosts AS (SELECT host, n, bad, CASE WHEN list_aggregate(ls[-2:], 'string_agg', '.') IN ('co.uk', 'com.au', 'co.jp', 'com.br') THEN list_aggregate(ls[-3:], 'string_agg', '.') ELSE list_aggregate(ls[-2:], 'string_agg', '.') END AS domain,
+  CASE WHEN list_aggregate(ls[-2:], 'string_agg', '.') IN ('co.uk', 'com.au', 'co.jp', 'com.br') THEN list_aggregate(ls[-2:], 'string_agg', '.') ELSE ls[-1] END AS suffix FROM labels_of),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+rate AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS r FROM suffixes),
+{_level("ks", "suffix", "suffixes")},
+{_level("kd", "domain", "domains")},
+{_level("kh", "host", "hosts")},
+sm AS (SELECT suffix, (bad + k * r) / (n + k) AS m FROM suffixes, ks, rate),
+dm AS (SELECT domain, (bad + k * m) / (n + k) AS m FROM domains JOIN sm USING (suffix), kd),
+hm AS (SELECT host, n, (bad + k * m) / (n + k) AS m, k FROM hosts JOIN dm USING (domain), kh),
+low AS (SELECT host, m - 2 * sqrt(greatest(m * (1 - m), 0) / (n + k + 1)) AS low FROM hm),
+rules(verdict, rule) AS (VALUES {", ".join(f"('{v}', '{r}')" for v, r in RULES)}),
+fit AS (SELECT page_id, host, path, rule, verdict, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule) DESC, verdict DESC) AS k FROM (SELECT DISTINCT page_id, host, path FROM p) q, rules
+  WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/'))))
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN low.low > {OP2_CUTOFF} THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN low ON low.host = p.host LEFT JOIN fit f ON f.page_id = p.page_id AND f.host = p.host AND f.path = p.path AND f.k = 1
+"""
+
+OP3 = r"""
+WITH RECURSIVE s AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+), placed AS (SELECT *, (('0x' || substr(key, 1, 8))::BIGINT % greatest(1, ((SELECT count(*) FROM s) + 49999) // 50000))::INT AS shard FROM s),
+cell AS (SELECT source, shard, sum(size)::BIGINT AS cell_size FROM placed GROUP BY ALL),
+src AS (SELECT source, sum(cell_size)::BIGINT AS source_size FROM cell GROUP BY ALL),
+w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM src),
+level(i, x) AS (
+  SELECT 0, 0.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, (SELECT (1.5 * sum(source_size) - coalesce(sum(2 * source_size) FILTER (2 * source_size < weight * x), 0)) / sum(weight) FILTER (NOT 2 * source_size < weight * x) FROM w)::DOUBLE FROM level WHERE i < 60
+), t AS (SELECT *, least(weight * (SELECT max(x) FROM level), (2 * source_size)::DOUBLE) AS target FROM w),
+q AS (SELECT *, floor(target / 16 + 0.5)::BIGINT AS seats FROM t),
+c AS (SELECT cell.*, source_size, target, seats, floor(cell_size * (CASE WHEN source_size = 0 THEN 0 ELSE seats / source_size END) + 0.5)::BIGINT AS base FROM cell JOIN q ON cell.source IS NOT DISTINCT FROM q.source),
+b AS (SELECT *, (seats - sum(base) OVER (PARTITION BY source))::BIGINT AS short FROM c),
+e AS (SELECT *, unnest(range(1, ceil(abs(short) * cell_size / greatest(source_size, 1))::BIGINT + 3)) AS k FROM b WHERE short <> 0),
+f AS (SELECT *, CASE WHEN short > 0 THEN base + k ELSE base - k + 1 END AS number FROM e),
+g AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN short > 0 THEN -(cell_size / (2 * number - 1)) ELSE cell_size / (2 * number - 1) END, shard, k) AS rank FROM f WHERE number > 0),
+h AS (SELECT source, shard, sum(sign(short))::BIGINT AS change FROM g WHERE rank <= abs(short) GROUP BY ALL),
+quota AS (SELECT b.*, b.base + coalesce(h.change, 0) AS quota FROM b LEFT JOIN h ON h.source IS NOT DISTINCT FROM b.source AND h.shard = b.shard),
+line AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size AS start FROM placed)
+SELECT doc_id, size, source_size, target,
+  (least(greatest(quota * 16 - start, 0), size) + least(greatest(quota * 16 - cell_size - start, 0), size))::BIGINT AS taken
+FROM line l JOIN quota ON l.source IS NOT DISTINCT FROM quota.source AND l.shard = quota.shard
+"""
+
+OP6_LIMIT = 64 << 20
+#: Ids only: enough wherever rows of one id do not exceed the limit together.
+OP6 = rf"""
+WITH r AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT), 60, '0') AS bits FROM documents),
+p AS (SELECT doc_id, bytes, unnest(range(0, 31)) AS depth, bits FROM r),
+held AS (SELECT depth, substr(bits, 1, depth) AS prefix, sum(bytes)::BIGINT AS shard_bytes, count(*)::BIGINT AS shard_docs FROM p GROUP BY ALL),
+fits AS (SELECT * FROM held WHERE shard_bytes <= {OP6_LIMIT} OR shard_docs = 1),
+leaf AS (SELECT *, row_number() OVER (ORDER BY prefix) - 1 AS shard FROM fits f WHERE depth = 0 OR NOT EXISTS (SELECT 1 FROM fits g WHERE g.depth = f.depth - 1 AND g.prefix = substr(f.prefix, 1, f.depth - 1)))
+SELECT doc_id, bytes, shard::BIGINT AS shard, prefix, leaf.depth::INT AS depth, shard_bytes, shard_docs
+FROM r JOIN leaf ON substr(r.bits, 1, leaf.depth) = leaf.prefix
+"""

@@ -8,8 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, quality_model, quality_rules, toxicity
-from .oracles import OP10
+from . import bpe, fingerprint, line_dedup, mixing, quality_model, quality_rules, sharding, toxicity, url_reputation
+from .oracles import OP1, OP2, OP2_CUTOFF, OP3, OP6, OP6_LIMIT, OP10, RULES
 
 #: Where the public vocabulary files are; a deployment sets its own folder.
 TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -19,6 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a page counts as bad if its markup holds five runs of symbols or shouts
+    bad = F.regexp_count("html", F.lit(r"[#*%$]{3}|!!")) >= 5
+    judged = url_reputation.judge_urls(table(spark, sf_dir, "pages"), bad, RULES, OP2_CUTOFF)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 def digest_code(code: bpe.Coded) -> tuple:
     """n_tokens, ids_sha256 and decoded_sha256 of one coded text."""
     decimals, labels = code[1], code[2]
@@ -34,6 +50,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), OP6_LIMIT).drop("place")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -48,11 +68,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_url_reputation": op2_url_reputation,
+    "op3_source_mix": op3_source_mix,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_toxicity": op5_toxicity,
+    "op6_sharding": op6_sharding,
     "op7_fingerprints": op7_fingerprints,
     "op9_quality_grades": op9_quality_grades,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL = {"op10_quality_rules": OP10}
+ORACLE_SQL = {"op1_line_dedup": OP1, "op2_url_reputation": OP2, "op3_source_mix": OP3, "op6_sharding": OP6, "op10_quality_rules": OP10}
