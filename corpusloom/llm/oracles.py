@@ -118,3 +118,20 @@ leaf AS (SELECT *, row_number() OVER (ORDER BY prefix) - 1 AS shard FROM fits f
 SELECT doc_id, bytes, shard::BIGINT AS shard, prefix, leaf.depth::INT AS depth, shard_bytes, shard_docs
 FROM r JOIN leaf ON substr(r.bits, 1, leaf.depth) = leaf.prefix
 """
+
+OP8 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM w WHERE len(ws) > 0),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS g FROM p),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+f AS (SELECT g, count(*) AS c FROM sh GROUP BY 1),
+-- linked sets share a shingle among each one's rarest n - ceil(0.75 n) + 1
+rare AS MATERIALIZED (SELECT doc_id, g FROM (SELECT sh.doc_id, sh.g, n.n, row_number() OVER (PARTITION BY sh.doc_id ORDER BY f.c, sh.g) AS r FROM sh JOIN f USING (g) JOIN n USING (doc_id)) WHERE r <= n - ((3 * n + 3) // 4) + 1),
+cand AS MATERIALIZED (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM rare x JOIN rare y ON x.g = y.g AND x.doc_id < y.doc_id JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id WHERE 100 * least(nx.n, ny.n) >= 75 * greatest(nx.n, ny.n)),
+cap AS (SELECT a, b, count(*) AS shared FROM cand JOIN sh x ON x.doc_id = a JOIN sh y ON y.doc_id = b AND y.g = x.g GROUP BY 1, 2),
+link AS MATERIALIZED (SELECT a, b FROM cap JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+sym AS MATERIALIZED (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(id, other) AS (SELECT a, b FROM sym UNION SELECT reach.id, sym.b FROM reach JOIN sym ON sym.a = reach.other)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m.least_id, w.doc_id)) AS component_id, w.doc_id <= coalesce(m.least_id, w.doc_id) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT id, min(other) AS least_id FROM reach GROUP BY 1) m ON m.id = w.doc_id
+"""

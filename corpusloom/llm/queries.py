@@ -8,8 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, line_dedup, mixing, quality_model, quality_rules, sharding, toxicity, url_reputation
-from .oracles import OP1, OP2, OP2_CUTOFF, OP3, OP6, OP6_LIMIT, OP10, RULES
+from . import bpe, fingerprint, line_dedup, mixing, near_dup, quality_model, quality_rules, sharding, toxicity, url_reputation
+from .oracles import OP1, OP2, OP2_CUTOFF, OP3, OP6, OP6_LIMIT, OP8, OP10, RULES
 
 #: Where the public vocabulary files are; a deployment sets its own folder.
 TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -58,6 +58,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_grades(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -75,8 +79,9 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_fingerprints": op7_fingerprints,
+    "op8_near_dup": op8_near_dup,
     "op9_quality_grades": op9_quality_grades,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL = {"op1_line_dedup": OP1, "op2_url_reputation": OP2, "op3_source_mix": OP3, "op6_sharding": OP6, "op10_quality_rules": OP10}
+ORACLE_SQL = {"op1_line_dedup": OP1, "op2_url_reputation": OP2, "op3_source_mix": OP3, "op6_sharding": OP6, "op8_near_dup": OP8, "op10_quality_rules": OP10}
