@@ -40,6 +40,7 @@ from ._arrow import project, ranked, texts_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 16
+BROADCAST_BYTES = 64 << 20
 
 
 def document_sizes(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -115,6 +116,9 @@ def take(docs: DataFrame, **parameters: object) -> DataFrame:
     rows = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     plan = mix(docs, **parameters).groupBy(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__own"))
     plan = plan.agg(F.floor(F.sum("taken") / F.count("*")).cast("long").alias("__taken")).filter("__taken > 0")
+    plan = materialize(plan, "mix-plan")
+    if plan.count() * 64 <= BROADCAST_BYTES:  # else both sides are shuffled by id
+        plan = F.broadcast(plan)
     joined = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__own")))
     joined = joined.select(*(F.col(f"`{c}`") for c in docs.columns), "__size", "__taken")
     arrow = to_arrow_schema(docs.schema)

@@ -303,9 +303,12 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay: of each component the rows with its smallest id, and of equal rows of that id one.
+    """The documents that stay: of each component the rows with its smallest id.
 
     What is joined with the texts is one id per removed document.
     """
     gone = components(docs, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = materialize(gone, "near-gone")
+    if gone.count() * 16 <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
     return docs.join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")

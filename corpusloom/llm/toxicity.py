@@ -17,12 +17,15 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _hashed
-from ._arrow import project
+from ._arrow import project, slices, texts_of
 
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 6.0, 1.0, 3
 
@@ -50,10 +53,30 @@ def fit(held: list[np.ndarray], grades: np.ndarray) -> tuple[np.ndarray, list[fl
     return model.weights(), [bias]
 
 
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample_rows: int = _hashed.SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Slots and weights other than 0, and the intercept."""
+    at, weight, (bias, *_) = _hashed.train(_hashed.labelled(docs, labels, label, sample_rows, doc_id=doc_id, text=text), fit)
+    return at, weight, bias
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample_rows: int = _hashed.SAMPLE_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    sample = _hashed.labelled(docs, labels, label, sample_rows, doc_id=doc_id, text=text)
-    at, weight, (bias, *_) = _hashed.train(sample, fit)
+    at, weight, bias = learn(docs, labels, label, doc_id, text, sample_rows)
     scored = _hashed.score(project(docs, doc_id=doc_id, text=text), at, weight, lambda m: {"score": sigmoid(m + bias)}, "score double")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", **parameters: object) -> DataFrame:
+    """The rows of ``docs`` whose score stays below 0.5, as they are; filtered where they are read."""
+    at, weight, bias = learn(docs, labels, text=text, **parameters)
+    held = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), weight))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = np.zeros(_hashed.SLOTS)
+        dense[held.value[0]] = held.value[1]
+        for batch in batches:
+            for part in slices(batch, text):
+                yield part.filter(pa.array(sigmoid(_hashed.margins(texts_of(part.column(text)), dense) + bias) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
