@@ -1,6 +1,529 @@
-"""Registered queries over the driver's tables, with their SQL."""
+"""Registered queries over the driver's tables, with DuckDB SQL that gives the same rows.
+
+Every query reads its whole tables.  Searches take as queries the rows whose id is
+divisible by 20 and compare them with all rows.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as fn
+from ..functions.numeric import qnorm_sql
+from ..operators import evaluate, matrix, similarity, vectorize
+from ..operators.collocations import Collocations
+from ..operators.glove import GloVe
+from ..operators.lda import LatentDirichletAllocation
+from ..operators.lsa import LatentSemanticAnalysis
+from ..operators.rwmd import RelaxedWordMovers
+from ..operators.vocabulary import Vocabulary, combine, create_vocabulary, prune, vocabulary_of_terms
+from ..operators.weighting import BiNormalSeparation, TfIdf
+from ..session import materialize
+from ..sources.documents import tokens
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+STOP = ["the", "of", "and", "der", "die", "la", "de"]
+_P = fn.WORD.replace("'", "''")
+_STOP = ", ".join(f"'{w}'" for w in STOP)
+_TOK = f"tok AS (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '{_P}') AS ts FROM documents)"
+_FLAT = f"{_TOK}, flat AS (SELECT doc_id, lang, unnest(ts) AS term, unnest(range(1, len(ts) + 1)) AS pos FROM tok)"
+_STAT = "SELECT term, count(*)::BIGINT AS term_count, count(DISTINCT doc_id)::BIGINT AS doc_count FROM {} GROUP BY term"
+_VOC = f"{_FLAT}, voc AS ({_STAT.format('flat')})"
+#: The vocabulary of the matrix queries: terms of 50 occurrences or more in at most half of the documents.
+_PRUNED = f"{_VOC}, v AS (SELECT * FROM voc WHERE term_count >= 50 AND doc_count <= 0.5 * (SELECT count(*) FROM documents))"
+_DTM = f"{_PRUNED}, dtm AS (SELECT doc_id, term, count(*)::DOUBLE AS value FROM flat JOIN v USING (term) GROUP BY ALL)"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if it has one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(table(spark, sf_dir, "documents"), F.lower, fn.word_tokens)
+
+
+def pruned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Vocabulary]:
+    """Tokens, and the vocabulary of the matrix queries (written once, as it is used many times)."""
+    own = words(spark, sf_dir)
+    v = prune(create_vocabulary(own), term_count_min=50, doc_proportion_max=0.5)
+    return own, Vocabulary(materialize(v.terms, "vocabulary"), v.document_count)
+
+
+def counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Vocabulary]:
+    own, v = pruned(spark, sf_dir)
+    return vectorize.create_dtm(own, vectorize.VocabVectorizer(v)), v
+
+
+def cells(m: DataFrame) -> DataFrame:
+    return m.select("doc_id", F.col("column").alias("term"), F.round("value", 6).alias("value"))
+
+
+# ---- tokens -------------------------------------------------------------------------------
+
+
+def _listed(own: DataFrame) -> DataFrame:
+    return own.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"))
+
+
+_DIGEST = "SELECT doc_id, len(ts)::BIGINT AS n_tokens, md5(array_to_string(ts, ' ')) AS digest FROM tok"
+
+
+@query(f"WITH {_TOK} {_DIGEST}")
+def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(words(spark, sf_dir))
+
+
+@query(f"WITH tok AS (SELECT doc_id, string_split(lower(text), ' ') AS ts FROM documents) {_DIGEST}")
+def space_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(tokens(table(spark, sf_dir, "documents"), F.lower, fn.space_tokens))
+
+
+@query("SELECT doc_id, length_grapheme(text)::BIGINT AS n_tokens FROM documents")
+def char_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tokens(table(spark, sf_dir, "documents"), tokenize=fn.char_tokens)
+    return own.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+@query(f"WITH {_TOK}, f AS (SELECT doc_id, list_filter(ts, lambda t: t NOT IN ({_STOP})) AS ts FROM tok), tok2 AS (SELECT doc_id, flatten(list_transform(range(1, len(ts) + 1), lambda i: list_filter([ts[i], CASE WHEN i + 1 <= len(ts) THEN ts[i] || '_' || ts[i + 1] END, CASE WHEN i + 2 <= len(ts) THEN ts[i] || '_' || ts[i + 1] || '_' || ts[i + 2] END], lambda g: g IS NOT NULL))) AS ts FROM f) {_DIGEST.replace('FROM tok', 'FROM tok2')}")
+def ngrams_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(words(spark, sf_dir).withColumn("tokens", fn.ngrams(F.col("tokens"), 1, 3, STOP)))
+
+
+# ---- vocabularies -------------------------------------------------------------------------
+
+
+@query(f"WITH {_VOC} SELECT * FROM voc")
+def vocab_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return create_vocabulary(words(spark, sf_dir)).terms
+
+
+_BIGRAMS = f"{_TOK}, f AS (SELECT doc_id, list_filter(ts, lambda t: t NOT IN ({_STOP})) AS ts FROM tok), grams AS (SELECT doc_id, unnest(ts) AS term FROM f UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ts)), lambda i: ts[i] || '_' || ts[i + 1])) FROM f)"
+
+
+@query(f"WITH {_BIGRAMS} {_STAT.format('grams')}")
+def vocab_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return create_vocabulary(words(spark, sf_dir), ngram=(1, 2), stopwords=STOP).terms
+
+
+@query(f"WITH {_FLAT} {_STAT.format('flat WHERE term NOT IN (' + _STOP + ')')}")
+def vocab_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return create_vocabulary(words(spark, sf_dir), stopwords=STOP).terms
+
+
+@query(f"WITH {_TOK}, w AS (SELECT doc_id, ts, unnest(range(1, greatest(len(ts) - 4, 1) + 1)) AS i FROM tok), g AS (SELECT doc_id, i, unnest(list_distinct(ts[i:i + 4])) AS term FROM w) SELECT term, count(*)::BIGINT AS term_count, count(*)::BIGINT AS doc_count FROM g GROUP BY term")
+def vocab_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return create_vocabulary(words(spark, sf_dir), window=5).terms
+
+
+@query(f"WITH {_VOC} SELECT * FROM voc WHERE term_count BETWEEN 10 AND 5000 AND doc_count BETWEEN 5 AND 400 AND doc_count / (SELECT count(*) FROM documents) BETWEEN 0.002 AND 0.6")
+def vocab_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prune(create_vocabulary(words(spark, sf_dir)), 10, 5000, 0.002, 0.6, 5, 400).terms
+
+
+@query(f"WITH {_VOC} SELECT * FROM voc WHERE doc_count <= 0.5 * (SELECT count(*) FROM documents) ORDER BY term_count DESC, term LIMIT 20")
+def vocab_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k report: the 20 most frequent terms of those in at most half of the documents."""
+    return prune(create_vocabulary(words(spark, sf_dir)), doc_proportion_max=0.5, vocab_term_max=20).terms
+
+
+@query(f"WITH {_BIGRAMS} {_STAT.format('grams')}")
+def vocab_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vocabularies of the English and of all other documents, combined."""
+    docs = table(spark, sf_dir, "documents")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    parts = [create_vocabulary(tokens(docs.filter(side), F.lower, fn.word_tokens), (1, 2), STOP) for side in (english, ~english)]
+    return combine(*parts).terms
+
+
+@query(f"WITH {_FLAT} SELECT DISTINCT term FROM flat WHERE term NOT IN ({_STOP})")
+def vocab_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = words(spark, sf_dir).select(F.explode("tokens").alias("term"))
+    return vocabulary_of_terms(own, stopwords=STOP).terms.select("term")
+
+
+@query(f"WITH {_VOC} SELECT term, (row_number() OVER (ORDER BY term_count, term) - 1)::INT AS term_id FROM voc")
+def vocab_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return create_vocabulary(words(spark, sf_dir)).with_ids().select("term", "term_id")
+
+
+@query("WITH tok AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS ts FROM part), flat AS (SELECT p_partkey AS doc_id, unnest(ts) AS term FROM tok) " + _STAT.format("flat WHERE term <> ''"))
+def part_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return create_vocabulary(tokens(table(spark, sf_dir, "part"), F.lower, fn.space_tokens, "p_partkey", "p_name")).terms
+
+
+@query(f"WITH tok AS (SELECT page_id, regexp_extract_all(lower(regexp_replace(html, '<[^>]*>', ' ', 'g')), '{_P}') AS ts FROM pages), flat AS (SELECT page_id AS doc_id, unnest(ts) AS term FROM tok) " + _STAT.format("flat"))
+def page_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A preprocessor that strips markup comes before the tokenizer."""
+    plain = lambda c: F.lower(F.regexp_replace(c, "<[^>]*>", " "))
+    return create_vocabulary(tokens(table(spark, sf_dir, "pages"), plain, fn.word_tokens, "page_id", "html")).terms
+
+
+# ---- document-term matrices ---------------------------------------------------------------
+
+
+@query(f"WITH {_DTM} SELECT * FROM dtm")
+def dtm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(counts(spark, sf_dir)[0])
+
+
+@query(f"WITH {_DTM} SELECT doc_id, term, round(value / sum(value) OVER (PARTITION BY doc_id), 6) AS value FROM dtm")
+def dtm_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(matrix.normalize(counts(spark, sf_dir)[0], "l1"))
+
+
+@query(f"WITH {_DTM} SELECT doc_id, term, round(value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)), 6) AS value FROM dtm")
+def dtm_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(matrix.normalize(counts(spark, sf_dir)[0], "l2"))
+
+
+_IDF = "idf AS (SELECT term, ln(1 + (SELECT count(*) FROM documents) / count(*)) AS idf FROM dtm GROUP BY term)"
+
+
+@query(f"WITH {_DTM}, {_IDF} SELECT doc_id, term, round(value / sum(value) OVER (PARTITION BY doc_id) * idf, 6) AS value FROM dtm JOIN idf USING (term)")
+def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, v = counts(spark, sf_dir)
+    return cells(TfIdf().fit_transform(m, v.document_count))
+
+
+@query(f"WITH {_DTM}, idf AS (SELECT term, ln((SELECT count(*) FROM documents) / count(*)) AS idf FROM dtm GROUP BY term), s AS (SELECT doc_id, term, 1 + ln(value) AS value FROM dtm) SELECT doc_id, term, round(value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)) * idf, 6) AS value FROM s JOIN idf USING (term)")
+def tfidf_sublinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, v = counts(spark, sf_dir)
+    return cells(TfIdf(smooth_idf=False, norm="l2", sublinear_tf=True).fit_transform(m, v.document_count))
+
+
+@query(f"WITH {_DTM}, ids AS (SELECT term, row_number() OVER (ORDER BY term_count, term) - 1 AS id FROM v), l AS (SELECT doc_id, list(id ORDER BY id) AS idx, list(value::INT ORDER BY id) AS cnt FROM dtm JOIN ids USING (term) GROUP BY 1) SELECT d.doc_id, coalesce(array_to_string(idx, ','), '') AS idx, coalesce(array_to_string(cnt, ','), '') AS cnt FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id")
+def dtm_lda_c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, v = counts(spark, sf_dir)
+    made = vectorize.lda_c(m, v.with_ids().select("term", "term_id"), table(spark, sf_dir, "documents"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return made.select("doc_id", joined("idx"), joined("cnt"))
+
+
+_CLIP = "least(greatest({}, 0.0005), 0.9995)"
+_BNS = f"""{_DTM}, y AS (SELECT doc_id, quality = 1 AS pos FROM labels WHERE quality IS NOT NULL), t AS (SELECT count(*) FILTER (pos) AS np, count(*) FILTER (NOT pos) AS nn FROM y),
+h AS (SELECT term, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS n FROM dtm JOIN y USING (doc_id) GROUP BY term),
+r AS (SELECT v.term, {_CLIP.format('coalesce(p, 0) / np')} AS tpr, {_CLIP.format('coalesce(n, 0) / nn')} AS fpr FROM v LEFT JOIN h USING (term), t)
+SELECT term, round(abs({qnorm_sql('tpr')} - {qnorm_sql('fpr')}), 6) AS bns, {qnorm_sql('tpr')} - {qnorm_sql('fpr')} > 0 AS positive FROM r"""
+
+
+@query(f"WITH {_BNS}")
+def bns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, v = counts(spark, sf_dir)
+    y = table(spark, sf_dir, "labels").filter("quality IS NOT NULL").select("doc_id", (F.col("quality") == 1).alias("positive"))
+    return BiNormalSeparation().fit(m, y, v.terms).stat.select("term", F.round("bns", 6).alias("bns"), "positive")
+
+
+@query()
+def hash_dtm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorize.create_dtm(words(spark, sf_dir), vectorize.HashVectorizer(1 << 14, (1, 2), signed=True))
+
+
+# ---- co-occurrence ------------------------------------------------------------------------
+
+
+def _tcm_sql(i: str, j: str, distinct: bool = False) -> str:
+    nearest = "SELECT doc_id, pos, a, b, min(d) AS d FROM p GROUP BY ALL" if distinct else "SELECT * FROM p"
+    return f"""WITH {_PRUNED}, p AS (SELECT x.doc_id, x.pos, x.term AS a, y.term AS b, y.pos - x.pos AS d FROM flat x JOIN v vx ON vx.term = x.term JOIN flat y ON y.doc_id = x.doc_id AND y.pos > x.pos AND y.pos <= x.pos + 5 JOIN v vy ON vy.term = y.term),
+q AS ({nearest}) SELECT {i} AS i, {j} AS j, round(sum(1 / d), 6) AS value FROM q GROUP BY 1, 2"""
+
+
+def _tcm(spark: SparkSession, sf_dir: str, **parameters: object) -> DataFrame:
+    own, v = pruned(spark, sf_dir)
+    return vectorize.create_tcm(own, vectorize.VocabVectorizer(v), 5, **parameters).withColumn("value", F.round("value", 6))
+
+
+@query(_tcm_sql("least(a, b)", "greatest(a, b)"))
+def tcm_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tcm(spark, sf_dir)
+
+
+@query(_tcm_sql("a", "b"))
+def tcm_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tcm(spark, sf_dir, context="right")
+
+
+@query(_tcm_sql("b", "a"))
+def tcm_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tcm(spark, sf_dir, context="left")
+
+
+@query(_tcm_sql("least(a, b)", "greatest(a, b)", distinct=True))
+def tcm_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tcm(spark, sf_dir, binary=True)
+
+
+@query(f"WITH {_PRUNED} SELECT term, count(*)::BIGINT AS n FROM flat JOIN v USING (term) GROUP BY term")
+def tcm_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, v = pruned(spark, sf_dir)
+    return vectorize.word_count(own, vectorize.VocabVectorizer(v))
+
+
+_FEW = _PRUNED.replace("term_count >= 50", "term_count >= 300")
+
+
+@query(f"WITH {_FEW}, b AS (SELECT DISTINCT doc_id, term FROM flat JOIN v USING (term)) SELECT x.term AS i, y.term AS j, count(*)::DOUBLE AS value FROM b x JOIN b y USING (doc_id) GROUP BY 1, 2")
+def tcm_crossprod(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorize.cross_product(_few(spark, sf_dir)[0])
+
+
+def _few(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Vocabulary]:
+    """Counts over terms of 300 occurrences or more: a vocabulary fit for pairs of terms."""
+    own = words(spark, sf_dir)
+    v = prune(create_vocabulary(own), term_count_min=300, doc_proportion_max=0.5)
+    v = Vocabulary(materialize(v.terms, "vocabulary"), v.document_count)
+    return vectorize.create_dtm(own, vectorize.VocabVectorizer(v)), v
+
+
+@query()
+def tcm_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorize.create_tcm(words(spark, sf_dir), vectorize.HashVectorizer(1 << 10), 2)
+
+
+# ---- collocations -------------------------------------------------------------------------
+
+_LL = "({k} * ln(CASE WHEN {p} = 0 THEN 1 ELSE {p} END) + ({n} - {k}) * ln(CASE WHEN 1 - {p} = 0 THEN 1 ELSE 1 - {p} END))"
+_LLR = "-2 * (" + _LL.format(p="(n_j / n)", n="n_i", k="n_ij") + " + " + _LL.format(p="(n_j / n)", n="(n - n_i)", k="(n_j - n_ij)") + " - " + _LL.format(p="(n_ij / n_i)", n="n_i", k="n_ij") + " - " + _LL.format(p="((n_j - n_ij) / (n - n_i))", n="(n - n_i)", k="(n_j - n_ij)") + ")"
+_COLLOC = f"""{_VOC}, v AS (SELECT * FROM voc WHERE term_count >= 5), t AS (SELECT sum(term_count)::DOUBLE AS n FROM v),
+pairs AS (SELECT x.term AS prefix, y.term AS suffix, count(*)::DOUBLE AS n_ij FROM flat x JOIN flat y ON y.doc_id = x.doc_id AND y.pos = x.pos + 1 GROUP BY 1, 2 HAVING count(*) >= 5),
+s AS (SELECT prefix, suffix, a.term_count::DOUBLE AS n_i, b.term_count::DOUBLE AS n_j, n_ij, n FROM pairs JOIN v a ON a.term = prefix JOIN v b ON b.term = suffix, t),
+sc AS (SELECT prefix, suffix, n_i, n_j, n_ij, log2(n_ij) - log2(n_i) - log2(n_j) + log2(n) AS pmi, 3 * log2(n_ij) - log2(n_i) - log2(n_j) - log2(n) AS lfmd, (n_ij - 5) * n / (n_i * n_j) AS gensim, {_LLR} AS llr FROM s)
+SELECT prefix, suffix, n_i::BIGINT AS n_i, n_j::BIGINT AS n_j, n_ij::BIGINT AS n_ij, round(pmi, 6) AS pmi, round(lfmd, 6) AS lfmd, round(gensim, 6) AS gensim, round(llr, 4) AS llr FROM sc"""
+
+
+def _scored(c: Collocations) -> DataFrame:
+    return c.stat.select("prefix", "suffix", "n_i", "n_j", "n_ij", F.round("pmi", 6).alias("pmi"), F.round("lfmd", 6).alias("lfmd"), F.round("gensim", 6).alias("gensim"), F.round("llr", 4).alias("llr"))
+
+
+def _open(**thresholds: float) -> Collocations:
+    everything = {"pmi_min": float("-inf"), "gensim_min": float("-inf"), "llr_min": float("-inf")}
+    return Collocations(count_min=5, **everything | thresholds)
+
+
+@query(f"WITH {_COLLOC}")
+def colloc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(_open().fit(words(spark, sf_dir)))
+
+
+@query(f"WITH {_COLLOC} WHERE pmi >= 3 AND gensim >= 0.5 AND lfmd >= -15 AND llr >= 10")
+def colloc_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(_open().fit(words(spark, sf_dir)).prune(pmi_min=3.0, gensim_min=0.5, lfmd_min=-15.0, llr_min=10.0))
+
+
+@query()
+def colloc_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = words(spark, sf_dir)
+    return _listed(_open(pmi_min=3.0).fit(own, 2).transform(own))
+
+
+# ---- similarity ---------------------------------------------------------------------------
+
+
+@query(f"WITH {_DTM}, u AS (SELECT doc_id, term, value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)) AS v FROM dtm) SELECT x.doc_id AS x_id, y.doc_id AS y_id, round(sum(x.v * y.v), 6) AS sim FROM u x JOIN u y USING (term) WHERE x.doc_id % 20 = 0 GROUP BY 1, 2")
+def cosine_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = counts(spark, sf_dir)[0]
+    return similarity.sim2(m.filter("doc_id % 20 = 0"), m).withColumn("sim", F.round("sim", 6))
+
+
+_SETS = "s AS (SELECT DISTINCT doc_id, term FROM dtm), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT x.doc_id AS x_id, y.doc_id AS y_id, count(*) AS k FROM s x JOIN s y USING (term) WHERE x.doc_id % 20 = 0 GROUP BY 1, 2)"
+
+
+@query(f"WITH {_DTM}, {_SETS} SELECT x_id, y_id, round(k / (a.n + b.n - k), 6) AS sim FROM c JOIN n a ON a.doc_id = x_id JOIN n b ON b.doc_id = y_id")
+def jaccard_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = counts(spark, sf_dir)[0]
+    return similarity.sim2(m.filter("doc_id % 20 = 0"), m, "jaccard").withColumn("sim", F.round("sim", 6))
+
+
+@query(f"WITH {_DTM}, {_SETS} SELECT x_id, y_id, round(1 - k / (a.n + b.n - k), 6) AS dist FROM c JOIN n a ON a.doc_id = x_id JOIN n b ON b.doc_id = y_id")
+def jaccard_dist_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = counts(spark, sf_dir)[0]
+    return similarity.dist2(m.filter("doc_id % 20 = 0"), m, "jaccard").withColumn("dist", F.round("dist", 6))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+_UNIT = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM e)"
+
+
+@query(f"WITH {_UNIT} SELECT x.vec_id AS x_id, y.vec_id AS y_id, round(list_inner_product(x.v, y.v) / (x.n * y.n), 6) AS value FROM u x, u y WHERE x.vec_id % 20 = 0")
+def cosine_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    return similarity.dense(rows.filter("id % 20 = 0"), rows).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {_UNIT} SELECT x.vec_id AS x_id, y.vec_id AS y_id, round(list_distance(x.v, y.v), 6) AS value FROM u x, u y WHERE x.vec_id % 20 = 0")
+def euclidean_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    return similarity.dense(rows.filter("id % 20 = 0"), rows, "euclidean", "none").withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {_UNIT}, r AS (SELECT x.vec_id AS x_id, y.vec_id AS y_id, list_inner_product(x.v, y.v) / (x.n * y.n) AS value FROM u x, u y WHERE x.vec_id % 20 = 0 AND x.vec_id <> y.vec_id) SELECT x_id, y_id, round(value, 6) AS value, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY x_id ORDER BY value DESC, y_id) AS place FROM r) WHERE place <= 10")
+def nearest_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k report: the ten nearest of each query vector."""
+    rows = _vectors(spark, sf_dir)
+    return similarity.nearest(rows.filter("id % 20 = 0"), rows, 10).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {_DTM}, a AS (SELECT doc_id, term, value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)) AS v FROM dtm), s AS (SELECT doc_id, term, 1.0 AS value FROM dtm), b AS (SELECT doc_id, term, value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)) AS v FROM s) SELECT doc_id, round(sum(a.v * b.v), 6) AS sim FROM a JOIN b USING (doc_id, term) GROUP BY 1")
+def psim_counts_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rowwise cosine of each document's counts and its set of terms."""
+    m = materialize(counts(spark, sf_dir)[0], "dtm")
+    return similarity.psim2(m, m.withColumn("value", F.lit(1.0))).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"WITH {_UNIT}, o AS (SELECT vec_id, v, list_reverse(v) AS w FROM u) SELECT vec_id AS id, round(list_distance(v, w), 6) AS value FROM o")
+def pdist_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rowwise distance of each vector and itself read backwards."""
+    rows = _vectors(spark, sf_dir)
+    return similarity.pairwise_dense(rows, rows.withColumn("v", F.reverse("v")), "euclidean").withColumn("value", F.round("value", 6))
+
+
+# ---- evaluation ---------------------------------------------------------------------------
+
+
+def _topics(spark: SparkSession, sf_dir: str, v: Vocabulary, n: int) -> DataFrame:
+    """(topic, place, term, n): the n most frequent vocabulary terms of each language."""
+    from pyspark.sql import Window
+
+    docs = table(spark, sf_dir, "documents").filter("lang IS NOT NULL")
+    own = tokens(docs, F.lower, fn.word_tokens).join(docs.select("doc_id", "lang"), "doc_id")
+    found = own.select("lang", F.explode("tokens").alias("term")).join(v.terms.select("term"), "term", "left_semi").groupBy("lang", "term").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term"))
+    return found.withColumn("place", place).filter(F.col("place") <= n).select(F.col("lang").alias("topic"), "place", "term", "n")
+
+
+_COH = f"""WITH {_FEW}, top AS (SELECT * FROM (SELECT lang AS topic, term, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS place FROM flat JOIN v USING (term) WHERE lang IS NOT NULL GROUP BY lang, term) WHERE place <= 8),
+b AS (SELECT DISTINCT doc_id, term FROM flat JOIN v USING (term)), m AS (SELECT x.term AS i, y.term AS j, count(*)::DOUBLE AS n FROM b x JOIN b y USING (doc_id) GROUP BY 1, 2), f AS (SELECT term, min((topic, place)) AS first FROM top GROUP BY term), nd AS (SELECT count(*)::DOUBLE AS t FROM documents),
+p AS (SELECT a.topic, ma.n AS na, mb.n AS nb, coalesce(mab.n, 0) AS nab, CASE WHEN fa.first < fb.first THEN ma.n ELSE mb.n END AS low, t FROM top a JOIN top b2 ON a.topic = b2.topic AND a.place < b2.place JOIN m ma ON ma.i = a.term AND ma.j = a.term JOIN m mb ON mb.i = b2.term AND mb.j = b2.term LEFT JOIN m mab ON mab.i = a.term AND mab.j = b2.term JOIN f fa ON fa.term = a.term JOIN f fb ON fb.term = b2.term, nd),
+s AS (SELECT topic, avg(ln((nab + 1e-12) / low)) AS mean_logratio, avg(log2(nab / t + 1e-12) - log2(na / t) - log2(nb / t)) AS mean_pmi, avg((log2(nab / t + 1e-12) - log2(na / t) - log2(nb / t)) / -log2(nab / t + 1e-12)) AS mean_npmi, avg(nab / t / (na / t) - nb / t) AS mean_difference FROM p GROUP BY topic)
+SELECT topic, metric, round(value, 6) AS value FROM (UNPIVOT s ON mean_logratio, mean_pmi, mean_npmi, mean_difference INTO NAME metric VALUE value)"""
+
+
+@query(_COH)
+def coherence_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, v = _few(spark, sf_dir)
+    tcm = materialize(vectorize.cross_product(m), "tcm")
+    top = materialize(_topics(spark, sf_dir, v, 8), "top")
+    metrics = ("mean_logratio", "mean_pmi", "mean_npmi", "mean_difference")
+    return evaluate.coherence(top, tcm, metrics, n_docs=v.document_count).withColumn("value", F.round("value", 6))
+
+
+@query()
+def coherence_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, v = _few(spark, sf_dir)
+    return evaluate.coherence(materialize(_topics(spark, sf_dir, v, 8), "top"), materialize(vectorize.cross_product(m), "tcm"), ("mean_npmi_cosim", "mean_npmi_cosim2"), n_docs=v.document_count)
+
+
+_LANGS = ("de", "en", "es", "fr")
+
+
+@query(f"""WITH {_DTM}, c AS (SELECT lang, term, count(*)::DOUBLE AS n FROM flat JOIN v USING (term) GROUP BY 1, 2), phi AS (SELECT lang, term, n / sum(n) OVER (PARTITION BY lang) AS phi FROM c),
+x AS (SELECT dtm.doc_id, dtm.term, value, sum(coalesce(phi, 0) * CASE WHEN phi.lang = d.lang THEN 0.7 ELSE 0.1 END) AS p FROM dtm JOIN documents d USING (doc_id) JOIN phi ON phi.term = dtm.term GROUP BY 1, 2, 3)
+SELECT round(exp(-sum(value * ln(p + 1e-16)) / sum(value)), 4) AS perplexity FROM x""")
+def perplexity_langs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics are languages, documents lean on their own."""
+    m, v = counts(spark, sf_dir)
+    long = m.join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang", "column").agg(F.sum("value").alias("n"))
+    totals = long.groupBy("lang").agg(F.sum("n").alias("total"))
+    shares = long.join(totals, "lang").groupBy("column").agg(F.array(*(F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n") / F.col("total"))), F.lit(0.0)) for x in _LANGS)).alias("phi"))
+    theta = F.array(*(F.when(F.col("lang") == x, 0.7).otherwise(0.1) for x in _LANGS))
+    docs = table(spark, sf_dir, "documents").select("doc_id", theta.alias("theta"))
+    return evaluate.perplexity(m, shares, docs).withColumn("perplexity", F.round("perplexity", 4))
+
+
+# ---- models -------------------------------------------------------------------------------
+
+
+@query()
+def lsa_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, v = _few(spark, sf_dir)
+    weighted = materialize(TfIdf().fit_transform(m, v.document_count), "tfidf")
+    return LatentSemanticAnalysis(5).fit_transform(weighted, materialize(v.with_ids(), "ids").select("term", "term_id"), v.document_count)
+
+
+@query()
+def lda_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, v = _few(spark, sf_dir)
+    ids = materialize(v.with_ids().select("term", "term_id"), "ids")
+    model = LatentDirichletAllocation(4, 0.1, 0.01).fit(materialize(m, "dtm"), ids, n_iter=10, check_every=5)
+    return model.top_words(10).join(ids, "term_id").select("topic", "place", "term")
+
+
+def _word_vectors(spark: SparkSession, sf_dir: str, n_iter: int = 5) -> tuple[DataFrame, DataFrame]:
+    own = words(spark, sf_dir)
+    v = prune(create_vocabulary(own), term_count_min=300, doc_proportion_max=0.9)
+    ids = materialize(v.with_ids().select("term", "term_id"), "ids")
+    tcm = vectorize.create_tcm(own, vectorize.VocabVectorizer(v), 5)
+    numbered = tcm.join(ids.select(F.col("term").alias("i"), F.col("term_id").alias("a")), "i").join(ids.select(F.col("term").alias("j"), F.col("term_id").alias("b")), "j").select(F.col("a").alias("i"), F.col("b").alias("j"), "value")
+    model = GloVe(16)
+    main = model.fit_transform(numbered, ids.count(), n_iter)
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(main + model.context)], "term_id int, v array<double>")
+    return ids.join(vectors, "term_id"), own
+
+
+@query()
+def glove_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _word_vectors(spark, sf_dir)[0].select("term", "v")
+
+
+@query()
+def rwmd_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, own = _word_vectors(spark, sf_dir)
+    vectors = materialize(vectors, "word-vectors")
+    m = materialize(vectorize.create_dtm(own, vectorize.VocabVectorizer(Vocabulary(vectors.select("term"), None))), "dtm")
+    model = RelaxedWordMovers(m, vectors.select(F.col("term").alias("column"), "v"))
+    return model.sim2(m.filter("doc_id % 20 = 0"))
+
+
+@query()
+def analogy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a is to b as c is to d, with the terms taken four at a time in order of their ids."""
+    vectors = materialize(_word_vectors(spark, sf_dir)[0], "word-vectors")
+    group = F.floor(F.col("term_id") / 4).cast("long")
+    questions = vectors.groupBy(group.alias("question")).agg(*(F.max(F.when(F.col("term_id") % 4 == k, F.col("term_id"))).alias(name) for k, name in enumerate("abcd"))).dropna()
+    return evaluate.analogies(questions.withColumn("category", F.lit("in order")), vectors.select(F.col("term_id").alias("id"), "v"))
+
+
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS at, count(*) OVER () AS n FROM documents) SELECT doc_id, (CASE WHEN at < (n % 7) * (n // 7 + 1) THEN at // (n // 7 + 1) ELSE (n % 7) + (at - (n % 7) * (n // 7 + 1)) // (n // 7) END + 1)::INT AS part FROM r")
+def split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.split_into(table(spark, sf_dir, "documents").select("doc_id"), 7, "doc_id")
+
+
+@query(f"WITH {_VOC} SELECT * FROM voc")
+def stream_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of a stream of documents: batches counted one by one, then summed."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..streaming import incremental
+
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_stream_dir(spark, sf_dir, base, schema))
+    q = incremental.start(stream.select("doc_id", "text"), incremental.vocabulary_counts(fn.word_tokens), f"{base}/out", f"{base}/state")
+    q.awaitTermination()
+    return incremental.merged_vocabulary(spark, f"{base}/out").terms
+
+
+def _stream_dir(spark: SparkSession, sf_dir: str, base: str, schema) -> str:
+    """A streaming source reads folders: the documents, in files of their own."""
+    table(spark, sf_dir, "documents").write.parquet(f"{base}/in")
+    return f"{base}/in"
