@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 WORD = r"(?:[\p{L}\p{M}\p{N}_]+)(?:(?:['’.:·][\p{L}\p{M}_]|[.,;'][\p{N}])[\p{L}\p{M}\p{N}_]*)*"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, however often the body (or a lambda in it) refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def word_tokens(text: Column) -> Column:
     """Words; punctuation and space are dropped."""
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
@@ -42,9 +48,10 @@ def remove_stopwords(tokens: Column, stopwords: list[str]) -> Column:
 def keep_pos(lemmas: Column, tags: Column, keep: list[str] = (), remove: list[str] = ("PUNCT", "DET", "ADP", "SYM", "PART", "SCONJ", "CCONJ", "AUX", "X", "INTJ")) -> Column:
     """Lemmas whose part of speech is among ``keep`` and not among ``remove``; an empty list switches a test off."""
     pairs = F.zip_with(lemmas, tags, lambda lemma, tag: F.struct(lemma.alias("lemma"), tag.alias("tag")))
-    for wanted, names in ((True, keep), (False, remove)):
-        if names:
-            pairs = F.filter(pairs, lambda p, wanted=wanted, names=tuple(names): p["tag"].isin(*names) == F.lit(wanted))
+    if keep:
+        pairs = F.filter(pairs, lambda p: p["tag"].isin(*keep))
+    if remove:
+        pairs = F.filter(pairs, lambda p: ~p["tag"].isin(*remove))
     return F.transform(pairs, lambda p: p["lemma"])
 
 
@@ -60,14 +67,18 @@ def ngrams(tokens: Column, n_min: int = 1, n_max: int = 1, stopwords: list[str]
     tokens = remove_stopwords(tokens, list(stopwords))
     if n_max == 1:
         return tokens
-    size = F.size(tokens)
 
-    def from_start(i: Column) -> Column:
-        grams = [F.when(i + n <= size, F.array_join(F.slice(tokens, i + 1, F.lit(n)), sep)) for n in range(n_min, n_max + 1)]
-        return F.filter(F.array(*grams), lambda g: g.isNotNull())
+    def made(own: Column) -> Column:
+        size = F.size(own)
+
+        def from_start(i: Column) -> Column:
+            grams = [F.when(i + n <= size, F.array_join(F.slice(own, i + 1, F.lit(n)), sep)) for n in range(n_min, n_max + 1)]
+            return F.filter(F.array(*grams), lambda g: g.isNotNull())
 
-    made = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), from_start))
-    return F.when(size > 0, made).otherwise(F.array().cast("array<string>"))
+        found = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), from_start))
+        return F.when(size > 0, found).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, made)
 
 
 def ngram_order(term: Column, sep: str = "_") -> Column:
@@ -77,6 +88,9 @@ def ngram_order(term: Column, sep: str = "_") -> Column:
 
 def windows(tokens: Column, width: int) -> Column:
     """All windows of ``width`` tokens, one apart; a shorter document is one window."""
-    size = F.size(tokens)
-    starts = F.sequence(F.lit(1), F.greatest(size - width + 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.slice(tokens, i, F.lit(width)))
+
+    def made(own: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(own) - width + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.slice(own, i, F.lit(width)))
+
+    return let(tokens, made)

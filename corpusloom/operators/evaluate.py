@@ -29,6 +29,7 @@ def coherence(top_terms: DataFrame, tcm: DataFrame, metrics: tuple[str, ...] = M
     unknown = [m for m in metrics if m not in METRICS]
     if unknown or (n_docs <= 0 and set(metrics) != {"mean_logratio"}):
         raise ValueError(f"unknown metrics {unknown}" if unknown else "n_docs must be given")
+    top_terms = top_terms.select("topic", "place", "term")
     own = top_terms.select("term").distinct()
     cells = tcm.join(own.select(F.col("term").alias("i")), "i", "left_semi").join(own.select(F.col("term").alias("j")), "j", "left_semi")
     known = cells.filter("i = j").select(F.col("i").alias("term"), F.col("value").alias("n"))

@@ -60,16 +60,21 @@ def create_dtm(tokens: DataFrame, vectorizer: VocabVectorizer | HashVectorizer)
 
 def _pairs(tokens: Column, window: int, binary: bool) -> Column:
     """Structs (a, b, d): token a is followed by b at distance d <= window; all within one row."""
-    size = F.size(tokens)
 
-    def around(i: Column) -> Column:
-        context = F.slice(tokens, i + 2, F.lit(window))
-        made = F.transform(context, lambda b, k: F.struct(F.get(tokens, i).alias("a"), b.alias("b"), (k + 1).alias("d")))
-        # once per occurrence of a, each b counts at its nearest place only
-        return F.filter(made, lambda p: F.array_position(context, p["b"]) == p["d"]) if binary else made
+    def made(own: Column) -> Column:
+        size = F.size(own)
 
-    made = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), around))
-    return F.when(size > 1, made)
+        def around(i: Column) -> Column:
+            def beside(context: Column) -> Column:
+                pairs = F.transform(context, lambda b, k: F.struct(F.get(own, i).alias("a"), b.alias("b"), (k + 1).alias("d")))
+                # once per occurrence of a, each b counts at its nearest place only
+                return F.filter(pairs, lambda p: F.array_position(context, p["b"]) == p["d"]) if binary else pairs
+
+            return fn.let(F.slice(own, i + 2, F.lit(window)), beside)
+
+        return F.when(size > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), around)))
+
+    return fn.let(tokens, made)
 
 
 def create_tcm(tokens: DataFrame, vectorizer: VocabVectorizer | HashVectorizer, window: int = 5, context: str = "symmetric", weights: list[float] | None = None, binary: bool = False) -> DataFrame:

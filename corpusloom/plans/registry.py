@@ -502,7 +502,7 @@ def analogy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.analogies(questions.withColumn("category", F.lit("in order")), vectors.select(F.col("term_id").alias("id"), "v"))
 
 
-@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS at, count(*) OVER () AS n FROM documents) SELECT doc_id, (CASE WHEN at < (n % 7) * (n // 7 + 1) THEN at // (n // 7 + 1) ELSE (n % 7) + (at - (n % 7) * (n // 7 + 1)) // (n // 7) END + 1)::INT AS part FROM r")
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM documents) SELECT doc_id, (CASE WHEN k < (n % 7) * (n // 7 + 1) THEN k // (n // 7 + 1) ELSE (n % 7) + (k - (n % 7) * (n // 7 + 1)) // (n // 7) END + 1)::INT AS part FROM r")
 def split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.split_into(table(spark, sf_dir, "documents").select("doc_id"), 7, "doc_id")
 
