@@ -47,11 +47,11 @@ from ._arrow import map_batches, project, slices, texts_of
 PERCENT = 75
 TREES, DEPTH = 24, 3
 COORDINATES = TREES * DEPTH
-SMALL = 64
+SMALL = 1024
 #: Least sketch estimate for a star link to be worth confirming, and for a pair of round two.
-LIKELY, NEAR = 0.6, 0.5
+LIKELY, NEAR = 0.6, 0.55
 BROADCAST_BYTES = 64 << 20
-PARTNERS = 256  # members confirmed against one copy of their star's centre
+PARTNERS = 128  # documents of a cluster that are brought together to confirm pairs among them and with as many others
 
 _rng = np.random.default_rng(75)
 _XOR = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.int64).astype(np.uint64)
@@ -124,7 +124,7 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 
 def star_candidates(classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): for each class the centre of its nodes that its sketch is most like, if likely enough."""
+    """(a, b, cluster): for each class the centre of its nodes that its sketch is most like, if likely enough."""
     sketch = classes.select(F.col("id").alias("least"), F.col("sketch").alias("centre"))
     centres = nodes.join(sketch, "least").select("node", "least", "centre")
     members = nodes.select("node").join(_nodes(classes, DEPTH), "node")
@@ -137,7 +137,7 @@ def star_candidates(classes: DataFrame, nodes: DataFrame) -> DataFrame:
 
     judged = pairs.select("id", "least", "sketch", "centre").mapInArrow(run, "id long, least long, like double").filter(F.col("like") >= LIKELY)
     best = judged.groupBy("id").agg(F.max(F.struct("like", -F.col("least"))).alias("best"))
-    return best.select((-F.col("best.col2")).alias("a"), F.col("id").alias("b"))
+    return best.select((-F.col("best.col2")).alias("a"), F.col("id").alias("b"), (-F.col("best.col2")).alias("cluster"))
 
 
 def _sets(base: DataFrame, ids: DataFrame) -> DataFrame:
@@ -163,37 +163,41 @@ def _sets(base: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def confirmed(base: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked.
+    """The pairs (a, b) whose full sets are linked.  pairs: (a, b, cluster), a pair maybe under several clusters.
 
-    The partners of one a come in blocks of about PARTNERS with a copy of a's set each, so a
-    centre with a third of all documents around it is spread over many tasks.
+    A cluster's documents are dealt to buckets of about PARTNERS, and pairs meet by their two
+    buckets: a set is sent once for every bucket its document has a pair in, not for every
+    pair, and a cluster with a third of all documents is spread over many tasks.
     """
-    pairs = materialize(pairs.distinct(), "near-pairs")
-    degrees = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("blocks"))
-    placed = materialize(pairs.join(degrees, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block")), "near-placed")
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    sets = materialize(_sets(base, ids), "near-sets")
-    small = placed.count() * 24 <= BROADCAST_BYTES // 4  # else the sets are joined by shuffle
-    hinted = F.broadcast if small else (lambda x: x)
-    members = sets.join(hinted(placed), F.col("id") == F.col("b")).select("a", "block", "b", "tokens")
-    centres = sets.join(hinted(placed.select("a", "block").distinct()), F.col("id") == F.col("a")).select("a", "block", F.lit(None).cast("long").alias("b"), "tokens")
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.min("cluster").alias("cluster")), "near-pairs")
+    both = F.explode(F.array("a", "b")).alias("id")
+    sizes = pairs.select("cluster", both).distinct().groupBy("cluster").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("buckets"))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.col("buckets")).cast("int")
+    keys = ["cluster", "low", "high"]
+    placed = pairs.join(sizes, "cluster").select("cluster", F.least(bucket("a"), bucket("b")).alias("low"), F.greatest(bucket("a"), bucket("b")).alias("high"), "a", "b")
+    placed = materialize(placed, "near-placed")
+    needed = materialize(placed.select(*keys, both).distinct(), "near-needed")
+    sets = _sets(base, materialize(needed.select("id").distinct(), "near-ids"))
+    if needed.count() * 32 <= BROADCAST_BYTES // 4:  # else the sets are joined by shuffle
+        needed = F.broadcast(needed)
+    null = F.lit(None).cast("long")
+    rows = sets.join(needed, "id").select(*keys, F.col("id").alias("a"), null.alias("b"), "tokens").unionByName(placed.select(*keys, "a", "b", F.lit(None).cast("binary").alias("tokens")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held = None, {}
         for batch in batches:
             found: dict[str, list[int]] = {"a": [], "b": []}
-            for a, block, b, raw in zip(*(batch.column(k).to_pylist() for k in ("a", "block", "b", "tokens")), strict=True):
-                own = np.frombuffer(raw, np.uint64)
-                if (a, block) != now:
-                    now, held = (a, block), []
+            for *key, a, b, raw in zip(*(batch.column(k).to_pylist() for k in (*keys, "a", "b", "tokens")), strict=True):
+                if key != now:
+                    now, held = key, {}
                 if b is None:
-                    held.append(own)
-                elif any(linked(x, own) for x in held):
+                    held.setdefault(a, []).append(np.frombuffer(raw, np.uint64))
+                elif any(linked(x, y) for x in held.get(a, ()) for y in held.get(b, ())):
                     found["a"].append(a)
                     found["b"].append(b)
             yield pa.record_batch([pa.array(x, pa.int64()) for x in found.values()], list(found))
 
-    ordered = members.unionByName(centres).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("b").asc_nulls_first(), "a")
     return materialize(ordered.mapInArrow(run, "a long, b long").distinct(), "near-links")
 
 
@@ -222,27 +226,29 @@ def _open(members: DataFrame) -> DataFrame:
 
 
 def _compare(rows: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components within a node whose sketches come near the threshold.  rows: (node, block, other, id, component, sketch).
+    """(a, b, cluster): pairs of different components within a node whose sketches come near the threshold.  rows: (node, block, other, id, component, sketch).
 
     A group is a node of at most SMALL members, or two blocks of one (block <= other).
     """
 
-    def pairs(group: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int]]:
+    def pairs(group: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
+        """Members come in order of their ids."""
         if len(group) < 2:
             return
         ids, parts = np.array([x[0] for x in group]), np.array([x[1] for x in group])
         sketches = np.frombuffer(b"".join([x[2] for x in group]), np.uint8).reshape(-1, COORDINATES)
+        enough = COORDINATES * (NEAR * (1 - 1 / 256) + 1 / 256)
         for i in range(len(group) - 1):
-            near = (_estimate(sketches[i + 1 :], sketches[i]) >= NEAR) & (parts[i + 1 :] != parts[i])
+            near = (np.count_nonzero(sketches[i + 1 :] == sketches[i], axis=1) >= enough) & (parts[i + 1 :] != parts[i])
             for j in np.flatnonzero(near).tolist():
-                yield min(ids[i], ids[i + 1 + j]), max(ids[i], ids[i + 1 + j])
+                yield ids[i], ids[i + 1 + j], ids[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
 
-        def out(found: Iterator[tuple[int, int]]) -> pa.RecordBatch:
+        def out(found: Iterator[tuple[int, int, int]]) -> pa.RecordBatch:
             found = list(found)
-            return pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+            return pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], ["a", "b", "cluster"])
 
         for batch in batches:
             for node, block, other, own, part, sketch in zip(*(batch.column(k).to_pylist() for k in ("node", "block", "other", "id", "component", "sketch")), strict=True):
@@ -253,11 +259,11 @@ def _compare(rows: DataFrame) -> DataFrame:
         yield out(pairs(group))
 
     keys = ["node", "block", "other"]
-    return rows.select(*keys, "id", "component", "sketch").repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, "a long, b long").distinct()
+    return rows.select(*keys, "id", "component", "sketch").repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, "a long, b long, cluster long")
 
 
 def rest_candidates(classes: DataFrame, nodes: DataFrame, known: DataFrame, deepest: int = 16) -> DataFrame:
-    """(a, b): pairs that share a node, lie in different components, and look near the threshold."""
+    """(a, b, cluster): pairs that share a node, lie in different components, and look near the threshold."""
     of = known.select(F.col("id").alias("k_id"), "component")
     members = nodes.select("node").join(_nodes(classes, DEPTH), "node").join(of, F.col("id") == F.col("k_id"), "left").select("node", "id", F.coalesce("component", "id").alias("component"))
     wide = materialize(_open(members), "near-open")
@@ -271,9 +277,12 @@ def rest_candidates(classes: DataFrame, nodes: DataFrame, known: DataFrame, deep
             return found
         if level == deepest:
             break
-        # two chosen tokens a node: a pair at the threshold stays together in more than one child on average
-        chosen = [F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(COORDINATES)).cast("int") for k in range(2)]
-        child = F.explode(F.array_distinct(F.array(*(F.xxhash64("node", c, F.get("sig", c)) for c in chosen)))).alias("node")
+        # one chosen token a node, and in one node of three a second: 4/3 children on average, so that a pair at
+        # the threshold stays together in one of them on average, and less similar ones part
+        seed = lambda k: F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(COORDINATES)).cast("int")
+        on = lambda k: F.xxhash64("node", seed(k), F.get("sig", seed(k)))
+        second = F.pmod(F.xxhash64("node", F.lit(level), F.lit(2)), F.lit(3)) == 0
+        child = F.explode(F.when(second, F.array_distinct(F.array(on(0), on(1)))).otherwise(F.array(on(0)))).alias("node")
         wide = materialize(_open(wide.join(classes.select("id", "sig"), "id").select(child, "id", "component")), "near-open")
     # all choices used up: block against block, each member once per other block
     blocks = F.ceil(F.col("size") / (SMALL // 2)).cast("int")
