@@ -253,13 +253,14 @@ class Codec:
 
     def look_up(self, first: str, rest: list[str], kind: str) -> list[Coded] | None:
         """Codes of all parts; None if one is WIDE.  Nothing follows the last part, so only its start matters."""
-        held = [self.code(self.auto.pieces(first))]
         last = rest.pop() if rest else None
-        held += map(self.stores[kind][0].get, rest)
+        held = list(map(self.stores[kind][0].get, rest))
         if not all(held):
-            held[1:] = [x or self.part(part, kind) for x, part in zip(held[1:], rest, strict=True)]
+            held = [x or self.part(part, kind) for x, part in zip(held, rest, strict=True)]
             if WIDE in held:
                 return None
+        if first:  # else a mark begins the text
+            held.insert(0, self.code(self.auto.pieces(first)))
         if last is not None:
             bare = last[:1] == BARE
             if not last[bare:] or last[bare].isspace() and last != "\x01\n":
