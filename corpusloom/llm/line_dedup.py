@@ -13,9 +13,10 @@ their lines except in the largest doc_id that holds them.
    summed, and those that reach ``least_docs`` are the repeated keys.
 3. Documents drop lines of repeated keys whose largest id is not theirs.
 
-The filters have ``bits_per_line`` bits for each long line up to ``filter_bytes`` together, which
-bounds the broadcast.  A larger table does without the filter: every key is then
-suspected, still one row per key and task.  The repeated keys are broadcast up
+A filter has ``bits_per_line`` bits for each long line, and never more than ``filter_bytes``, which
+bounds the broadcast.  With fewer bits a line more keys are suspected in vain (2 % at 3
+bits, 30 % at 1.5); below LEAST_BITS the filter would hold no key back and is left out: every key is
+then suspected, still one row per key and task.  The repeated keys are broadcast up
 to ``broadcast_bytes``; beyond that, lines are joined with them by digest, hot digests
 salted, and documents get their dropped digests by a join on the document.
 
@@ -48,6 +49,7 @@ from ..session import materialize
 from ._arrow import SPACE, project, slices, texts_of
 
 PROBES = 4
+LEAST_BITS = 1.5
 SEGMENT_BITS = 1 << 19  # 64 kB
 NULL_ID = -(1 << 63)
 
@@ -174,9 +176,9 @@ def repeated_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5,
     spark = docs.sparkSession
     # an upper bound of the long lines, counted in the JVM: lines, and no more than bytes allow
     long_lines = docs.agg(F.sum(F.least(F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(1)), F.ceil(F.octet_length("text") / (least_chars + 1)) + 1))).first()[0] or 0
-    segments = max(1, math.ceil(long_lines * bits_per_line / SEGMENT_BITS))
-    bits = segments * SEGMENT_BITS
-    filtered = bits // 8 <= filter_bytes
+    wanted, most = math.ceil(long_lines * bits_per_line / SEGMENT_BITS), filter_bytes * 8 // SEGMENT_BITS
+    bits = max(1, min(wanted, most)) * SEGMENT_BITS
+    filtered = most > 0 and bits >= LEAST_BITS * long_lines
     held = spark.sparkContext.broadcast(twice_filter(docs, bits, least_chars)) if filtered else None
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
