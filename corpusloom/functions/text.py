@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: by an apostrophe, full stop or colon between letters and by a separator between digits.
 WORD = r"(?:[\p{L}\p{M}\p{N}_]+)(?:(?:['’.:·][\p{L}\p{M}_]|[.,;'][\p{N}])[\p{L}\p{M}\p{N}_]*)*"
 
+#: Universal tags of words that carry little meaning by themselves.
+FUNCTION_TAGS = tuple("ADP AUX CCONJ DET INTJ PART PUNCT SCONJ SYM X".split())
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, however often the body (or a lambda in it) refers to it."""
@@ -45,7 +48,7 @@ def remove_stopwords(tokens: Column, stopwords: list[str]) -> Column:
     return F.filter(tokens, lambda t: ~F.coalesce(t.isin(*stopwords), F.lit(False)))
 
 
-def keep_pos(lemmas: Column, tags: Column, keep: list[str] = (), remove: list[str] = ("PUNCT", "DET", "ADP", "SYM", "PART", "SCONJ", "CCONJ", "AUX", "X", "INTJ")) -> Column:
+def keep_pos(lemmas: Column, tags: Column, keep: list[str] = (), remove: list[str] = FUNCTION_TAGS) -> Column:
     """Lemmas whose part of speech is among ``keep`` and not among ``remove``; an empty list switches a test off."""
     pairs = F.zip_with(lemmas, tags, lambda lemma, tag: F.struct(lemma.alias("lemma"), tag.alias("tag")))
     if keep:
@@ -55,7 +58,7 @@ def keep_pos(lemmas: Column, tags: Column, keep: list[str] = (), remove: list[st
     return F.transform(pairs, lambda p: p["lemma"])
 
 
-def lemma_tokens(annotated: Column, keep: list[str] = (), remove: list[str] = ("PUNCT", "DET", "ADP", "SYM", "PART", "SCONJ", "CCONJ", "AUX", "X", "INTJ")) -> Column:
+def lemma_tokens(annotated: Column, keep: list[str] = (), remove: list[str] = FUNCTION_TAGS) -> Column:
     """Filter the output of a tagger of one's own: an array of (lemma, upos), such as an Arrow UDF returns."""
     return keep_pos(F.transform(annotated, lambda x: x["lemma"]), F.transform(annotated, lambda x: x["upos"]), keep, remove)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import similarity
 
-METRICS = ("mean_logratio", "mean_pmi", "mean_npmi", "mean_difference", "mean_npmi_cosim", "mean_npmi_cosim2")
+METRICS = tuple(f"mean_{x}" for x in "pmi npmi logratio difference npmi_cosim npmi_cosim2".split())
 
 
 def perplexity(dtm: DataFrame, topic_word: DataFrame, doc_topic: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def cells(m: DataFrame) -> DataFrame:
     return m.select("doc_id", F.col("column").alias("term"), F.round("value", 6).alias("value"))
 
 
-# ---- tokens -------------------------------------------------------------------------------
+# -- tokens
 
 
 def _listed(own: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def ngrams_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(words(spark, sf_dir).withColumn("tokens", fn.ngrams(F.col("tokens"), 1, 3, STOP)))
 
 
-# ---- vocabularies -------------------------------------------------------------------------
+# -- vocabularies
 
 
 @query(f"WITH {_VOC} SELECT * FROM voc")
@@ -175,7 +175,7 @@ def page_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return create_vocabulary(tokens(table(spark, sf_dir, "pages"), plain, fn.word_tokens, "page_id", "html")).terms
 
 
-# ---- document-term matrices ---------------------------------------------------------------
+# -- document-term matrices
 
 
 @query(f"WITH {_DTM} SELECT * FROM dtm")
@@ -235,7 +235,7 @@ def hash_dtm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorize.create_dtm(words(spark, sf_dir), vectorize.HashVectorizer(1 << 14, (1, 2), signed=True))
 
 
-# ---- co-occurrence ------------------------------------------------------------------------
+# -- co-occurrence
 
 
 def _tcm_sql(i: str, j: str, distinct: bool = False) -> str:
@@ -296,7 +296,7 @@ def tcm_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorize.create_tcm(words(spark, sf_dir), vectorize.HashVectorizer(1 << 10), 2)
 
 
-# ---- collocations -------------------------------------------------------------------------
+# -- collocations
 
 _LL = "({k} * ln(CASE WHEN {p} = 0 THEN 1 ELSE {p} END) + ({n} - {k}) * ln(CASE WHEN 1 - {p} = 0 THEN 1 ELSE 1 - {p} END))"
 _LLR = "-2 * (" + _LL.format(p="(n_j / n)", n="n_i", k="n_ij") + " + " + _LL.format(p="(n_j / n)", n="(n - n_i)", k="(n_j - n_ij)") + " - " + _LL.format(p="(n_ij / n_i)", n="n_i", k="n_ij") + " - " + _LL.format(p="((n_j - n_ij) / (n - n_i))", n="(n - n_i)", k="(n_j - n_ij)") + ")"
@@ -332,7 +332,7 @@ def colloc_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(_open(pmi_min=3.0).fit(own, 2).transform(own))
 
 
-# ---- similarity ---------------------------------------------------------------------------
+# -- similarity
 
 
 @query(f"WITH {_DTM}, u AS (SELECT doc_id, term, value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)) AS v FROM dtm) SELECT x.doc_id AS x_id, y.doc_id AS y_id, round(sum(x.v * y.v), 6) AS sim FROM u x JOIN u y USING (term) WHERE x.doc_id % 20 = 0 GROUP BY 1, 2")
@@ -396,7 +396,7 @@ def pdist_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.pairwise_dense(rows, rows.withColumn("v", F.reverse("v")), "euclidean").withColumn("value", F.round("value", 6))
 
 
-# ---- evaluation ---------------------------------------------------------------------------
+# -- evaluation
 
 
 def _topics(spark: SparkSession, sf_dir: str, v: Vocabulary, n: int) -> DataFrame:
@@ -449,7 +449,7 @@ def perplexity_langs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.perplexity(m, shares, docs).withColumn("perplexity", F.round("perplexity", 4))
 
 
-# ---- models -------------------------------------------------------------------------------
+# -- models
 
 
 @query()

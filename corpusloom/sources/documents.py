@@ -48,10 +48,10 @@ def analogy_questions(spark: SparkSession, path: str, vocabulary: DataFrame) ->
     A line that does not have four words starts a section named by its second word.
     Questions with a word outside the vocabulary are dropped.  The order of lines matters, so a file is read whole.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.lower("value"), r"\r?\n", -1)).alias("line", "text"))
-    words = rows.select("line", F.split("text", " ", -1).alias("w")).filter(F.length(F.array_join("w", "")) > 0)
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.lower("value"), r"\r?\n", -1)).alias("line", "text"))
+    words = rows.select("file", "line", F.split("text", " ", -1).alias("w")).filter(F.length(F.array_join("w", "")) > 0)
     named = words.withColumn("head", F.when(F.size("w") != 4, F.get("w", F.lit(1))))
-    upto = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)  # one question file
+    upto = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     placed = named.withColumn("category", F.last("head", ignorenulls=True).over(upto)).filter(F.size("w") == 4)
     found = placed.select("category", F.col("line").alias("question"), *(F.get("w", F.lit(k)).alias(f"w{k}") for k in range(4)))
     for k, name in enumerate("abcd"):

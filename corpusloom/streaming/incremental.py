@@ -32,7 +32,6 @@ def vocabulary_counts(tokenize: Callable[[Column], Column], preprocess: Callable
     """Term counts of a batch of (doc_id, text); the row with a null term carries the number of documents."""
 
     def count(batch: DataFrame) -> DataFrame:
-        batch = batch.persist()
         made = create_vocabulary(tokens(batch, preprocess, tokenize), **parameters)
         total = batch.sparkSession.createDataFrame([(None, 0, made.document_count)], "term string, term_count long, doc_count long")
         return made.terms.unionByName(total)
