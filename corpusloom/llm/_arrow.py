@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +16,7 @@ from ..session import materialize
 SPACE = b" \t\n\x0b\x0c\r"
 
 #: Bytes of text that a kernel looks at together; a longer batch is cut into slices.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -38,6 +39,25 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send fewer rows at a time to Python workers: texts may be long, and a batch is held on both sides.
+
+    Sets ``spark.sql.execution.arrow.maxRecordsPerBatch`` of the session, if it is larger.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers live on, beside the next stage's needs."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library: nothing to do
+        pass
+
+
 def project(df: DataFrame, **columns: str | T.DataType) -> DataFrame:
     """Only the named columns, under the given names; all others are left behind."""
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
@@ -55,6 +75,7 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict[str, obje
             for part in slices(batch, text):
                 made = kernel(part)
                 yield pa.RecordBatch.from_arrays([_as(made[f.name], f.type) for f in arrow], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, fields)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import map_batches, project, slices, texts_of
+from ._arrow import give_back, map_batches, project, slices, texts_of
 
 BITS = 20
 SLOTS = 1 << BITS
@@ -130,6 +130,8 @@ def train(sample: DataFrame, fit: Callable[[list[np.ndarray], np.ndarray], tuple
                     grades.append(grade)
         weights, rest = fit(held, np.array(grades, np.int64))
         at = np.flatnonzero(weights)
+        held.clear()
+        give_back()
         yield pa.record_batch([pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([weights[at].tolist()], pa.list_(pa.float64())), pa.array([rest], pa.list_(pa.float64()))], ["at", "weight", "rest"])
 
     gathered = sample.repartition(1).sortWithinPartitions("rank", "grade", F.size("slots"))
@@ -161,5 +163,6 @@ def score(docs: DataFrame, at: np.ndarray, weight: np.ndarray, finish: Callable[
             for part in slices(batch, "text"):
                 made = run_with(part, dense)
                 yield pa.RecordBatch.from_arrays([made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
+        give_back()
 
     return docs.mapInArrow(run, f"{kinds}, {schema}")

@@ -30,7 +30,6 @@ from __future__ import annotations
 import gc
 import json
 import re
-from array import array
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
@@ -41,16 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._arrow import project, slices
+from ._arrow import give_back, project, slices
 
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 #: A symbol right before a full stop or comma at which a text is cut: the two are one word.
 _MEET = re.compile(r"[.,](?<=[^\w\s][.,]|_[.,])[ \n]")
 #: Words (and parts) kept per worker; beyond it the store starts afresh.
-KEPT = 1 << 18
+KEPT = 1 << 17
 #: Cells of the determinised table kept per worker.
-CELLS = 1 << 20
+CELLS = 1 << 18
 
 
 def _byte_of() -> dict[str, int]:
@@ -202,8 +201,8 @@ def automaton(path: str) -> Automaton:
     return Automaton(spec["model"]["vocab"], merges, added)
 
 
-#: ids packed as int32, ids as decimals joined by commas, bytes of the labels
-Coded = tuple[bytes, bytes, bytes]
+#: ids as decimals joined by commas, bytes of the labels
+Coded = tuple[bytes, bytes]
 #: A part that cannot be coded by itself: the split looks beyond it.
 WIDE = ()
 
@@ -231,12 +230,12 @@ class Codec:
 
     def code(self, ids: Sequence[int]) -> Coded:
         decimal, label = self.decimal, self.auto.label
-        return array("i", ids).tobytes(), b",".join([decimal[i] for i in ids]), b"".join([label[i] for i in ids])
+        return b",".join([decimal[i] for i in ids]), b"".join([label[i] for i in ids])
 
     def encode(self, text: str) -> Coded:
         """What a whole text is coded as."""
         if not text:
-            return b"", b"", b""
+            return b"", b""
         if text[0] == " " or text[-1] == " " or BARE in text or any(s in text for s in self.auto.special):
             return self.code(self.auto.encode(text))
         first, *rest = text.replace(", ", " \x01, ").replace(". ", " \x01. ").replace(".\n", " \x01.\n").replace("\n", " \x01\n \x01").split(" ")
@@ -248,8 +247,8 @@ class Codec:
             held = self.look_up(first, rest, "spaced")
         if held is None:
             return self.code(self.auto.encode(text))
-        packed, decimals, labels = zip(*held, strict=True)
-        return b"".join(packed), b",".join(decimals), b"".join(labels)
+        decimals, labels = zip(*held, strict=True)
+        return b",".join(decimals), b"".join(labels)
 
     def look_up(self, first: str, rest: list[str], kind: str) -> list[Coded] | None:
         """Codes of all parts; None if one is WIDE.  Nothing follows the last part, so only its start matters."""
@@ -320,13 +319,23 @@ def map_codes(docs: DataFrame, path: str, make: Callable[[Coded], tuple], column
                 rows = [make(coder.encode(x or "")) for x in part.column("text").to_pylist()]
                 made = [pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), list(arrow)[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *made], schema=arrow)
+        # the worker lives on for other stages: leave them the memory (compiling again takes half a second a task)
+        codec.cache_clear()
+        automaton.cache_clear()
+        del coder
+        gc.collect()
+        give_back()
 
     return project(docs, doc_id=doc_id, text=text).mapInArrow(run, f"doc_id long, {columns}")
 
 
+def ids_of(code: Coded) -> np.ndarray:
+    return np.array(code[0].split(b","), np.int32) if code[0] else np.empty(0, np.int32)
+
+
 def encode(docs: DataFrame, path: str, **columns: str) -> DataFrame:
     """(doc_id, ids) of every whole text."""
-    return map_codes(docs, path, lambda code: (np.frombuffer(code[0], np.int32),), "ids array<int>", **columns)
+    return map_codes(docs, path, lambda code: (ids_of(code),), "ids array<int>", **columns)
 
 
 def decode(coded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:

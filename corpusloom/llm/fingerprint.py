@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import project, texts_of
+from ._arrow import give_back, project, texts_of
 
 LEAST, NORMAL, MOST = 12, 32, 128
 STRICT, EASY = np.uint32(0x7E000000), np.uint32(0x78000000)  # 6 bits before the normal length, 4 after
@@ -178,6 +178,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = None if halo else (key, text, chunks)
         columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
         yield pa.record_batch([pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True)], names)
+    give_back()
 
 
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range_rows: int = 4096) -> DataFrame:

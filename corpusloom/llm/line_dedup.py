@@ -234,7 +234,7 @@ def _drop(schema: T.StructType, least_chars: int, of_batch):
     return run
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_chars: int = 40, least_docs: int = 5, filter_bytes: int = 64 << 20, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_chars: int = 40, least_docs: int = 5, filter_bytes: int = 64 << 20, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """The documents with their kept text, ``n_lines`` and ``n_dropped``; other columns pass through."""
     spark = docs.sparkSession
     base = project(docs, doc_id=doc_id, text=text)
@@ -243,7 +243,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     keyed = docs.select(*(F.col(f"`{c}`") for c in passed), F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").cast("long").alias("__key"))
     out = T.StructType([*(keyed.schema[c] for c in passed), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     if repeated.count() * 24 <= broadcast_bytes:
-        # 24 bytes a key, at most broadcast_bytes
+        # 24 bytes a key, at most broadcast_bytes; about 130 a key once it is a table in a worker
         table = spark.sparkContext.broadcast({bytes(r["digest"]): r["largest"] for r in repeated.toLocalIterator()})
 
         def by_table(part: pa.RecordBatch):

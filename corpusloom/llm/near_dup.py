@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from ._arrow import map_batches, project, slices, texts_of
+from ._arrow import give_back, map_batches, project, slices, texts_of
 
 PERCENT = 75
 TREES, DEPTH = 24, 3
@@ -196,6 +196,8 @@ def confirmed(base: DataFrame, pairs: DataFrame) -> DataFrame:
                     found["a"].append(a)
                     found["b"].append(b)
             yield pa.record_batch([pa.array(x, pa.int64()) for x in found.values()], list(found))
+        held.clear()
+        give_back()
 
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("b").asc_nulls_first(), "a")
     return materialize(ordered.mapInArrow(run, "a long, b long").distinct(), "near-links")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprint, line_dedup, mixing, near_dup, quality_model, quality_rules, sharding, toxicity, url_reputation
+from ._arrow import small_batches
 from .oracles import OP1, OP2, OP2_CUTOFF, OP3, OP6, OP6_LIMIT, OP8, OP10, RULES
 
 #: Where the public vocabulary files are; a deployment sets its own folder.
@@ -16,6 +17,7 @@ TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,9 +39,9 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digest_code(code: bpe.Coded) -> tuple:
     """n_tokens, ids_sha256 and decoded_sha256 of one coded text."""
-    decimals, labels = code[1], code[2]
+    decimals, labels = code
     # labels emitted for the ids of a valid text are that text's bytes; any other bytes decode as the library does
-    return len(code[0]) // 4, hashlib.sha256(decimals).hexdigest(), hashlib.sha256(labels.decode("utf-8", "replace").encode()).hexdigest()
+    return decimals.count(b",") + 1 if decimals else 0, hashlib.sha256(decimals).hexdigest(), hashlib.sha256(labels.decode("utf-8", "replace").encode()).hexdigest()
 
 
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _hashed
-from ._arrow import project, slices, texts_of
+from ._arrow import give_back, project, slices, texts_of
 
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 6.0, 1.0, 3
 
@@ -78,5 +78,6 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", **param
         for batch in batches:
             for part in slices(batch, text):
                 yield part.filter(pa.array(sigmoid(_hashed.margins(texts_of(part.column(text)), dense) + bias) < 0.5))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
