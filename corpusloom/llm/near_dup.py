@@ -14,10 +14,12 @@ component is what links connect.
    nodes by a sketch (one byte per minwise token), and the best is confirmed on the full
    sets.  The links of a node are a star, never all its pairs; one node may hold a third of all rows.
 4. Round two looks only where members of one node are still in different components.
-   Nodes of at most SMALL members are compared exhaustively; larger ones branch on, one
-   chosen token at a time, until they are small (or, when all choices are used up,
-   are compared block by block).  Pairs whose sketches come near the threshold are confirmed on
-   the full sets.
+   Nodes of at most LARGE members are compared exhaustively, those above BLOCK block by block,
+   so a pair that meets in one is never lost, whatever its size.  A larger node branches, to the
+   six tokens of two other trees at each level, if its children take at most half its
+   comparisons; else it is compared block by block as well.  A pair at the threshold stays
+   together with probability 1 - 0.25**6 a level.  Pairs whose sketches come near the threshold are
+   confirmed on the full sets.
 
 Full sets are 64-bit shingle hashes; they are made again from the text for candidates only.
 Candidate ids are broadcast up to BROADCAST_BYTES; beyond that they are joined.
@@ -47,7 +49,8 @@ from ._arrow import give_back, map_batches, project, slices, texts_of
 PERCENT = 75
 TREES, DEPTH = 24, 3
 COORDINATES = TREES * DEPTH
-SMALL = 1024
+SMALL = 1024  # a node of no more is one block
+BLOCK, LARGE = 2048, 16384
 #: Least sketch estimate for a star link to be worth confirming, and for a pair of round two.
 LIKELY, NEAR = 0.6, 0.55
 BROADCAST_BYTES = 64 << 20
@@ -104,14 +107,14 @@ def _sign(part: pa.RecordBatch) -> dict[str, object]:
 
 
 def _path(tree: Column, depth: int) -> Column:
-    """The node of a tree that the first ``depth`` chosen tokens lead to; the first DEPTH are the tree's own."""
-    at = lambda k: F.get("sig", F.pmod(tree * DEPTH + F.lit(k if k < DEPTH else k * 7), F.lit(COORDINATES)).cast("int"))
+    """The node of a tree that the first ``depth`` of its own chosen tokens lead to."""
+    at = lambda k: F.get("sig", (tree * DEPTH + F.lit(k)).cast("int"))
     return F.xxhash64(tree, *(at(k) for k in range(depth)))
 
 
 def _nodes(classes: DataFrame, depth: int) -> DataFrame:
-    """(node, id) for all trees."""
-    return classes.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(_path(F.col("tree"), depth).alias("node"), "id")
+    """(node, id, tree) for all trees."""
+    return classes.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(_path(F.col("tree"), depth).alias("node"), "id", "tree")
 
 
 def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -222,76 +225,111 @@ def connect(links: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members (node, id, component) of the nodes that still hold different components, with the node's size."""
+    """Members (node, id, component, ...) of the nodes that still hold different components, with the node's size."""
     states = members.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
     return members.join(states.filter("low < high").select("node", "size"), "node")
 
 
+def _agree(many: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """How many bytes of each sketch agree with one sketch: eight bytes are added at a time."""
+    lanes = (many == one).view(np.uint64)
+    total = lanes[:, 0].copy()
+    for k in range(1, lanes.shape[1]):
+        total += lanes[:, k]
+    return (total * np.uint64(0x0101010101010101)) >> np.uint64(56)
+
+
 def _compare(rows: DataFrame) -> DataFrame:
-    """(a, b, cluster): pairs of different components within a node whose sketches come near the threshold.  rows: (node, block, other, id, component, sketch).
+    """(a, b, cluster): pairs of different components within a node whose sketches come near the threshold.  rows: (node, block, other, own, id, component, sketch).
 
-    A group is a node of at most SMALL members, or two blocks of one (block <= other).
+    A group is one block of a node, or two (block < other), of which only pairs across are compared.
     """
-
-    def pairs(group: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
-        """Members come in order of their ids."""
-        if len(group) < 2:
-            return
-        ids, parts = np.array([x[0] for x in group]), np.array([x[1] for x in group])
-        sketches = np.frombuffer(b"".join([x[2] for x in group]), np.uint8).reshape(-1, COORDINATES)
-        enough = COORDINATES * (NEAR * (1 - 1 / 256) + 1 / 256)
-        for i in range(len(group) - 1):
-            near = (np.count_nonzero(sketches[i + 1 :] == sketches[i], axis=1) >= enough) & (parts[i + 1 :] != parts[i])
-            for j in np.flatnonzero(near).tolist():
-                yield ids[i], ids[i + 1 + j], ids[0]
+    enough = COORDINATES * (NEAR * (1 - 1 / 256) + 1 / 256)
+
+    def pairs(block: int, other: int, group: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, np.ndarray]]:
+        """(a, all b of it); members are in order of their components, and a component is not compared with itself."""
+        group = sorted(group, key=lambda x: x[2])
+        own, ids, parts = (np.array([x[k] for x in group], np.int64) for k in range(3))
+        sketches = np.frombuffer(b"".join([x[3] for x in group]), np.uint8).reshape(-1, COORDINATES)
+        left, right = (own == block, own == other) if block != other else (slice(None), slice(None))
+        (ids_a, parts_a, sketches_a), (ids_b, parts_b, sketches_b) = ((ids[x], parts[x], sketches[x]) for x in (left, right))
+        lows, highs = np.searchsorted(parts_b, parts_a, "left"), np.searchsorted(parts_b, parts_a, "right")
+        for i in range(len(ids_a)):
+            for start, end in ((0, lows[i] if block != other else 0), (highs[i], len(ids_b))):
+                if start < end and len(near := np.flatnonzero(_agree(sketches_b[start:end], sketches_a[i]) >= enough)):
+                    yield ids_a[i], ids_b[start + near]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
 
-        def out(found: Iterator[tuple[int, int, int]]) -> pa.RecordBatch:
-            found = list(found)
-            return pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], ["a", "b", "cluster"])
+        def out() -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+
+            def send() -> pa.RecordBatch:
+                a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in ([np.full(len(y), x, np.int64) for x, y in held], [y for _, y in held]))
+                return pa.record_batch([pa.array(x) for x in (np.minimum(a, b), np.maximum(a, b), np.full(len(a), least, np.int64))], ["a", "b", "cluster"])
+
+            if len(group) > 1:
+                least = min(x[1] for x in group)
+                for found in pairs(*now[1:], group):
+                    held.append(found)
+                    n += len(found[1])
+                    if n >= 1 << 16:
+                        yield send()
+                        held, n = [], 0
+                if held:
+                    yield send()
 
         for batch in batches:
-            for node, block, other, own, part, sketch in zip(*(batch.column(k).to_pylist() for k in ("node", "block", "other", "id", "component", "sketch")), strict=True):
-                if (node, block, other) != now:
-                    yield out(pairs(group))
-                    now, group = (node, block, other), []
-                group.append((own, part, sketch))
-        yield out(pairs(group))
+            for *key, own, i, part, sketch in zip(*(batch.column(k).to_pylist() for k in (*keys, "own", "id", "component", "sketch")), strict=True):
+                if key != now:
+                    yield from out()
+                    now, group = key, []
+                group.append((own, i, part, sketch))
+        yield from out()
 
     keys = ["node", "block", "other"]
-    return rows.select(*keys, "id", "component", "sketch").repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, "a long, b long, cluster long")
+    return rows.select(*keys, "own", "id", "component", "sketch").repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, "a long, b long, cluster long")
+
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Members (node, size, id, component) of nodes dealt to blocks, once for every pair of blocks (block <= other) with their ``own``."""
+    blocks = F.when(F.col("size") <= SMALL, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
+    placed = rows.select("node", "id", "component", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.select("node", "id", "component", "own", F.least("own", "with").alias("block"), F.greatest("own", "with").alias("other"))
 
-def rest_candidates(classes: DataFrame, nodes: DataFrame, known: DataFrame, deepest: int = 16) -> DataFrame:
+
+def rest_candidates(classes: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
     """(a, b, cluster): pairs that share a node, lie in different components, and look near the threshold."""
     of = known.select(F.col("id").alias("k_id"), "component")
-    members = nodes.select("node").join(_nodes(classes, DEPTH), "node").join(of, F.col("id") == F.col("k_id"), "left").select("node", "id", F.coalesce("component", "id").alias("component"))
+    members = nodes.select("node").join(_nodes(classes, DEPTH), "node").join(of, F.col("id") == F.col("k_id"), "left").select("node", "id", "tree", F.coalesce("component", "id").alias("component"))
     wide = materialize(_open(members), "near-open")
-    found: DataFrame | None = None
-    for level in range(DEPTH, deepest + 1):
-        small = wide.filter(F.col("size") <= SMALL).withColumns({"block": F.lit(0), "other": F.lit(0)})
-        some = _compare(small.join(classes.select("id", "sketch"), "id"))
-        found = some if found is None else found.unionByName(some)
-        wide = wide.filter(F.col("size") > SMALL)
+    columns = ["node", "size", "id", "component"]
+    whole = [wide.filter(F.col("size") <= LARGE).select(columns)]
+    wide = wide.filter(F.col("size") > LARGE)
+    for level in range(1, (TREES + 1) // 2):
         if not wide.head(1):
-            return found
-        if level == deepest:
             break
-        # one chosen token a node, and in one node of three a second: 4/3 children on average, so that a pair at
-        # the threshold stays together in one of them on average, and less similar ones part
-        seed = lambda k: F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(COORDINATES)).cast("int")
-        on = lambda k: F.xxhash64("node", seed(k), F.get("sig", seed(k)))
-        second = F.pmod(F.xxhash64("node", F.lit(level), F.lit(2)), F.lit(3)) == 0
-        child = F.explode(F.when(second, F.array_distinct(F.array(on(0), on(1)))).otherwise(F.array(on(0)))).alias("node")
-        wide = materialize(_open(wide.join(classes.select("id", "sig"), "id").select(child, "id", "component")), "near-open")
-    # all choices used up: block against block, each member once per other block
-    blocks = F.ceil(F.col("size") / (SMALL // 2)).cast("int")
-    placed = wide.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("node", "id", "component", F.least("own", "with").alias("block"), F.greatest("own", "with").alias("other"))
-    return found.unionByName(_compare(placed.join(classes.select("id", "sketch"), "id")))
+        # the tokens of two other trees, none twice on a path: strides are prime to TREES
+        stride = F.element_at(F.array(*(F.lit(x) for x in (1, 5, 7, 11, 13, 17, 19, 23))), F.col("tree") % 8 + 1)
+        first = lambda x: F.pmod(F.col("tree") + x * stride, F.lit(TREES)) * DEPTH  # noqa: B023, E731
+        on = lambda x, k: F.xxhash64("parent", F.lit(x), F.lit(k), F.get("sig", (first(x) + k).cast("int")))  # noqa: B023, E731
+        born = wide.withColumnsRenamed({"node": "parent", "size": "parent_size"}).join(classes.select("id", "sig"), "id")
+        born = born.select("parent", "parent_size", "id", "tree", "component", F.explode(F.array(*(on(x, k) for x in (2 * level - 1, 2 * level) for k in range(DEPTH)))).alias("node"))
+        children = materialize(_open(born), "near-children")
+        # a member of a node of n takes n comparisons
+        heavy = children.groupBy("parent", "parent_size").agg(F.sum("size").alias("work")).filter(2 * F.col("work") > F.col("parent_size").cast("double") * F.col("parent_size"))
+        heavy = materialize(heavy.select(F.col("parent").alias("heavy")), "near-heavy")
+        whole.append(wide.join(heavy, F.col("node") == F.col("heavy"), "left_semi").select(columns))
+        children = children.join(heavy, F.col("parent") == F.col("heavy"), "left_anti")
+        whole.append(children.filter(F.col("size") <= LARGE).select(columns))
+        wide = children.filter(F.col("size") > LARGE).select(*columns, "tree")
+    whole.append(wide.select(columns))  # all tokens used up
+    rows = whole[0]
+    for more in whole[1:]:
+        rows = rows.unionByName(more)
+    return _compare(_blocks(rows).join(classes.select("id", "sketch"), "id"))
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

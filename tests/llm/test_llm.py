@@ -357,6 +357,30 @@ def test_near_dup_large_nodes(spark, monkeypatch, small):
     assert got == near_brute(rows)
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_near_dup_template_family(spark, monkeypatch, block):
+    """400 distinct texts of one template, in pairs at a Jaccard similarity of 0.75 to 0.8: a pair is a candidate however far its nodes are above SMALL."""
+    monkeypatch.setattr(near_dup, "SMALL", 16)
+    monkeypatch.setattr(near_dup, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(8)
+    token = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    template, rows, want = token(204), [], set()
+    for k in range(200):
+        both = np.concatenate([template, token(3)])
+        sets = [np.sort(np.concatenate([both, token(33)])) for _ in range(2)]
+        assert near_dup.linked(*sets) and len(both) < 0.8 * (len(both) + 66)
+        sigs = [near_dup.signature(x) for x in sets]
+        sketches = [x.astype(np.uint8) for x in sigs]
+        rows += [(2 * k + i, sigs[i].view(np.int32).tolist(), bytearray(sketches[i].tobytes())) for i in range(2)]
+        if near_dup._estimate(*sketches) >= near_dup.NEAR:
+            want.add((2 * k, 2 * k + 1))
+    classes = near_dup.materialize(spark.createDataFrame(rows, "id long, sig array<int>, sketch binary"), "test-classes")
+    nodes = near_dup.materialize(near_dup._nodes(classes, near_dup.DEPTH).groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("least")).filter("size > 1"), "test-nodes")
+    known = spark.createDataFrame([], "id long, component long")
+    found = near_dup.rest_candidates(classes, nodes, known).filter("b = a + 1 AND a % 2 = 0").select("a", "b").distinct()
+    assert len(want) > 190 and not want - {tuple(r) for r in found.collect()}
+
+
 def test_near_dup_odd(spark):
     docs = frame(spark, odd_rows())
     got = near_dup.components(docs).collect()
