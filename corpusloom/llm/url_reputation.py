@@ -86,11 +86,11 @@ def reputations(outcomes: DataFrame, z: float = 2.0, two_part: tuple[str, ...] =
     return judged.withColumn("low", F.col("mean") - z * F.sqrt(F.greatest(F.col("mean") * (1 - F.col("mean")), F.lit(0.0)) / (F.col("n") + strengths[2] + 1)))
 
 
-def judge_urls(pages: DataFrame, outcome: Column, rules: list[tuple[str, str]], cutoff: float = 0.3, z: float = 2.0, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, outcome: Column, rules: list[tuple[str, str]], cutoff: float = 0.3, z: float = 2.0, page_id: str = "page_id", url: str = "url", two_part: tuple[str, ...] = TWO_PART) -> DataFrame:
     """(page_id, host, path, rule, verdict, mean, low) of every page; ``outcome`` is 1 for a bad page, 0, or null."""
     read = pages.select(F.col(f"`{page_id}`").alias("page_id"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"), outcome.cast("int").alias("bad"))
     read = materialize(read, "page-urls")
-    known = reputations(read, z).select(F.col("host").alias("known"), "mean", "low")
+    known = reputations(read, z, two_part).select(F.col("host").alias("known"), "mean", "low")
     joined = read.join(known, F.col("host") == F.col("known")).withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("low") > cutoff, "block").otherwise("allow"))
     return joined.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "mean", "low")

@@ -88,6 +88,14 @@ def test_reputation_shrinks(spark):
     assert got["new.a.com"]["low"] < 0.3
 
 
+def test_judge_urls_takes_suffixes(spark):
+    """Sites under a two-label suffix that is passed share no registered domain."""
+    rows = [(i, f"http://{'bad' if i % 2 else 'good'}.org.uk/{i}", i % 2) for i in range(40)] + [(90, "http://new.org.uk/", None), (91, "http://x.bad.org.uk/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    got = {r["host"]: r["mean"] for r in url_reputation.judge_urls(pages, F.col("bad"), [], two_part=("org.uk",)).collect()}
+    assert got["x.bad.org.uk"] > got["new.org.uk"] > got["good.org.uk"]
+
+
 # ---- mixing
 
 
