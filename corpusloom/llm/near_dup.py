@@ -333,7 +333,7 @@ def rest_candidates(classes: DataFrame, nodes: DataFrame, known: DataFrame) -> D
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, n_links) of every row; n_links counts confirmed links of its class."""
+    """(doc_id, n_shingles, component_id, kept, confirmed_links) of every row; confirmed_links, those of its class that were confirmed, is a lower bound of its links."""
     base = project(docs, doc_id=doc_id, text=text)
     signed = materialize(map_batches(base, _sign, "doc_id long, n long, digest binary, sig array<int>, sketch binary"), "near-signed")
     with_set = signed.filter("n > 0 AND doc_id IS NOT NULL")
@@ -344,11 +344,11 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     more = confirmed(base, rest_candidates(classes, nodes, known))
     links = materialize(stars.unionByName(more).filter("a <> b").distinct(), "near-links")
     known = connect(links) if more.head(1) else known
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("confirmed_links"))
     found = classes.select(F.col("digest").alias("c_digest"), "id").join(known, "id", "left").join(degree, "id", "left")
     rows = signed.select("doc_id", "n", "digest").join(found, (F.col("digest") == F.col("c_digest")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component", "id", "doc_id")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("confirmed_links", F.lit(0)).cast("long").alias("confirmed_links"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -398,6 +398,13 @@ def test_near_dup_odd(spark):
     assert near_dup.keep_one(docs).columns == docs.columns
 
 
+def test_near_dup_names_its_lower_bound(spark):
+    """Three texts that are all linked: the column counts confirmed links, at least one a text."""
+    rows = [(k, " ".join(f"w{i}" for i in range(60)) + f" v{k}", "en", "s") for k in range(3)]
+    got = near_dup.components(frame(spark, rows)).collect()
+    assert all(1 <= r["confirmed_links"] <= 2 and r["component_id"] == 0 for r in got)
+
+
 def test_connect_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["id"]: r["component"] for r in near_dup.connect(links).collect()}
