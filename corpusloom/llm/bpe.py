@@ -1,20 +1,18 @@
 """Byte-level BPE by a tokenization automaton.
 
-The merges are compiled, in order, into a deterministic automaton over tokens.  The
-merge (x, y) of rank r adds a gadget: the arc labelled xy, and the removal of
-arc y behind every state in which x is then the last symbol.  A state is the last
-token read; it remembers its right spine (the symbols it was merged from along its
-right edge, each with the rank at which it was born and consumed), as a label
-remembers its left spine.  An arc (u, v) survives all gadgets if no merge
-joins a symbol of u's right spine with one of v's left spine while both are alive.
-The full table has states x labels cells, so rows are determinised on first
-use and kept.  In this automaton each word has exactly one accepting path, and its
-labels are the tokens that applying the merges one by one would give.
-
-Texts are pre-split; words are encoded by walking the automaton with the longest
-label first, stepping back where no arc fits.  Each position of a word is entered at
-most once per state, so the walk is linear for real words.  Decoding emits the
-labels of the arcs.
+Compiling composes one gadget per merge, in order of rank.  The gadget of (x, y) adds the arc labelled
+xy, and cuts the arc y behind every state in which x is still a symbol of its own at that
+rank.  A state is the last token read: its right spine holds the symbols along its right edge, each with
+the rank at which a later merge consumes it, as a label's left spine does on the other side.
+Composed over all merges, a state's row is a set of cuts (head, rank): the arc to a label is cut if the
+label's left spine holds the head until that rank.  States with equal rows are one state;
+rows, spines and the labels' byte tree are arrays (``Tables``), compiled once and broadcast.
+
+In this automaton every string has exactly one path.  Reading bytes, the subset construction makes
+it deterministic: a subset holds (state, place within a label) for all labels under way, and as every prefix
+has one path too, exactly one label ends at each byte.  A cell of the byte table is (next subset, that label);
+cells are made on first use and kept up to CELLS.  Encoding walks the table one byte at a time, never
+stepping back, and reads the path off the labels from the word's end.  Decoding emits the labels of the arcs.
 
 Defined results
 * null text: as the empty text; no ids, decoded text empty.  null doc_id is kept.
@@ -23,6 +21,7 @@ Defined results
 * other columns, whatever their names: ignored.  Empty table: empty result.
 * decoding ids that are not UTF-8 when joined: each bad sequence becomes U+FFFD;
   null ids: the empty text; an unknown id: no bytes.
+* a byte of a word that no label begins or goes on with: ValueError (byte vocabularies hold all 256).
 """
 
 from __future__ import annotations
@@ -31,6 +30,7 @@ import gc
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -48,7 +48,7 @@ _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WH
 _MEET = re.compile(r"[.,](?<=[^\w\s][.,]|_[.,])[ \n]")
 #: Words (and parts) kept per worker; beyond it the store starts afresh.
 KEPT = 1 << 17
-#: Cells of the determinised table kept per worker.
+#: Cells of the byte table kept per worker; beyond it the table starts afresh.
 CELLS = 1 << 18
 
 
@@ -59,111 +59,185 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@dataclass(frozen=True)
+class Tables:
+    """The compiled automaton as arrays, some 10 MB for 50,000 merges; ``x_at`` are the bounds of rows in ``x_*``."""
+
+    class_of: np.ndarray  # token -> state
+    cut_at: np.ndarray  # state -> cuts (head, rank)
+    cut_head: np.ndarray
+    cut_rank: np.ndarray
+    left_at: np.ndarray  # token -> left spine (symbol, rank at which it is consumed)
+    left_symbol: np.ndarray
+    left_dies: np.ndarray
+    tree_key: np.ndarray  # node << 8 | byte of every edge of the byte tree
+    tree_child: np.ndarray
+    tree_label: np.ndarray  # node -> token, or -1
+    label_at: np.ndarray  # token -> bytes
+    label_bytes: bytes
+    added: dict[str, int]
+
+
+def _rows(found: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = np.cumsum([0, *map(len, found)], dtype=np.int64)
+    flat = np.array([x for row in found for x in row], np.int32).reshape(-1, 2)
+    return at, flat[:, 0].copy(), flat[:, 1].copy()
+
+
+def compile_merges(vocab: dict[str, int], merges: list[tuple[str, str]], added: dict[str, int]) -> Tables:
+    """Compose the gadgets of ``merges``, first to last."""
+    to_byte = _byte_of()
+    raw = {name: bytes(to_byte[c] for c in name) for name in vocab}
+    never, size = len(merges), max([*vocab.values(), *added.values()], default=-1) + 1
+    born = {i: never for i in vocab.values()} | {vocab[name]: -1 for name, b in raw.items() if len(b) == 1}
+    parts: dict[int, tuple[int, int]] = {}
+    joined: dict[int, list[tuple[int, int]]] = {}  # left symbol -> (rank, right symbol), ranks ascending
+    for r, (x, y) in enumerate(merges):
+        a, b, made = vocab[x], vocab[y], vocab[x + y]
+        if born[a] >= r or born[b] >= r:
+            continue  # a part that cannot exist yet: the gadget is never entered
+        if born[made] != never:
+            raise ValueError(f"two merges make {x + y!r}")
+        joined.setdefault(a, []).append((r, b))
+        born[made], parts[made] = r, (a, b)
+
+    def spine(token: int, side: int) -> list[tuple[int, int]]:
+        out, ends = [(token, never)], token
+        while ends in parts:
+            out.append((parts[ends][side], born[ends]))
+            ends = parts[ends][side]
+        return out
+
+    cuts: list[dict[int, int]] = [{} for _ in range(size)]
+    left: list[list[tuple[int, int]]] = [[] for _ in range(size)]
+    for i in born:
+        left[i] = spine(i, 0)
+        for x, dies in spine(i, 1):
+            for r, y in joined.get(x, ()):
+                if r >= dies:
+                    break
+                if r < cuts[i].get(y, never):
+                    cuts[i][y] = r
+
+    def passes(a: int, b: int, before: int) -> bool:
+        """Whether no gadget of a rank below ``before`` joins symbols across the cut between a and b."""
+        return not any((r := cuts[a].get(y)) is not None and r < before and r <= dies for y, dies in left[b])
+
+    # a label can be read only if its own parts can, and no earlier gadget joins across the cut between them
+    readable = {i for i in born if born[i] < 0}
+    for i in sorted(parts, key=born.__getitem__):
+        if parts[i][0] in readable and parts[i][1] in readable and passes(*parts[i], born[i]):
+            readable.add(i)
+    classes: dict[frozenset, int] = {frozenset(): 0}  # state 0 is also the start: nothing is cut
+    class_of = np.array([classes.setdefault(frozenset(row.items()), len(classes)) for row in cuts], np.int32)
+    keys, children, labels = [], [], [-1]
+    nodes: dict[int, int] = {}
+    for name, i in vocab.items():
+        if i in readable and raw[name]:
+            node = 0
+            for byte in raw[name]:
+                key = node << 8 | byte
+                if key not in nodes:
+                    nodes[key] = len(labels)
+                    keys.append(key)
+                    children.append(len(labels))
+                    labels.append(-1)
+                node = nodes[key]
+            labels[node] = i
+    text = {i: raw[name] for name, i in vocab.items()} | {i: x.encode() for x, i in added.items()}
+    spelled = [text.get(i, b"") for i in range(size)]
+    return Tables(class_of, *_rows([sorted(x) for x in classes]), *_rows(left), np.array(keys, np.int64), np.array(children, np.int32), np.array(labels, np.int32), np.cumsum([0, *map(len, spelled)], dtype=np.int64), b"".join(spelled), added)
+
+
 class Automaton:
-    """The compiled merges of one vocabulary file."""
-
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], added: dict[str, int]):
-        to_byte = _byte_of()
-        raw = {name: bytes(to_byte[c] for c in name) for name in vocab}
-        self.label = {i: raw[name] for name, i in vocab.items()} | {i: s.encode() for s, i in added.items()}
-        self.special = sorted(added, key=len, reverse=True)
-        self.added = added
-        never = len(merges)
-        born = {i: never for i in vocab.values()}
-        born |= {vocab[name]: -1 for name, b in raw.items() if len(b) == 1}
-        self.rank: dict[int, int] = {}
-        parts: dict[int, tuple[int, int]] = {}
-        for r, (x, y) in enumerate(merges):  # one gadget after the other
-            a, b, made = vocab[x], vocab[y], vocab[x + y]
-            if born[a] >= r or born[b] >= r:
-                continue  # a part that cannot exist yet: the gadget is never entered
-            self.rank.setdefault(a << 32 | b, r)
-            if born[made] != never:
-                raise ValueError(f"two merges make {x + y!r}")
-            born[made], parts[made] = r, (a, b)
-        self._parts, self._born, self._never = parts, born, never
-        self._right: dict[int, list[tuple[int, int]]] = {}
+    """The walk over compiled tables; the byte table is made deterministic as it is used."""
+
+    def __init__(self, tables: Tables):
+        self.tables, self.added = tables, tables.added
+        self.special = sorted(tables.added, key=len, reverse=True)
+        at = tables.label_at.tolist()
+        self.label = [tables.label_bytes[i:j] for i, j in zip(at, at[1:], strict=False)]
+        self.length = [len(x) for x in self.label]
+        self._child = dict(zip(tables.tree_key.tolist(), tables.tree_child.tolist(), strict=True))
+        self._label = tables.tree_label.tolist()
+        inner = np.zeros(len(self._label), bool)
+        inner[tables.tree_key >> 8] = True
+        self._inner = inner.tolist()
+        self._class = tables.class_of.tolist()
+        self._cut: dict[int, dict[int, int]] = {}
         self._left: dict[int, list[tuple[int, int]]] = {}
-        #: rows of the table: state -> label -> whether the arc survives; cells are filled on first use
-        self.rows: dict[int, dict[int, bool]] = {i: {} for i in self.label}
-        self.cells = 0
-        # a label can be read only if its own parts can, and no earlier gadget joins across the cut between them
-        readable: set[int] = {i for i in born if born[i] < 0}
-        for i in sorted(parts, key=born.__getitem__):
-            a, b = parts[i]
-            if a in readable and b in readable and self._joins(a, b, born[i]):
-                readable.add(i)
-        self.ids = {raw[name]: i for name, i in vocab.items() if i in readable}
-        self.root: dict = {}  # bytes -> ... -> -1: label
-        for name, i in self.ids.items():
-            node = self.root
-            for b in name:
-                node = node.setdefault(b, {})
-            node[-1] = i
-        self._words: dict[bytes, tuple[int, ...]] = {}
-
-    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
-        """(symbol, rank at which it is consumed) from the token itself down one edge."""
-        kept = self._right if side else self._left
-        if token not in kept:
-            out, ends = [(token, self._never)], token
-            while ends in self._parts:
-                out.append((self._parts[ends][side], self._born[ends]))
-                ends = self._parts[ends][side]
-            kept[token] = out
-        return kept[token]
-
-    def _joins(self, a: int, b: int, r: int) -> bool:
-        """Whether no gadget of a rank below r joins symbols across the cut between a and b."""
-        return not any((m := self.rank.get(x << 32 | y)) is not None and m < r and m < dx and m <= dy for x, dx in self._spine(a, 1) for y, dy in self._spine(b, 0))
-
-    def arc(self, state: int, label: int) -> bool:
-        """Determinise one cell of the table."""
-        self.cells += 1
-        if self.cells > CELLS:
-            self.cells = 1
-            for row in self.rows.values():
-                row.clear()
-        found = self.rows[state][label] = self._joins(state, label, self._never)
-        return found
+        self._words: dict[str, tuple[int, ...]] = {}
+        self._start: tuple = ((0, 0),)
+        self._forget(self._start)
+
+    def _forget(self, keep: tuple) -> None:
+        """An empty byte table, in which subset 0 is the start."""
+        self.cells: dict[int, tuple[int, int]] = {}
+        self._subsets = [self._start]
+        self._number = {self._start: 0}
+        self._place(keep)
+
+    def _place(self, subset: tuple) -> int:
+        number = self._number.setdefault(subset, len(self._subsets))
+        if number == len(self._subsets):
+            self._subsets.append(subset)
+        return number
+
+    def fits(self, state: int, label: int) -> bool:
+        """Whether the composed gadgets leave the arc from a state to a label."""
+        t = self.tables
+        cut = self._cut.get(state)
+        if cut is None:
+            i, j = t.cut_at[state], t.cut_at[state + 1]
+            cut = self._cut[state] = dict(zip(t.cut_head[i:j].tolist(), t.cut_rank[i:j].tolist(), strict=True))
+        if not cut:
+            return True
+        left = self._left.get(label)
+        if left is None:
+            i, j = t.left_at[label], t.left_at[label + 1]
+            left = self._left[label] = list(zip(t.left_symbol[i:j].tolist(), t.left_dies[i:j].tolist(), strict=True))
+        for symbol, dies in left:
+            if cut.get(symbol, dies + 1) <= dies:
+                return False
+        return True
+
+    def step(self, at: int, byte: int) -> tuple[int, int]:
+        """Make one cell: the row of the subset that follows, and the label that ends here."""
+        subset, done, under_way = self._subsets[at], -1, []
+        for state, node in subset:
+            node = self._child.get(node << 8 | byte)
+            if node is None:
+                continue
+            label = self._label[node]
+            if label >= 0 and done < 0 and self.fits(state, label):
+                done = label
+            if self._inner[node]:
+                under_way.append((state, node))
+        if done < 0:
+            raise ValueError(f"no path for byte {byte}")
+        under_way.append((self._class[done], 0))
+        if len(self.cells) >= CELLS:
+            self._forget(subset)
+            at = self._number[subset]
+        cell = self.cells[at << 8 | byte] = (self._place(tuple(under_way)) << 8, done)
+        return cell
 
     def word(self, word: bytes) -> tuple[int, ...]:
-        """Labels of the accepting path of one pre-split word."""
-        whole = self.ids.get(word)
-        if whole is not None:
-            return (whole,)
-        rows, root, n = self.rows, self.root, len(word)
-        path: list[int] = []
-        choices: list[tuple[int, list[tuple[int, int]]]] = []  # per arc of the path: its start, and the shorter labels not tried yet
-        dead: set[tuple[int, int]] = set()
-        at = 0
-        while at < n:
-            node, fits, end = root, [], at
-            for b in word[at:] if at else word:
-                node = node.get(b)
-                if node is None:
-                    break
-                end += 1
-                if -1 in node:
-                    fits.append((node[-1], end))
-            while True:
-                if fits:
-                    label, end = fits.pop()
-                    if path:
-                        fit = rows[path[-1]].get(label)
-                        if fit is False or fit is None and not self.arc(path[-1], label):
-                            continue
-                    if dead and (label, end) in dead:
-                        continue
-                    path.append(label)
-                    choices.append((at, fits))
-                    at = end
-                    break
-                if not path:
-                    raise ValueError(f"no path for {word!r}")
-                dead.add((path.pop(), at))  # no arc fits here: step back to a shorter label
-                at, fits = choices.pop()
-        return tuple(path)
+        """Labels of the path of one pre-split word: one cell a byte."""
+        get, row, ends = self.cells.get, 0, []
+        add = ends.append
+        for byte in word:
+            cell = get(row | byte)
+            if cell is None:
+                cell = self.step(row >> 8, byte)
+                get = self.cells.get
+            row, label = cell
+            add(label)
+        n, length, path = len(word), self.length, []
+        while n:
+            path.append(ends[n - 1])
+            n -= length[path[-1]]
+        return tuple(path[::-1])
 
     def pieces(self, text: str) -> list[int]:
         """Ids of a text without special strings."""
@@ -172,9 +246,11 @@ class Automaton:
         for piece in _SPLIT.findall(text):
             found = words.get(piece)
             if found is None:
-                if len(words) >= KEPT:
-                    words.clear()
-                found = words[piece] = self.word(piece.encode())
+                found = self.word(piece.encode())
+                if len(piece) < 40:
+                    if len(words) >= KEPT:
+                        words.clear()
+                    words[piece] = found
             out.extend(found)
         return out
 
@@ -187,18 +263,18 @@ class Automaton:
         return self.pieces(text)
 
     def decode(self, ids: list[int]) -> str:
-        label = self.label
-        return b"".join([label.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        label, n = self.label, len(self.label)
+        return b"".join([label[i] for i in ids if i is not None and 0 <= i < n]).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=4)
-def automaton(path: str) -> Automaton:
-    """Compile a tokenizer file once per process."""
+def compiled(path: str) -> Tables:
+    """Compile a tokenizer file, once per process (the driver)."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
     added = {x["content"]: x["id"] for x in spec.get("added_tokens") or []}
-    return Automaton(spec["model"]["vocab"], merges, added)
+    return compile_merges(spec["model"]["vocab"], merges, added)
 
 
 #: ids as decimals joined by commas, bytes of the labels
@@ -222,11 +298,11 @@ class Codec:
     most KEPT parts each.
     """
 
-    def __init__(self, path: str):
-        self.auto = automaton(path)
+    def __init__(self, tables: Tables):
+        self.auto = Automaton(tables)
         #: newer and older generation, of parts beside marks and of parts beside spaces
         self.stores: dict[str, list[dict[str, Coded]]] = {"bare": [{}, {}], "spaced": [{}, {}]}
-        self.decimal = {i: str(i).encode() for i in self.auto.label}
+        self.decimal = [str(i).encode() for i in range(len(self.auto.label))]
 
     def code(self, ids: Sequence[int]) -> Coded:
         decimal, label = self.decimal, self.auto.label
@@ -251,7 +327,9 @@ class Codec:
         return b",".join(decimals), b"".join(labels)
 
     def look_up(self, first: str, rest: list[str], kind: str) -> list[Coded] | None:
-        """Codes of all parts; None if one is WIDE.  Nothing follows the last part, so only its start matters."""
+        """Codes of all parts; None if one is WIDE.  Nothing follows the last part and nothing precedes the first, so only one side of them matters."""
+        if first[-1:].isspace():  # the white space may go on with the next part
+            return None
         last = rest.pop() if rest else None
         held = list(map(self.stores[kind][0].get, rest))
         if not all(held):
@@ -298,31 +376,24 @@ class Codec:
         return self.code(self.auto.pieces(" " + part))
 
 
-@lru_cache(maxsize=4)
-def codec(path: str) -> Codec:
-    """One codec per process and file."""
-    return Codec(path)
-
-
 def map_codes(docs: DataFrame, path: str, make: Callable[[Coded], tuple], columns: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every whole text and return doc_id with the ``columns`` that ``make`` derives from its code.
 
-    The file at ``path`` must be readable on every executor.  There is no shuffle.
+    The file at ``path`` is compiled here; tasks get the arrays.  There is no shuffle.
     """
     arrow = to_arrow_schema(T._parse_datatype_string(f"doc_id long, {columns}"))
+    tables = docs.sparkSession.sparkContext.broadcast(compiled(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path)
+        coder = None
         gc.set_threshold(200_000, 50, 100)  # the stores hold no cycles; do not walk them again and again
         for batch in batches:
+            coder = coder or Codec(tables.value)
             for part in slices(batch, "text"):
                 rows = [make(coder.encode(x or "")) for x in part.column("text").to_pylist()]
                 made = [pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), list(arrow)[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *made], schema=arrow)
-        # the worker lives on for other stages: leave them the memory (compiling again takes half a second a task)
-        codec.cache_clear()
-        automaton.cache_clear()
-        del coder
+        del coder  # the worker lives on for other stages: leave them the memory
         gc.collect()
         give_back()
 
@@ -340,9 +411,10 @@ def encode(docs: DataFrame, path: str, **columns: str) -> DataFrame:
 
 def decode(coded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(doc_id, text) from ids, by emitting the label of each arc."""
+    tables = coded.sparkSession.sparkContext.broadcast(compiled(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton(path)
+        auto = Automaton(tables.value)
         for batch in batches:
             texts = [auto.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])

@@ -154,11 +154,11 @@ def test_mix(spark):
 def test_bpe_equals_library(spark):
     from tokenizers import Tokenizer
 
-    theirs, ours = Tokenizer.from_file(PATH), bpe.codec(PATH)
+    theirs, ours = Tokenizer.from_file(PATH), bpe.Codec(bpe.compiled(PATH))
     rng = random.Random(0)
-    texts = ["", " ", "a  b", "a \n b", "\n\n", "x" * 3000, "<|endoftext|>", "a <|endoftext|>  b", "don't I'll 's", "\x85a\xa0b c 　d", "\x1c \x1d a\x1e", "١٢٣ ²³ Ⅷ é́ 日本語 🙂👍🏽", "b., c", "a.\nB, c.\n", "\x01 a", "!!, x", "x!! , y."]
-    alphabet = " \n\t'.,!_" + "abcdeéß日🙂1²re st"
-    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 30))) for _ in range(4000)]
+    texts = ["", " ", "a  b", "a \n b", "\n\n", "x" * 3000, "<|endoftext|>", "a <|endoftext|>  b", "don't I'll 's", "\x85a\xa0b c 　d", "\x1c \x1d a\x1e", "١٢٣ ²³ Ⅷ é́ 日本語 🙂👍🏽", "b., c", "a.\nB, c.\n", "\x01 a", "!!, x", "x!! , y.", "Intro\xa0\xa0, then", "\xa0\xa0. x", "\r\r, a", "x" * 9 + "ab" * 2000]
+    alphabet = " \n\t'.,!_\xa0\r\x85" + "abcdeéß日🙂1²re st"
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 30))) for _ in range(12000)]
     texts += ["".join(chr(rng.choice([rng.randint(1, 0x2FF), rng.randint(1, 0xD7FF), rng.randint(0xE000, 0x1FFFF), 32, 32])) for _ in range(rng.randint(1, 20))) for _ in range(1500)]
     for text in texts:
         ids = theirs.encode(text, add_special_tokens=False).ids
@@ -178,14 +178,60 @@ def test_bpe_operators(spark):
     got = bpe.map_codes(docs, PATH, digest_code, "n_tokens long, ids_sha256 string, decoded_sha256 string").filter("doc_id = 6").first()
     assert got["decoded_sha256"] == hashlib.sha256(b"one").hexdigest() and got["ids_sha256"] == hashlib.sha256(b"505").hexdigest()
     assert bpe.encode(empty(spark), PATH).count() == 0
-    assert bpe.automaton(PATH).decode([10**6]) == ""
+    assert bpe.Automaton(bpe.compiled(PATH)).decode([10**6]) == ""
 
 
 def test_bpe_gadgets_need_parts_first():
     with pytest.raises(ValueError):
-        bpe.Automaton({"a": 0, "b": 1, "ab": 2}, [("a", "b"), ("a", "b")], {})
-    auto = bpe.Automaton({"a": 0, "aa": 1, "aaa": 2}, [("a", "a"), ("aa", "a")], {})
+        bpe.compile_merges({"a": 0, "b": 1, "ab": 2}, [("a", "b"), ("a", "b")], {})
+    auto = bpe.Automaton(bpe.compile_merges({"a": 0, "aa": 1, "aaa": 2}, [("a", "a"), ("aa", "a")], {}))
     assert [auto.word(b"a" * n) for n in (1, 2, 3, 4, 5)] == [(0,), (1,), (2,), (1, 1), (1, 2)]
+    with pytest.raises(ValueError):
+        auto.word(b"b")
+
+
+def merged_in_order(word, merges):
+    """BPE by applying the merges one by one."""
+    parts = list(word)
+    for x, y in merges:
+        out = []
+        for p in parts:
+            if out and out[-1] == x and p == y:
+                out[-1] = x + y
+            else:
+                out.append(p)
+        parts = out
+    return parts
+
+
+def test_bpe_automaton_brute_force(monkeypatch):
+    """Random merges over three letters, every word up to length 8; a byte table that starts afresh all the time gives the same."""
+    rng = random.Random(11)
+    for trial in range(12):
+        vocab, merges = {"a": 0, "b": 1, "c": 2}, []
+        while len(merges) < 14:
+            x, y = rng.choice(list(vocab)), rng.choice(list(vocab))
+            if x + y not in vocab and len(x + y) < 7:
+                vocab[x + y] = len(vocab)
+                merges.append((x, y))
+        monkeypatch.setattr(bpe, "CELLS", 3 if trial % 3 == 0 else 1 << 18)
+        auto = bpe.Automaton(bpe.compile_merges(vocab, merges, {}))
+        words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 24))) for _ in range(400)] + ["a" * n for n in range(1, 30)]
+        for w in words:
+            assert auto.word(w.encode()) == tuple(vocab[p] for p in merged_in_order(w, merges)), (w, merges)
+
+
+def test_bpe_query_equals_library_on_documents(spark):
+    """The whole query, on whole documents, against the library."""
+    from tokenizers import Tokenizer
+
+    theirs = Tokenizer.from_file(PATH)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op4_bpe_codec"](spark, "/root/testdata/sf0.01").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()}
+    assert len(got) == len(rows)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for row, code in zip(rows, theirs.encode_batch([r["text"] or "" for r in rows], add_special_tokens=False), strict=True):
+        assert got[row["doc_id"]] == (len(code.ids), sha(",".join(map(str, code.ids))), sha(theirs.decode(code.ids, skip_special_tokens=False)))
 
 
 # ---- classifiers
