@@ -49,27 +49,31 @@ FROM j GROUP BY r, doc_id
 """
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-OP2_CUTOFF = 0.3
+#: A page of a host with such a word is labelled bad; common words of public block lists.
+BAD_WORDS = tuple("adult ads bet bets casino cialis escort lottery pill pills poker porn sex spam viagra warez xxx".split())
+#: The document that a page shows is numbered in its path.
+SHOWN = r"^/[a-z]+/([0-9]{1,18})(?:[./]|$)"
 
 
-def _level(name: str, key: str, groups: str) -> str:
+def _level(name: str, groups: str) -> str:
     """Prior strength of one level, by the method of moments."""
-    return f"""{name} AS (SELECT least(greatest(coalesce((r * (1 - r) - s2) / greatest(s2 - r * (1 - r) * g / t, 1e-9), 1000.0), 2.0), 1000.0) AS k FROM (
-  SELECT any_value(rate.r) AS r, sum(n * (bad / nullif(n, 0) - rate.r) * (bad / nullif(n, 0) - rate.r)) / nullif(sum(n), 0) AS s2, count(CASE WHEN n > 0 THEN 1 END) AS g, nullif(sum(n), 0) AS t FROM {groups}, rate))"""
+    return f"""{name} AS (SELECT greatest(coalesce(v / nullif((greatest(s2 - v * more / t, 0) + v * sqrt(2 * greatest(more, 1)) / t) / CASE WHEN 1 - q / (t * t) - more / t > 1e-9 THEN 1 - q / (t * t) - more / t END, 0) - 1, 1.0), 1.0) AS k FROM (
+  SELECT any_value(r * (1 - r)) AS v, sum(n * (bad / nullif(n, 0) - r) * (bad / nullif(n, 0) - r)) / nullif(sum(n), 0) AS s2, count(CASE WHEN n > 0 THEN 1 END) - 1 AS more, nullif(sum(n), 0) AS t, sum(n::DOUBLE * n) AS q FROM {groups}, rate))"""
 
 
 OP2 = rf"""
-WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{_UP}', '{_LOW}') AS host,
-  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path, (len(regexp_extract_all(html, '[#*%$]{{3}}|!!')) >= 5)::INT AS bad FROM pages),
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{_UP}', '{_LOW}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality = 1 AND toxic = 0 THEN 0 END) AS bad FROM labels GROUP BY doc_id),
+p AS (SELECT page_id, host, path, CASE WHEN regexp_matches(host, '(^|[.-])({"|".join(BAD_WORDS)})([.-]|$)') THEN 1 ELSE lab.bad END AS bad FROM u LEFT JOIN lab ON lab.doc_id = try_cast(nullif(regexp_extract(path, '{SHOWN}', 1), '') AS BIGINT)),
 labels_of AS (SELECT host, string_split(host, '.') AS ls, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM p GROUP BY host),
 hosts AS (SELECT host, n, bad, CASE WHEN list_aggregate(ls[-2:], 'string_agg', '.') IN ('co.uk', 'com.au', 'co.jp', 'com.br') THEN list_aggregate(ls[-3:], 'string_agg', '.') ELSE list_aggregate(ls[-2:], 'string_agg', '.') END AS domain,
   CASE WHEN list_aggregate(ls[-2:], 'string_agg', '.') IN ('co.uk', 'com.au', 'co.jp', 'com.br') THEN list_aggregate(ls[-2:], 'string_agg', '.') ELSE ls[-1] END AS suffix FROM labels_of),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 rate AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS r FROM suffixes),
-{_level("ks", "suffix", "suffixes")},
-{_level("kd", "domain", "domains")},
-{_level("kh", "host", "hosts")},
+{_level("ks", "suffixes")},
+{_level("kd", "domains")},
+{_level("kh", "hosts")},
 sm AS (SELECT suffix, (bad + k * r) / (n + k) AS m FROM suffixes, ks, rate),
 dm AS (SELECT domain, (bad + k * m) / (n + k) AS m FROM domains JOIN sm USING (suffix), kd),
 hm AS (SELECT host, n, (bad + k * m) / (n + k) AS m, k FROM hosts JOIN dm USING (domain), kh),
@@ -77,7 +81,7 @@ low AS (SELECT host, m - 2 * sqrt(greatest(m * (1 - m), 0) / (n + k + 1)) AS low
 rules(verdict, rule) AS (VALUES {", ".join(f"('{v}', '{r}')" for v, r in RULES)}),
 fit AS (SELECT page_id, host, path, rule, verdict, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule) DESC, verdict DESC) AS k FROM (SELECT DISTINCT page_id, host, path FROM p) q, rules
   WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/'))))
-SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN low.low > {OP2_CUTOFF} THEN 'block' ELSE 'allow' END) AS verdict
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN low.low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(low.low, 9) AS low
 FROM p JOIN low ON low.host = p.host LEFT JOIN fit f ON f.page_id = p.page_id AND f.host = p.host AND f.path = p.path AND f.k = 1
 """
 

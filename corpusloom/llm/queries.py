@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, fingerprint, line_dedup, mixing, near_dup, quality_model, quality_rules, sharding, toxicity, url_reputation
 from ._arrow import small_batches
-from .oracles import OP1, OP2, OP2_CUTOFF, OP3, OP6, OP6_LIMIT, OP8, OP10, RULES
+from .oracles import BAD_WORDS, OP1, OP2, OP3, OP6, OP6_LIMIT, OP8, OP10, RULES, SHOWN
 
 #: Where the public vocabulary files are; a deployment sets its own folder.
 TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -26,11 +26,21 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page_id, url, bad): 1 for pages of a host with a bad word, else what the label of the document shown says, else null."""
+    path, host = url_reputation.path_of(F.col("url")), url_reputation.host_of(F.col("url"))
+    shown = F.expr(f"try_cast(nullif(regexp_extract(path, r'{SHOWN}', 1), '') AS BIGINT)").cast("string")
+    # pages that show no document get keys of their own, so that they meet in no one task
+    keyed = pages.select("page_id", "url", path.alias("path"), url_reputation.word_in(host, BAD_WORDS).alias("word")).withColumn("key", F.coalesce(shown, F.concat(F.lit("no "), F.xxhash64("url").cast("string"))))
+    judged = F.expr("CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality = 1 AND toxic = 0 THEN 0 END")
+    known = labels.groupBy(F.col("doc_id").cast("string").alias("key")).agg(F.max(judged).alias("label"))
+    return keyed.join(known, "key", "left").select("page_id", "url", F.when(F.col("word"), 1).otherwise(F.col("label")).alias("bad"))
+
+
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a page counts as bad if its markup holds five runs of symbols or shouts
-    bad = F.regexp_count("html", F.lit(r"[#*%$]{3}|!!")) >= 5
-    judged = url_reputation.judge_urls(table(spark, sf_dir, "pages"), bad, RULES, OP2_CUTOFF)
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    outcomes = page_outcomes(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    judged = url_reputation.judge_urls(outcomes, F.col("bad"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("low", 9).alias("low"))
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,58 @@ def test_reputation_shrinks(spark):
     assert got["new.a.com"]["low"] < 0.3
 
 
+def posterior_brute(rows, z):
+    """Lower bounds by hand.  rows: (host, bad or None), hosts of three labels."""
+    def level(key):
+        n, bad = Counter(), Counter()
+        for h, b in rows:
+            n[key(h)] += b is not None
+            bad[key(h)] += b or 0
+        return n, bad
+
+    keys = (lambda h: h.split(".")[-1], lambda h: h.split(".", 1)[1], lambda h: h)
+    levels = [level(k) for k in keys]
+    n, bad = levels[0]
+    total = sum(n.values())
+    rate = sum(bad.values()) / total
+    v, strengths = rate * (1 - rate), []
+    for n, bad in levels:
+        own = [k for k in n if n[k]]
+        free = 1 - sum(n[k] ** 2 for k in own) / total**2 - (len(own) - 1) / total
+        spread = sum(n[k] * (bad[k] / n[k] - rate) ** 2 for k in own) / total
+        between = (max(spread - v * (len(own) - 1) / total, 0) + v * (2 * (len(own) - 1)) ** 0.5 / total) / free
+        strengths.append(max(v / between - 1, 1))
+    out = {}
+    for h in {h for h, _ in rows}:
+        mean = rate
+        for k, (n, bad), strength in zip(keys, levels, strengths, strict=True):
+            mean = (bad[k(h)] + strength * mean) / (n[k(h)] + strength)
+        out[h] = mean - z * (mean * (1 - mean) / (levels[2][0][h] + strengths[2] + 1)) ** 0.5
+    return out
+
+
+def test_posterior_decides(spark):
+    """Verdicts follow the lower bound: many bad pages block a host, one does not, and neither does a good one nor the prior alone."""
+    rng = random.Random(12)
+    rows = [("bad.a.com", 1)] * 30 + [("once.a.com", 1)] + [("new.a.com", None)] * 9 + [("mixed.b.org", int(rng.random() < 0.5)) for _ in range(40)]
+    rows += [(f"h{k}.{'abc'[k % 3]}.org", int(rng.random() < 0.15)) for k in range(30) for _ in range(12)]
+    pages = spark.createDataFrame([(i, f"http://{h}/{i}", b) for i, (h, b) in enumerate(rows)], "page_id long, url string, bad int")
+    got = {r["host"]: r for r in url_reputation.judge_urls(pages, F.col("bad"), []).collect()}
+    want = posterior_brute(rows, 2.0)
+    assert {h: r["low"] for h, r in got.items()} == pytest.approx(want)
+    assert {h for h, r in got.items() if r["verdict"] == "block"} == {h for h, low in want.items() if low > 0.5}
+    assert [got[h]["verdict"] for h in ("bad.a.com", "once.a.com", "new.a.com", "mixed.b.org")] == ["block", "allow", "allow", "allow"]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_url_query_is_not_its_rules(spark, sf):
+    """Among pages without a rule the posterior blocks some hosts and not others, and not all that have a bad page."""
+    own = QUERIES["op2_url_reputation"](spark, f"/root/testdata/{sf}").filter("rule IS NULL").collect()
+    blocked = {r["host"] for r in own if r["verdict"] == "block"}
+    assert blocked and len(blocked) < len({r["host"] for r in own}) / 2
+    assert all((r["low"] > 0.5) == (r["verdict"] == "block") for r in own) and len({r["low"] for r in own}) > 20
+
+
 def test_judge_urls_takes_suffixes(spark):
     """Sites under a two-label suffix that is passed share no registered domain."""
     rows = [(i, f"http://{'bad' if i % 2 else 'good'}.org.uk/{i}", i % 2) for i in range(40)] + [(90, "http://new.org.uk/", None), (91, "http://x.bad.org.uk/", None)]
