@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-_BIN = "CASE " + " ".join(f"WHEN v >= {16 << s} THEN v // {1 << s} * {1 << s}" for s in range(15, 0, -1)) + " ELSE v END"
-_FENCED = {"symbol_rate": 40, "dup_line_rate": 350, "repeat_rate": 250, "shout_rate": 200}
+_RATE = "({} + 1) * 1000000 // ({} + 1)"
+_FEATURES = {"symbol_rate": _RATE.format("n_symbols", "word_chars"), "word_length": "word_chars * 1000 // greatest(n_words, 1)", "dup_line_rate": _RATE.format("n_dup_lines", "n_lines"), "repeat_rate": _RATE.format("n_repeat_words", "n_words"), "shout_rate": _RATE.format("n_shouts", "n_words")}
+_WIDTH = "(1::BIGINT << greatest(length(bin({})) - 5, 0))"
 
 OP10 = rf"""
 WITH w AS (
@@ -19,18 +20,23 @@ s AS (
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
     coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines, ((length(t) - length(replace(t, '!!', ''))) // 2)::BIGINT AS n_shouts
   FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN dup ON dup.doc_id = w.doc_id
-), f AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 1000 * n_symbols // greatest(word_chars, 1) AS symbol_rate,
-    1000 * n_dup_lines // greatest(n_lines, 1) AS dup_line_rate, 1000 * n_repeat_words // greatest(n_words, 1) AS repeat_rate, 1000 * n_shouts // greatest(n_words, 1) AS shout_rate
-  FROM s
-), long AS (
-  {" UNION ALL ".join(f"SELECT lang, source, '{k}' AS feature, {k} AS v FROM f WHERE NOT base_failed" for k in _FENCED)}
-), bins AS (SELECT lang, source, feature, {_BIN} AS bin, count(*) AS n FROM long GROUP BY ALL),
-ranked AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, feature ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, feature) AS total FROM bins),
-q AS (SELECT lang, source, feature, min(CASE WHEN upto * 2 >= total THEN bin END) AS mid, min(CASE WHEN upto * 4 >= total * 3 THEN bin END) AS upper FROM ranked GROUP BY ALL),
-fence AS (SELECT lang, source, {", ".join(f"max(CASE WHEN feature = '{k}' THEN mid + greatest(4 * (upper - mid), {v}) END) AS {k}_fence" for k, v in _FENCED.items())} FROM q GROUP BY ALL)
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"{v} AS {k}" for k, v in _FEATURES.items())} FROM s),
+long AS (
+  {" UNION ALL ".join(f"SELECT lang, source, '{k}' AS feature, {k} AS v FROM f WHERE NOT base_failed" for k in _FEATURES)}
+), bins AS (SELECT lang, source, feature, v - v % {_WIDTH.format("v")} AS bin, count(*)::HUGEINT AS n FROM long GROUP BY ALL),
+tongue AS (SELECT lang, feature, bin, sum(n)::HUGEINT AS n_lang FROM bins GROUP BY ALL),
+totals AS (SELECT lang, feature, sum(n_lang)::HUGEINT AS total FROM tongue GROUP BY ALL),
+parts AS (
+  SELECT b.lang, b.source, b.feature, b.bin, b.n * t.total AS weight FROM bins b JOIN totals t ON b.feature = t.feature AND b.lang IS NOT DISTINCT FROM t.lang
+  UNION ALL
+  SELECT g.lang, g.source, g.feature, l.bin, 50 * l.n_lang FROM (SELECT DISTINCT lang, source, feature FROM bins) g JOIN tongue l ON g.feature = l.feature AND g.lang IS NOT DISTINCT FROM l.lang
+), merged AS (SELECT lang, source, feature, bin, sum(weight) AS weight FROM parts GROUP BY ALL),
+ranked AS (SELECT *, sum(weight) OVER (PARTITION BY lang, source, feature ORDER BY bin) AS upto, sum(weight) OVER (PARTITION BY lang, source, feature) AS total FROM merged),
+q AS (SELECT lang, source, feature, greatest(min(CASE WHEN upto * 4 >= total THEN bin END), 1)::DOUBLE AS q1, min(CASE WHEN upto * 4 >= total * 3 THEN bin END) AS b3 FROM ranked GROUP BY ALL),
+r AS (SELECT *, (b3 + {_WIDTH.format("b3")})::DOUBLE AS q3 FROM q),
+fence AS (SELECT lang, source, max(CASE WHEN feature = 'word_length' THEN q1 / (q3 / q1) / (q3 / q1) END) AS word_length_low, {", ".join(f"max(CASE WHEN feature = '{k}' THEN q3 * (q3 / q1) * (q3 / q1) END) AS {k}_high" for k in _FEATURES)} FROM r GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND {" AND ".join(f"{k} <= coalesce({k}_fence, 0)" for k in _FENCED)} AS kept
+  NOT base_failed AND {" AND ".join(f"coalesce({k} <= {k}_high, false)" for k in _FEATURES)} AND coalesce(word_length >= word_length_low, false) AS kept
 FROM f LEFT JOIN fence ON f.lang IS NOT DISTINCT FROM fence.lang AND f.source IS NOT DISTINCT FROM fence.source
 """
 

@@ -4,10 +4,15 @@ Every document gets a few counts (words, symbols, repeated lines, repeated
 windows, shouting).  Fixed base rules reject the hopeless ones.  For the others
 each feature is summarised per (lang, source) by a log-linear quantile sketch: a
 histogram whose integer bins keep the top five bits of a value, so a quantile is
-right to within 1/32 of its value.  Two sketches merge by adding counts, so they are
+right to within 1/16 of its value.  Two sketches merge by adding counts, so they are
 built by partial aggregation: a source with a third of all rows sends at most
-one row per bin and task.  An upper fence follows from the sketch's median and
-upper quartile, and the documents are joined with the fences.
+one row per bin and task.  A group's sketch is merged with its language's, the latter scaled to
+PRIOR documents, so that a group of a few documents follows its language.
+
+Fences lie REACH quartile ranges beyond the quartiles, on a logarithmic scale: upper = q3 * (q3 / q1) ** REACH,
+lower = q1 / (q3 / q1) ** REACH.  There is no constant in them; rates of counts that are mostly 0 get one more
+count in numerator and denominator, which gives them a spread by the documents' lengths.  The
+documents are joined with the fences.
 
 Defined results
 * null or empty text: no words, every count 0, ``base_failed``, not kept.
@@ -28,11 +33,12 @@ from pyspark.sql import functions as F
 from ._arrow import SPACE, map_batches, project, texts_of
 
 SYMBOLS = b"#*$%&|<>"
-#: feature -> least distance (per mille) between a group's median and its fence.  It
-#: keeps a group of clean, equal documents from fencing out small deviations.
-SLACK = {"symbol_rate": 40, "dup_line_rate": 350, "repeat_rate": 250, "shout_rate": 200}
-#: The fence lies this many quartile distances above the median.
-REACH = 4
+#: feature -> whether it has a lower fence as well.
+FEATURES = {"symbol_rate": False, "word_length": True, "dup_line_rate": False, "repeat_rate": False, "shout_rate": False}
+#: Quartile ranges (as ratios) between a quartile and its fence.
+REACH = 2
+#: Documents for which the language's sketch counts in that of a group.
+PRIOR = 50
 
 _STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_shouts long"
 
@@ -94,46 +100,62 @@ def document_stats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def features() -> dict[str, Column]:
-    """The judged features, in per mille, as integers."""
-    share = lambda a, b: F.floor(F.lit(1000) * F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("long")
+    """The judged features as whole numbers: rates per million with one more count, letters a word per thousand."""
+    rate = lambda a, b: F.expr(f"({a} + 1) * 1000000 div ({b} + 1)")
     return {
-        "symbol_rate": share("n_symbols", "word_chars"),
-        "dup_line_rate": share("n_dup_lines", "n_lines"),
-        "repeat_rate": share("n_repeat_words", "n_words"),
-        "shout_rate": share("n_shouts", "n_words"),
+        "symbol_rate": rate("n_symbols", "word_chars"),
+        "word_length": F.expr("word_chars * 1000 div greatest(n_words, 1)"),
+        "dup_line_rate": rate("n_dup_lines", "n_lines"),
+        "repeat_rate": rate("n_repeat_words", "n_words"),
+        "shout_rate": rate("n_shouts", "n_words"),
     }
 
 
-def sketch_bin(value: Column) -> Column:
-    """Log-linear bin of a whole number: values below 32 as they are, else the top five bits kept.
+def _width(value: Column) -> Column:
+    """Width of the bin that holds a whole number: a power of two that leaves five bits."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(value)) - 5, F.lit(0)))
 
-    Features are per mille rates; they stay below 2**20.
-    """
-    out = value
-    for shift in range(1, 16):
-        step = 1 << shift
-        out = F.when(value >= 16 << shift, F.floor(value / step) * step).otherwise(out)
-    return out.cast("long")
+
+def sketch_bin(value: Column) -> Column:
+    """Log-linear bin of a whole number (0 or more), by its lower end: values below 32 as they are, else the top five bits kept."""
+    return (value - value % _width(value)).cast("long")
 
 
 def sketches(stats: DataFrame) -> DataFrame:
     """(lang, source, feature, bin, n): mergeable by adding n."""
-    judged = stats.filter(~F.col("base_failed")).select("lang", "source", *(sketch_bin(F.col(k)).alias(k) for k in SLACK))
-    # A source and language have few distinct bin combinations; this aggregates before anything is exploded.
-    held = judged.groupBy("lang", "source", *SLACK).agg(F.count("*").alias("n"))
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.col(k).alias("bin")) for k in SLACK))).alias("p")
-    return held.select("lang", "source", "n", pairs).groupBy("lang", "source", "p.feature", "p.bin").agg(F.sum("n").alias("n"))
+    judged = stats.filter(~F.col("base_failed"))
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), sketch_bin(F.col(k)).alias("bin")) for k in FEATURES))).alias("p")
+    return judged.select("lang", "source", pairs).groupBy("lang", "source", "p.feature", "p.bin").agg(F.count("*").alias("n"))
+
+
+def with_language(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, feature, bin, weight): each group's sketch merged with its language's at the weight of ``prior`` documents.
+
+    Weights are exact: counts times the language's documents, plus ``prior`` times the language's counts.
+    """
+    whole = lambda c: F.col(c).cast("decimal(38,0)")
+    of_lang = sketch.groupBy("lang", "feature", "bin").agg(F.sum("n").alias("n_lang"))
+    totals = of_lang.groupBy("lang", "feature").agg(F.sum("n_lang").alias("total"))
+    same = lambda a, b: (F.col(f"{a}.feature") == F.col(f"{b}.feature")) & F.col(f"{a}.lang").eqNullSafe(F.col(f"{b}.lang"))
+    own = sketch.alias("s").join(totals.alias("t"), same("s", "t")).select("s.lang", "s.source", "s.feature", "s.bin", (whole("n") * whole("total")).cast("decimal(38,0)").alias("weight"))
+    groups = sketch.select("lang", "source", "feature").distinct()
+    lent = groups.alias("g").join(of_lang.alias("l"), same("g", "l")).select("g.lang", "g.source", "g.feature", "l.bin", (F.lit(prior) * whole("n_lang")).cast("decimal(38,0)").alias("weight"))
+    return own.unionByName(lent).groupBy("lang", "source", "feature", "bin").agg(F.sum("weight").cast("decimal(38,0)").alias("weight"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """(lang, source, <feature>_fence ...): median + max(REACH * (upper quartile - median), slack)."""
+    """(lang, source, <feature>_low, <feature>_high ...) from merged sketches."""
     group = Window.partitionBy("lang", "source", "feature")
     upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = sketch.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(group))
-    at = lambda num, den: F.min(F.when(F.col("upto") * den >= F.col("total") * num, F.col("bin")))
-    quantiles = ranked.groupBy("lang", "source", "feature").agg(at(1, 2).alias("mid"), at(3, 4).alias("upper"))
-    fence = lambda k: F.max(F.when(F.col("feature") == k, F.col("mid") + F.greatest(REACH * (F.col("upper") - F.col("mid")), F.lit(SLACK[k])))).alias(f"{k}_fence")
-    return quantiles.groupBy("lang", "source").agg(*(fence(k) for k in SLACK))
+    ranked = sketch.withColumn("upto", F.sum("weight").over(upto)).withColumn("total", F.sum("weight").over(group))
+    at = lambda num: F.min(F.when(F.col("upto") * 4 >= F.col("total") * num, F.col("bin")))
+    quartiles = ranked.groupBy("lang", "source", "feature").agg(F.greatest(at(1), F.lit(1)).cast("double").alias("q1"), (at(3) + _width(at(3))).cast("double").alias("q3"))
+    ratio, low, high = F.col("q3") / F.col("q1"), F.col("q1"), F.col("q3")
+    for _ in range(REACH):
+        low, high = low / ratio, high * ratio
+    quartiles = quartiles.withColumn("low", low).withColumn("high", high)
+    ends = [F.max(F.when(F.col("feature") == k, F.col(end))).alias(f"{k}_{end}") for k, lower in FEATURES.items() for end in (("low", "high") if lower else ("high",))]
+    return quartiles.groupBy("lang", "source").agg(*ends)
 
 
 def judge(stats: DataFrame) -> DataFrame:
@@ -145,11 +167,13 @@ def judge(stats: DataFrame) -> DataFrame:
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed).withColumns(features())
-    limits = fences(sketches(stats)).withColumnsRenamed({"lang": "fence_lang", "source": "fence_source"})
+    limits = fences(with_language(sketches(stats))).withColumnsRenamed({"lang": "fence_lang", "source": "fence_source"})
     joined = stats.join(limits, F.col("lang").eqNullSafe(F.col("fence_lang")) & F.col("source").eqNullSafe(F.col("fence_source")), "left")
     fits = ~F.col("base_failed")
-    for k in SLACK:
-        fits = fits & (F.col(k) <= F.coalesce(F.col(f"{k}_fence"), F.lit(0)))
+    for k, lower in FEATURES.items():
+        fits = fits & F.coalesce(F.col(k) <= F.col(f"{k}_high"), F.lit(False))
+        if lower:
+            fits = fits & F.coalesce(F.col(k) >= F.col(f"{k}_low"), F.lit(False))
     return joined.withColumn("kept", fits).drop("fence_lang", "fence_source")
 
 

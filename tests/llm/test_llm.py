@@ -121,14 +121,14 @@ def posterior_brute(rows, z):
 def test_posterior_decides(spark):
     """Verdicts follow the lower bound: many bad pages block a host, one does not, and neither does a good one nor the prior alone."""
     rng = random.Random(12)
-    rows = [("bad.a.com", 1)] * 30 + [("once.a.com", 1)] + [("new.a.com", None)] * 9 + [("mixed.b.org", int(rng.random() < 0.5)) for _ in range(40)]
+    rows = [("bad.a.com", 1)] * 30 + [("once.b.org", 1)] + [("new.b.org", None)] * 9 + [("mixed.b.org", int(rng.random() < 0.5)) for _ in range(40)]
     rows += [(f"h{k}.{'abc'[k % 3]}.org", int(rng.random() < 0.15)) for k in range(30) for _ in range(12)]
     pages = spark.createDataFrame([(i, f"http://{h}/{i}", b) for i, (h, b) in enumerate(rows)], "page_id long, url string, bad int")
     got = {r["host"]: r for r in url_reputation.judge_urls(pages, F.col("bad"), []).collect()}
     want = posterior_brute(rows, 2.0)
     assert {h: r["low"] for h, r in got.items()} == pytest.approx(want)
     assert {h for h, r in got.items() if r["verdict"] == "block"} == {h for h, low in want.items() if low > 0.5}
-    assert [got[h]["verdict"] for h in ("bad.a.com", "once.a.com", "new.a.com", "mixed.b.org")] == ["block", "allow", "allow", "allow"]
+    assert [got[h]["verdict"] for h in ("bad.a.com", "once.b.org", "new.b.org", "mixed.b.org")] == ["block", "allow", "allow", "allow"]
 
 
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
@@ -533,8 +533,38 @@ def test_quality_rules(spark):
 
 
 def test_sketch_bins(spark):
-    got = {r["v"]: r["b"] for r in spark.range(0, 1 << 16, 7).select(F.col("id").alias("v"), quality_rules.sketch_bin(F.col("id")).alias("b")).collect()}
-    assert all(b <= v and v - b <= max(v / 16, 0) for v, b in got.items())
+    values = spark.range(0, 1 << 16, 7).unionByName(spark.sql("SELECT explode(sequence(16L, 62L)) AS x").selectExpr("shiftleft(1L, x::int) - 1 AS id"))
+    got = {r["v"]: r["b"] for r in values.select(F.col("id").alias("v"), quality_rules.sketch_bin(F.col("id")).alias("b")).collect()}
+    assert all(b <= v and v - b <= v / 16 and (v < 32) <= (b == v) for v, b in got.items())
+
+
+def test_fences_differ_by_group(spark):
+    """Fences of groups differ, no constant stands in for them, and they follow the group's own quartiles."""
+    rng = random.Random(21)
+    make = lambda n, rate: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) + ("#" if rng.random() < rate else "") for _ in range(n))
+    plain = [(i, make(rng.randint(100, 200), 0.0), "en", "plain") for i in range(400)]
+    marked = [(1000 + i, make(rng.randint(100, 200), 0.3), "en", "marked") for i in range(400)]
+    stats = quality_rules.document_stats(frame(spark, [*plain, *marked, (5000, make(150, 0.3), "en", "plain"), (5001, make(150, 0.3), "en", "marked")]))
+    rows = quality_rules.judge(near_dup.materialize(stats, "test-stats")).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert got[5001]["kept"] and not got[5000]["kept"] and not got[5000]["base_failed"]
+    assert got[5001]["symbol_rate_high"] > 2 * got[5000]["symbol_rate_high"] > 0
+    assert sum(r["kept"] for r in rows) > 0.97 * len(rows)
+    own = sorted(r["symbol_rate"] for r in rows if r["source"] == "plain")
+    low, high = own[len(own) // 4], own[3 * len(own) // 4]
+    assert 0.5 < got[5000]["symbol_rate_high"] / (high * (high / low) ** 2) < 2
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_no_constant_gives_the_verdicts(spark, sf):
+    """On the documents, no single cutoff for the symbol rate (nor a pair for the word length) gives what the groups' fences give."""
+    stats = quality_rules.document_stats(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+    rows = [r for r in quality_rules.judge(near_dup.materialize(stats, "test-stats")).collect() if not r["base_failed"]]
+    assert len({(r["symbol_rate_high"], r["word_length_high"]) for r in rows}) > 10
+    value = np.array([r["word_length"] for r in rows])
+    inside = np.array([r["word_length_low"] <= r["word_length"] <= r["word_length_high"] for r in rows])
+    kept = sorted(value[inside])
+    assert ((value >= kept[0]) & (value <= kept[-1]) & ~inside).sum() > 0  # any pair that keeps all of these keeps more
 
 
 # ---- pipeline
