@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -39,15 +40,17 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send fewer rows at a time to Python workers: texts may be long, and a batch is held on both sides.
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Send less at a time to Python workers: texts may be long, and a batch is held on both sides.
 
-    Sets ``spark.sql.execution.arrow.maxRecordsPerBatch`` of the session, if it is larger.
+    Lowers ``spark.sql.execution.arrow.maxRecordsPerBatch`` and ``maxBytesPerBatch`` of the session where they are
+    larger; a single row may exceed the bytes.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(re.sub(r"[^0-9-]", "", spark.conf.get(key)))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def give_back() -> None:
@@ -58,6 +61,13 @@ def give_back() -> None:
         pass
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def project(df: DataFrame, **columns: str | T.DataType) -> DataFrame:
     """Only the named columns, under the given names; all others are left behind."""
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))

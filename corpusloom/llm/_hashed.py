@@ -8,6 +8,7 @@ words; each counts once, so a long text is not toxic or poor for its length.
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ._arrow import give_back, map_batches, project, slices, texts_of
 
 BITS = 20
@@ -25,9 +27,9 @@ HEADS = (5, 7)
 _DOWN = np.uint64(64 - BITS)
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0xBF58476D1CE4E5B9))
 
-#: Bounds on what one training task holds: labelled rows, and features of all of them (160 MB).
+#: Bound on the labelled rows that are learned from.
 SAMPLE_ROWS = 16_000
-SAMPLE_FEATURES = 40_000_000
+EPOCHS = 3
 
 
 def _crc(words: list[bytes]) -> np.ndarray:
@@ -111,35 +113,51 @@ def labelled(docs: DataFrame, labels: DataFrame, grade: str, rows: int, extra: C
     return map_batches(joined.select("grade", "rank", "text"), kernel, "grade int, rank long, slots array<int>")
 
 
-def train(sample: DataFrame, fit: Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, list[float]]]) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Run ``fit`` over the bounded sample in one task; (slots, weights, other parameters) come back.
+class Learner:
+    """What ``train`` carries from epoch to epoch: FTRL state and a few other numbers (``rest``)."""
 
-    The task keeps documents, lowest rank first, until SAMPLE_FEATURES is reached.
-    """
+    def __init__(self, model: Ftrl, rest: list[float]):
+        self.model, self.rest = model, np.array(rest, np.float64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        grades: list[int] = []
-        size = 0
-        for batch in batches:
-            for grade, own in zip(batch.column("grade").to_pylist(), batch.column("slots"), strict=True):
-                own = own.values.to_numpy() if own.is_valid else np.empty(0, np.int32)
-                size += len(own)
-                if size <= SAMPLE_FEATURES:
-                    held.append(own)
-                    grades.append(grade)
-        weights, rest = fit(held, np.array(grades, np.int64))
-        at = np.flatnonzero(weights)
-        held.clear()
-        give_back()
-        yield pa.record_batch([pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([weights[at].tolist()], pa.list_(pa.float64())), pa.array([rest], pa.list_(pa.float64()))], ["at", "weight", "rest"])
-
-    gathered = sample.repartition(1).sortWithinPartitions("rank", "grade", F.size("slots"))
-    found = gathered.mapInArrow(run, "at array<int>, weight array<double>, rest array<double>").collect()
-    if not found:  # no task ran: no rows
-        weights, rest = fit([], np.empty(0, np.int64))
-        return np.flatnonzero(weights), weights[np.flatnonzero(weights)], rest
-    return np.array(found[0]["at"], np.int64), np.array(found[0]["weight"]), list(found[0]["rest"])
+    def visit(self, own: np.ndarray, grade: int) -> None:
+        """Learn from one document: the slots of its features, and its grade."""
+        raise NotImplementedError
+
+
+def in_order(sample: DataFrame, epoch: int) -> DataFrame:
+    """The sample in one partition, in the seeded order of an epoch."""
+    return sample.repartition(1).sortWithinPartitions(F.xxhash64("rank", F.lit(epoch)), "rank", "grade", F.size("slots"), F.xxhash64("slots"))
+
+
+def train(sample: DataFrame, make: Callable[[dict[int, int]], Learner]) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Slots and weights other than 0, and the other numbers, after EPOCHS passes over the bounded sample.
+
+    ``make`` starts a learner from the rows of each grade; with fewer than two grades it is not trained.  An epoch is
+    one task, as the rows depend on each other; it streams them, so a sample of very long documents takes
+    time and no memory.  Between epochs the state, 16 MB, goes through the driver.
+    """
+    sample = materialize(sample, "labelled")
+    counts = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
+    learner = make(counts)
+    for epoch in range(EPOCHS if len(counts) > 1 else 0):
+        sent = sample.sparkSession.sparkContext.broadcast(learner)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = copy.deepcopy(sent.value)  # noqa: B023
+            for batch in batches:
+                for grade, found in zip(batch.column("grade").to_pylist(), batch.column("slots"), strict=True):
+                    own.visit(found.values.to_numpy() if found.is_valid else np.empty(0, np.int32), grade)
+            state = [x.tobytes() for x in (own.model.z, own.model.n, own.rest)]
+            del own
+            give_back()
+            yield pa.record_batch([pa.array([x], pa.binary()) for x in state], ["z", "n", "rest"])
+
+        state = in_order(sample, epoch).mapInArrow(run, "z binary, n binary, rest binary").first()
+        learner.model.z, learner.model.n, learner.rest = (np.frombuffer(x, np.float64).copy() for x in state)
+        sent.unpersist()
+    weights = learner.model.weights()
+    at = np.flatnonzero(weights)
+    return at, weights[at], learner.rest.tolist()
 
 
 def score(docs: DataFrame, at: np.ndarray, weight: np.ndarray, finish: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, extra: Callable[[bytes], list[bytes]] | None = None) -> DataFrame:

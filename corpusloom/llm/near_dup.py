@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from ._arrow import give_back, map_batches, project, slices, texts_of
+from ._arrow import free_name, give_back, map_batches, project, slices, texts_of
 
 PERCENT = 75
 TREES, DEPTH = 24, 3
@@ -54,7 +54,8 @@ BLOCK, LARGE = 2048, 16384
 #: Least sketch estimate for a star link to be worth confirming, and for a pair of round two.
 LIKELY, NEAR = 0.6, 0.55
 BROADCAST_BYTES = 64 << 20
-PARTNERS = 128  # documents of a cluster that are brought together to confirm pairs among them and with as many others
+PARTNERS = 128  # documents of a cluster that are brought together to confirm pairs among them and with as many others,
+BUCKET_BYTES = 32 << 20  # and about the most that the sets of so many may take; very long texts share a bucket with fewer
 
 _rng = np.random.default_rng(75)
 _XOR = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.int64).astype(np.uint64)
@@ -165,16 +166,17 @@ def _sets(base: DataFrame, ids: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "id long, tokens binary")
 
 
-def confirmed(base: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked.  pairs: (a, b, cluster), a pair maybe under several clusters.
+def confirmed(base: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are linked.  pairs: (a, b, cluster), a pair maybe under several clusters; classes: (id, n, ...).
 
-    A cluster's documents are dealt to buckets of about PARTNERS, and pairs meet by their two
+    A cluster's documents are dealt to buckets of about PARTNERS, or BUCKET_BYTES if that is fewer, and pairs meet by their two
     buckets: a set is sent once for every bucket its document has a pair in, not for every
     pair, and a cluster with a third of all documents is spread over many tasks.
     """
     pairs = materialize(pairs.groupBy("a", "b").agg(F.min("cluster").alias("cluster")), "near-pairs")
     both = F.explode(F.array("a", "b")).alias("id")
-    sizes = pairs.select("cluster", both).distinct().groupBy("cluster").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("buckets"))
+    sizes = pairs.select("cluster", both).distinct().join(classes.select("id", "n"), "id").groupBy("cluster")
+    sizes = sizes.agg(F.greatest(F.ceil(F.count("*") / PARTNERS), F.ceil(F.sum("n") * 8 / BUCKET_BYTES)).cast("int").alias("buckets"))
     bucket = lambda c: F.pmod(F.xxhash64(c), F.col("buckets")).cast("int")
     keys = ["cluster", "low", "high"]
     placed = pairs.join(sizes, "cluster").select("cluster", F.least(bucket("a"), bucket("b")).alias("low"), F.greatest(bucket("a"), bucket("b")).alias("high"), "a", "b")
@@ -337,11 +339,11 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     base = project(docs, doc_id=doc_id, text=text)
     signed = materialize(map_batches(base, _sign, "doc_id long, n long, digest binary, sig array<int>, sketch binary"), "near-signed")
     with_set = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(with_set.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "near-classes")
+    classes = materialize(with_set.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "near-classes")
     nodes = materialize(_nodes(classes, DEPTH).groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("least")).filter("size > 1"), "near-nodes")
-    stars = confirmed(base, star_candidates(classes, nodes))
+    stars = confirmed(base, star_candidates(classes, nodes), classes)
     known = connect(stars)
-    more = confirmed(base, rest_candidates(classes, nodes, known))
+    more = confirmed(base, rest_candidates(classes, nodes, known), classes)
     links = materialize(stars.unionByName(more).filter("a <> b").distinct(), "near-links")
     known = connect(links) if more.head(1) else known
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("confirmed_links"))
@@ -356,8 +358,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     What is joined with the texts is one id per removed document.
     """
-    gone = components(docs, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    name = free_name(docs, "gone")
+    gone = components(docs, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
     gone = materialize(gone, "near-gone")
     if gone.count() * 16 <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+    return docs.join(gone, F.col(f"`{doc_id}`") == F.col(name), "left_anti")

@@ -93,8 +93,8 @@ FROM p JOIN low ON low.host = p.host LEFT JOIN fit f ON f.page_id = p.page_id AN
 
 OP3 = r"""
 WITH RECURSIVE s AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents
-), placed AS (SELECT *, (('0x' || substr(key, 1, 8))::BIGINT % greatest(1, ((SELECT count(*) FROM s) + 49999) // 50000))::INT AS shard FROM s),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents
+), placed AS (SELECT *, (('0x' || substr(key, 1, 8))::BIGINT % greatest(4, ((SELECT count(*) FROM s) + 49999) // 50000))::INT AS shard FROM s),
 cell AS (SELECT source, shard, sum(size)::BIGINT AS cell_size FROM placed GROUP BY ALL),
 src AS (SELECT source, sum(cell_size)::BIGINT AS source_size FROM cell GROUP BY ALL),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM src),
@@ -103,21 +103,30 @@ level(i, x) AS (
   UNION ALL
   SELECT i + 1, (SELECT (1.5 * sum(source_size) - coalesce(sum(2 * source_size) FILTER (2 * source_size < weight * x), 0)) / sum(weight) FILTER (NOT 2 * source_size < weight * x) FROM w)::DOUBLE FROM level WHERE i < 60
 ), t AS (SELECT *, least(weight * (SELECT max(x) FROM level), (2 * source_size)::DOUBLE) AS target FROM w),
-q AS (SELECT *, floor(target / 16 + 0.5)::BIGINT AS seats FROM t),
+house AS (SELECT floor(sum(target) / 16 + 0.5)::BIGINT AS seats, sum(target) AS total, count(*) AS n FROM t),
+-- between sources: shares rounded, then what rounding left over by the highest quotients
+qb AS (SELECT t.*, floor(CASE WHEN total > 0 THEN target / total * house.seats ELSE 0 END + 0.5)::BIGINT AS base FROM t, house),
+qs AS (SELECT *, ((SELECT seats FROM house) - sum(base) OVER ())::BIGINT AS short FROM qb),
+qe AS (SELECT *, unnest(range(1, 2 + 2 * abs(short) + (SELECT n FROM house))) AS k FROM qs WHERE short <> 0 AND (SELECT total FROM house) > 0),
+qf AS (SELECT *, CASE WHEN short > 0 THEN base + k ELSE base - k + 1 END AS number FROM qe),
+qg AS (SELECT source, row_number() OVER (ORDER BY CASE WHEN short > 0 THEN -(target / (2 * number - 1)) ELSE target / (2 * number - 1) END, source NULLS LAST, k) AS rank, short FROM qf WHERE number > 0),
+qh AS (SELECT source, sum(sign(short))::BIGINT AS change FROM qg WHERE rank <= abs(short) GROUP BY ALL),
+q AS (SELECT qs.* EXCLUDE (base, short), base + coalesce(change, 0) AS seats FROM qs LEFT JOIN qh ON qh.source IS NOT DISTINCT FROM qs.source),
 c AS (SELECT cell.*, source_size, target, seats, floor(cell_size * (CASE WHEN source_size = 0 THEN 0 ELSE seats / source_size END) + 0.5)::BIGINT AS base FROM cell JOIN q ON cell.source IS NOT DISTINCT FROM q.source),
-b AS (SELECT *, (seats - sum(base) OVER (PARTITION BY source))::BIGINT AS short FROM c),
-e AS (SELECT *, unnest(range(1, ceil(abs(short) * cell_size / greatest(source_size, 1))::BIGINT + 3)) AS k FROM b WHERE short <> 0),
+b AS (SELECT *, (seats - sum(base) OVER (PARTITION BY source))::BIGINT AS short, count(*) OVER (PARTITION BY source) AS n FROM c),
+e AS (SELECT *, unnest(range(1, 2 + 2 * abs(short) + n)) AS k FROM b WHERE short <> 0),
 f AS (SELECT *, CASE WHEN short > 0 THEN base + k ELSE base - k + 1 END AS number FROM e),
 g AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN short > 0 THEN -(cell_size / (2 * number - 1)) ELSE cell_size / (2 * number - 1) END, shard, k) AS rank FROM f WHERE number > 0),
 h AS (SELECT source, shard, sum(sign(short))::BIGINT AS change FROM g WHERE rank <= abs(short) GROUP BY ALL),
 quota AS (SELECT b.*, b.base + coalesce(h.change, 0) AS quota FROM b LEFT JOIN h ON h.source IS NOT DISTINCT FROM b.source AND h.shard = b.shard),
-line AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size AS start FROM placed)
+line AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY key ROWS UNBOUNDED PRECEDING) - size AS start FROM placed)
 SELECT doc_id, size, source_size, target,
   (least(greatest(quota * 16 - start, 0), size) + least(greatest(quota * 16 - cell_size - start, 0), size))::BIGINT AS taken
 FROM line l JOIN quota ON l.source IS NOT DISTINCT FROM quota.source AND l.shard = quota.shard
 """
 
-OP6_LIMIT = 64 << 20
+#: Shards of the registered query are small, so that buckets split at every scale; the operator's own default is 64 MB.
+OP6_LIMIT = 128 << 10
 #: Ids only: enough wherever rows of one id do not exceed the limit together.
 OP6 = rf"""
 WITH r AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT), 60, '0') AS bits FROM documents),

@@ -32,7 +32,7 @@ from .toxicity import sigmoid
 
 GRADE = "CASE WHEN quality = 0 THEN 0 WHEN quality = 1 AND toxic = 1 THEN 1 WHEN quality = 1 AND toxic = 0 THEN 2 END"
 N_GRADES = 3
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 4.0, 1.0, 3
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 4.0, 1.0
 _STEPS = (0, 5, 10, 20, 50, 100, 200, 350, 500, 700, 1000)
 
 
@@ -53,33 +53,35 @@ def shape(text: bytes) -> list[bytes]:
     return named + [f"\0words>{1 << k}".encode() for k in range(12) if len(words) > 1 << k]
 
 
-def fit(held: list[np.ndarray], grades: np.ndarray) -> tuple[np.ndarray, list[float]]:
-    """Weights and ordered thresholds; documents are visited in a seeded order."""
-    share = np.cumsum(np.bincount(grades, minlength=N_GRADES) + 0.5)[:-1] / (len(grades) + 0.5 * N_GRADES)
-    cuts = np.log(share / (1 - share))
-    model, rng, seen = _hashed.Ftrl(ALPHA, BETA, L1, L2), np.random.default_rng(23), np.ones(N_GRADES - 1)
-    if len(grades) == 0 or grades.min() == grades.max():
-        return np.zeros(_hashed.SLOTS), cuts.tolist()
-    for _ in range(EPOCHS):
-        for i in rng.permutation(len(held)):
-            y, w = grades[i], model.weights(held[i])
-            margin = w.sum()
-            below = float(sigmoid(cuts[y - 1] - margin)) if y else 0.0
-            upto = float(sigmoid(cuts[y] - margin)) if y < N_GRADES - 1 else 1.0
-            mass = max(upto - below, 1e-6)
-            model.update(held[i], w, 1.0 - upto - below)
-            for k, g in ((y, -upto * (1 - upto) / mass), (y - 1, below * (1 - below) / mass)):
-                if 0 <= k < N_GRADES - 1 and g:
-                    seen[k] += g * g
-                    cuts[k] -= 0.1 * g / seen[k] ** 0.5
-            cuts = np.maximum.accumulate(cuts + np.arange(N_GRADES - 1) * 1e-9)
-    return model.weights(), cuts.tolist()
+class Ordinal(_hashed.Learner):
+    """Cumulative-link loss; ``rest`` holds the ordered thresholds and the sums of their squared gradients."""
+
+    def __init__(self, counts: dict[int, int]):
+        n = np.array([counts.get(k, 0) for k in range(N_GRADES)], float)
+        share = np.cumsum(n + 0.5)[:-1] / (n.sum() + 0.5 * N_GRADES)
+        super().__init__(_hashed.Ftrl(ALPHA, BETA, L1, L2), [*np.log(share / (1 - share)), *[1.0] * (N_GRADES - 1)])
+
+    def visit(self, own: np.ndarray, grade: int) -> None:
+        last = N_GRADES - 1
+        cuts, seen = self.rest[:last], self.rest[last:]  # views
+        w = self.model.weights(own)
+        margin = w.sum()
+        below = float(sigmoid(cuts[grade - 1] - margin)) if grade else 0.0
+        upto = float(sigmoid(cuts[grade] - margin)) if grade < last else 1.0
+        mass = max(upto - below, 1e-6)
+        self.model.update(own, w, 1.0 - upto - below)
+        for k, g in ((grade, -upto * (1 - upto) / mass), (grade - 1, below * (1 - below) / mass)):
+            if 0 <= k < last and g:
+                seen[k] += g * g
+                cuts[k] -= 0.1 * g / seen[k] ** 0.5
+        cuts[:] = np.maximum.accumulate(cuts + np.arange(last) * 1e-9)
 
 
 def quality_grades(docs: DataFrame, labels: DataFrame, grade: str = GRADE, doc_id: str = "doc_id", text: str = "text", sample_rows: int = _hashed.SAMPLE_ROWS, keep_at: float = 0.5) -> DataFrame:
     """(doc_id, expected_grade, p_grade1, p_grade2, kept): kept if P(grade >= 1) reaches ``keep_at``."""
     sample = _hashed.labelled(docs, labels, grade, sample_rows, shape, doc_id=doc_id, text=text)
-    at, weight, cuts = _hashed.train(sample, fit)
+    at, weight, rest = _hashed.train(sample, Ordinal)
+    cuts = rest[: N_GRADES - 1]
 
     def finish(margin: np.ndarray) -> dict[str, np.ndarray]:
         tails = [1.0 - sigmoid(cut - margin) for cut in cuts]

@@ -17,7 +17,7 @@ Defined results
 * a single document above the limit: a shard of its own (or with empty ones of its prefix).
 * null or empty text: 0 bytes, still in a shard.  null doc_id: hashed as the empty id.
 * repeated rows: each is placed; very long texts: counted whole.
-* other columns, whatever their names: ignored by ``assign``.  Empty table: empty result.
+* other columns, whatever their names: ignored by ``assign``, written by ``write_shards``.  Empty table: empty result.
 * shard numbers follow the order of prefixes, from 0; ties cannot occur.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from ._arrow import project, ranked
+from ._arrow import free_name, project, ranked
 
 BITS = 60
 DEEPER = 8
@@ -101,11 +101,17 @@ def _assign(rows: DataFrame, limit: int) -> DataFrame:
     return keyed.join(of_cell, "cell").drop("cell")
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = 64 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the documents, one folder ``shard=N`` of Parquet each, and return the assignment."""
-    staged = materialize(docs.withColumn("__place", F.monotonically_increasing_id()), "shard-staged")
-    rows = hashed(staged, doc_id, text, place="__place")
+def write_shards(docs: DataFrame, path: str, limit: int = 64 << 20, doc_id: str = "doc_id", text: str = "text", folder: str = "shard") -> DataFrame:
+    """Write the documents with all their columns, one folder ``shard=N`` of Parquet each, and return the assignment.
+
+    If a column is called like the folder, the folder gets underscores until its name is free.
+    """
+    folder = free_name(docs, folder)
+    # the user's row is one struct, so that none of its columns meets one of ours
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    staged = materialize(docs.select(row, F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("place")), "shard-staged")
+    rows = hashed(staged, place="place")
     placed = materialize(_assign(materialize(rows, "shard-rows"), limit), "shard-placed")
-    joined = staged.join(placed.select(F.col("place").alias("__place"), F.col("shard").alias("shard")), "__place").drop("__place")
-    joined.repartition("shard").write.partitionBy("shard").parquet(path)
+    joined = staged.select("row", "place").join(placed.select("place", F.col("shard").alias("to")), "place")
+    joined.repartition("to").select("row.*", F.col("to").alias(folder)).write.partitionBy(folder).parquet(path)
     return placed

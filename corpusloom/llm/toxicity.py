@@ -2,8 +2,7 @@
 
 Words, word pairs, skip pairs and heads of long words are hashed to 2**20 slots;
 per-coordinate learning rates and L1 leave some hundred weights, which are broadcast.
-Training uses a bounded sample (SAMPLE_ROWS labelled rows, SAMPLE_FEATURES features,
-see ``_hashed``), scoring covers every whole text in one pass without a shuffle.
+Training uses a bounded sample (SAMPLE_ROWS labelled rows, see ``_hashed``), scoring covers every whole text in one pass without a shuffle.
 
 Defined results
 * null or empty text: the score of a text without features (the intercept alone).
@@ -27,35 +26,32 @@ from pyspark.sql import functions as F
 from . import _hashed
 from ._arrow import give_back, project, slices, texts_of
 
-ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 6.0, 1.0, 3
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 6.0, 1.0
 
 
 def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(held: list[np.ndarray], grades: np.ndarray) -> tuple[np.ndarray, list[float]]:
-    """Weights and intercept; documents are visited in a seeded order."""
-    if not len(held):
-        return np.zeros(_hashed.SLOTS), [-40.0]
-    rate = (grades.sum() + 0.5) / (len(grades) + 1)
-    if grades.min() == grades.max():
-        return np.zeros(_hashed.SLOTS), [float(np.log(rate / (1 - rate)))]
-    model, rng = _hashed.Ftrl(ALPHA, BETA, L1, L2), np.random.default_rng(17)
-    bias, seen = float(np.log(rate / (1 - rate))), 1.0
-    for _ in range(EPOCHS):
-        for i in rng.permutation(len(held)):
-            w = model.weights(held[i])
-            gradient = float(sigmoid(w.sum() + bias)) - float(grades[i])
-            model.update(held[i], w, gradient)
-            seen += gradient * gradient
-            bias -= 0.1 * gradient / seen**0.5
-    return model.weights(), [bias]
+class Toxicity(_hashed.Learner):
+    """Logistic loss; ``rest`` is the intercept and the sum of its squared gradients."""
+
+    def __init__(self, counts: dict[int, int]):
+        n, bad = sum(counts.values()), sum(x for grade, x in counts.items() if grade)
+        rate = (bad + 0.5) / (n + 1)
+        super().__init__(_hashed.Ftrl(ALPHA, BETA, L1, L2), [float(np.log(rate / (1 - rate))) if n else -40.0, 1.0])
+
+    def visit(self, own: np.ndarray, grade: int) -> None:
+        w = self.model.weights(own)
+        gradient = float(sigmoid(w.sum() + self.rest[0])) - float(grade > 0)
+        self.model.update(own, w, gradient)
+        self.rest[1] += gradient * gradient
+        self.rest[0] -= 0.1 * gradient / self.rest[1] ** 0.5
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample_rows: int = _hashed.SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """Slots and weights other than 0, and the intercept."""
-    at, weight, (bias, *_) = _hashed.train(_hashed.labelled(docs, labels, label, sample_rows, doc_id=doc_id, text=text), fit)
+    at, weight, (bias, *_) = _hashed.train(_hashed.labelled(docs, labels, label, sample_rows, doc_id=doc_id, text=text), Toxicity)
     return at, weight, bias
 
 
