@@ -111,7 +111,7 @@ class LatentDirichletAllocation:
             counts = materialize(self._counts(state), "lda-counts")
             totals = self._totals(counts)
             source, run = self._with_counts(state, counts, totals, self._stepper(totals, beta_sum, i))
-            state = materialize(source.mapInArrow(_as_state(run), "doc_id long, terms array<int>, z array<int>"), "lda-state")
+            state = materialize(source.mapInArrow(_as_state(run), "doc_id long, terms array<long>, z array<int>"), "lda-state")
             if i % check_every == 0:
                 now = self._likelihood(materialize(self._counts(state), "lda-counts"), beta_sum)
                 self.trace.append((i, now))
@@ -189,7 +189,7 @@ def top_words(topic_word: DataFrame, n: int = 10, relevance: float = 1.0) -> Dat
 def _as_state(run):
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_ids, made in run(batches):
-            yield pa.record_batch([doc_ids, pa.array([x[0] for x in made], pa.list_(pa.int32())), pa.array([x[1] for x in made], pa.list_(pa.int32()))], ["doc_id", "terms", "z"])
+            yield pa.record_batch([doc_ids, pa.array([x[0] for x in made], pa.list_(pa.int64())), pa.array([x[1] for x in made], pa.list_(pa.int32()))], ["doc_id", "terms", "z"])
 
     return out
 

@@ -21,4 +21,4 @@ def with_rank(df: DataFrame, name: str, *order: Column) -> DataFrame:
         starts[row["__part"]] = total
         total += row["count"]
     offset = F.create_map(*(F.lit(x) for kv in starts.items() for x in kv))[F.col("__part")] if starts else F.lit(0)
-    return ranges.withColumn(name, (F.col("__own") + offset).cast("int")).drop("__part", "__own")
+    return ranges.withColumn(name, (F.col("__own") + offset).cast("long")).drop("__part", "__own")

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import hashing
 from ..functions import text as fn
+from ..session import materialize
+from . import _arrays
 from .vocabulary import Vocabulary
 
 
@@ -22,10 +30,6 @@ class VocabVectorizer:
     def grams(self, tokens: DataFrame) -> DataFrame:
         return self.vocabulary.grams(tokens)
 
-    def columns(self, terms: DataFrame) -> DataFrame:
-        """(term, column, sign) of the known ones among ``terms``; the term names the column."""
-        return terms.join(self.vocabulary.terms.select("term"), "term", "left_semi").select("term", F.col("term").alias("column"), F.lit(1).alias("sign"))
-
 
 @dataclass(frozen=True)
 class HashVectorizer:
@@ -38,10 +42,12 @@ class HashVectorizer:
     def grams(self, tokens: DataFrame) -> DataFrame:
         return tokens.withColumn("tokens", fn.ngrams(F.col("tokens"), *self.ngram))
 
-    def columns(self, terms: DataFrame) -> DataFrame:
-        """Hashes each distinct term once, whatever the number of its occurrences."""
-        own = terms.select("term").distinct()
-        return own.select("term", hashing.bucket(F.col("term"), self.hash_size).alias("column"), (hashing.sign(F.col("term")) if self.signed else F.lit(1)).alias("sign"))
+    def codes(self, terms: pa.Array) -> tuple[np.ndarray, np.ndarray | None]:
+        """Bucket of each term, and its sign if terms have one."""
+        if not self.signed:
+            return hashing.murmur3_of(terms, hashing.BUCKET_SEED)[0].astype(np.int64) % self.hash_size, None
+        h, s = hashing.murmur3_of(terms, hashing.BUCKET_SEED, hashing.SIGN_SEED)
+        return h.astype(np.int64) % self.hash_size, 1 - 2 * (s >> np.uint32(31)).astype(np.int64)
 
 
 def create_dtm(tokens: DataFrame, vectorizer: VocabVectorizer | HashVectorizer) -> DataFrame:
@@ -50,31 +56,22 @@ def create_dtm(tokens: DataFrame, vectorizer: VocabVectorizer | HashVectorizer)
     Documents without known terms have no cells; their ids are in ``tokens``.  A signed
     sum of 0 stays as a cell.
     """
-    counts = vectorizer.grams(tokens).select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    grams = vectorizer.grams(tokens).select("doc_id", "tokens")
     if isinstance(vectorizer, VocabVectorizer):
+        counts = grams.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
         known = counts.join(vectorizer.vocabulary.terms.select("term"), "term", "left_semi")
         return known.select("doc_id", F.col("term").alias("column"), F.col("n").cast("double").alias("value"))
-    hashed = counts.join(vectorizer.columns(counts), "term")
-    return hashed.groupBy("doc_id", "column").agg(F.sum(F.col("n") * F.col("sign")).cast("double").alias("value"))
-
-
-def _pairs(tokens: Column, window: int, binary: bool) -> Column:
-    """Structs (a, b, d): token a is followed by b at distance d <= window; all within one row."""
-
-    def made(own: Column) -> Column:
-        size = F.size(own)
-
-        def around(i: Column) -> Column:
-            def beside(context: Column) -> Column:
-                pairs = F.transform(context, lambda b, k: F.struct(F.get(own, i).alias("a"), b.alias("b"), (k + 1).alias("d")))
-                # once per occurrence of a, each b counts at its nearest place only
-                return F.filter(pairs, lambda p: F.array_position(context, p["b"]) == p["d"]) if binary else pairs
+    out = T.StructType([grams.schema["doc_id"], T.StructField("column", T.LongType()), T.StructField("value", T.DoubleType())])
 
-            return fn.let(F.slice(own, i + 2, F.lit(window)), beside)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _arrays.slices(batches, "tokens"):
+            terms, numbers, rows = _arrays.encoded(part.column("tokens"))
+            code, sign = vectorizer.codes(terms)
+            row, column, value = _arrays.row_counts(rows, code[numbers], vectorizer.hash_size, None if sign is None else sign[numbers])
+            yield pa.record_batch([part.column("doc_id").take(pa.array(row)), pa.array(column), pa.array(value.astype(np.float64))], ["doc_id", "column", "value"])
 
-        return F.when(size > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), around)))
-
-    return fn.let(tokens, made)
+    # a row's cells are summed where the row lies; rows of one document meet here
+    return grams.mapInArrow(run, out).groupBy("doc_id", "column").agg(F.sum("value").alias("value"))
 
 
 def create_tcm(tokens: DataFrame, vectorizer: VocabVectorizer | HashVectorizer, window: int = 5, context: str = "symmetric", weights: list[float] | None = None, binary: bool = False) -> DataFrame:
@@ -82,33 +79,56 @@ def create_tcm(tokens: DataFrame, vectorizer: VocabVectorizer | HashVectorizer,
 
     Positions count all tokens that stopword removal leaves, known or not.  ``right``: j follows
     i; ``left``: the transpose; ``symmetric``: both, kept once as a pair with i <= j (by column).
-    Pairs are made within the row and summed map-side, so one shuffle by pair of
-    terms remains, and columns are looked up for distinct pairs only.
+    Pairs are made from numbers and summed by distance within a batch, so one shuffle by pair
+    remains; sums are of whole numbers, and weights come last, so reruns agree to the last bit.  The terms of a
+    vocabulary are broadcast up to TERM_BYTES; beyond that all pairs travel as strings and unknown ones go after the sum.
     """
     weights = weights if weights is not None else [1 / d for d in range(1, window + 1)]
     if len(weights) != window:
         raise ValueError("need one weight per distance")
     if context not in ("symmetric", "right", "left"):
         raise ValueError("context is symmetric, right or left")
-    pairs = vectorizer.grams(tokens).select(F.explode(_pairs(F.col("tokens"), window, binary)).alias("p"))
-    by_distance = pairs.groupBy("p.a", "p.b", "p.d").agg(F.count("*").alias("n"))
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.col("d").cast("int"))
-    # summed in one order (by distance), so that reruns agree to the last bit
-    summed = by_distance.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("d", (F.col("n") * weight).alias("w")))).alias("parts"))
-    summed = summed.select("a", "b", F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["w"]).alias("value"))
-    if isinstance(vectorizer, VocabVectorizer):
-        own = vectorizer.vocabulary.terms
-        cells = summed.join(own.select(F.col("term").alias("a")), "a", "left_semi").join(own.select(F.col("term").alias("b")), "b", "left_semi").select(F.col("a").alias("i"), F.col("b").alias("j"), "value")
-    else:
-        columns = vectorizer.columns(summed.select(F.explode(F.array("a", "b")).alias("term")))
-        left = columns.select(F.col("term").alias("a"), F.col("column").alias("i"), F.col("sign").alias("s"))
-        right = columns.select(F.col("term").alias("b"), F.col("column").alias("j"), F.col("sign").alias("t"))
-        cells = summed.join(left, "a").join(right, "b").select("i", "j", (F.col("value") * F.col("s") * F.col("t")).alias("value"))
-    if context == "left":
-        cells = cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "value")
-    elif context == "symmetric":
-        cells = cells.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "value")
-    return cells.groupBy("i", "j").agg(F.sum("value").alias("value"))
+    grams = vectorizer.grams(tokens).select("tokens")
+    hashed, names, sent = isinstance(vectorizer, HashVectorizer), None, None
+    if not hashed:
+        own = materialize(vectorizer.vocabulary.terms.select("term").distinct(), "tcm-terms")
+        if (own.agg(F.sum(F.octet_length("term") + 8)).first()[0] or 0) <= _arrays.TERM_BYTES:
+            names = pa.array(sorted(r["term"] for r in own.toLocalIterator()), pa.string())
+            sent = grams.sparkSession.sparkContext.broadcast(names)
+    codes = vectorizer.codes if hashed else None
+    kind, text = ("string", True) if not hashed and sent is None else ("long", False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _arrays.slices(batches, "tokens"):
+            terms, numbers, rows = _arrays.encoded(part.column("tokens"))
+            sign = None
+            if hashed:
+                code, sign = codes(terms)
+            elif text:
+                order = pc.sort_indices(terms).to_numpy()
+                code = np.empty(len(terms), np.int64)
+                code[order] = np.arange(len(terms))
+            else:
+                code = pc.fill_null(pc.index_in(terms, sent.value), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            i, j, counts = _arrays.pair_counts(numbers, rows, code, sign, window, context, binary)
+            ends = [terms.take(pa.array(order[x])) if text else pa.array(x) for x in (i, j)]
+            yield pa.record_batch([*ends, *(pa.array(counts[:, d]) for d in range(window))], ["i", "j", *(f"n{d}" for d in range(window))])
+
+    pairs = grams.mapInArrow(run, ", ".join([f"i {kind}, j {kind}", *(f"n{d} long" for d in range(window))]))
+    summed = pairs.groupBy("i", "j").agg(*(F.sum(f"n{d}").alias(f"n{d}") for d in range(window)))
+    value = reduce(lambda s, x: s + x, [F.col(f"n{d}") * F.lit(float(w)) for d, w in enumerate(weights)])
+    cells = summed.select("i", "j", value.alias("value"))
+    if text:
+        known = lambda side: own.select(F.col("term").alias(side))
+        return cells.join(known("i"), "i", "left_semi").join(known("j"), "j", "left_semi")
+    if hashed:
+        return cells
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            yield pa.record_batch([sent.value.take(part.column(0)), sent.value.take(part.column(1)), part.column(2)], ["i", "j", "value"])
+
+    return cells.mapInArrow(named, "i string, j string, value double")
 
 
 def word_count(tokens: DataFrame, vectorizer: VocabVectorizer) -> DataFrame:
@@ -133,8 +153,8 @@ def lda_c(dtm: DataFrame, ids: DataFrame, docs: DataFrame) -> DataFrame:
     cells = dtm.join(ids.select(F.col("term").alias("column"), "term_id"), "column")
     lists = cells.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term_id", F.floor("value").cast("int").alias("n")))).alias("cells"))
     full = docs.select("doc_id").join(lists, "doc_id", "left")
-    part = lambda name: F.coalesce(F.transform("cells", lambda c: c[name]), F.array().cast("array<int>"))
-    return full.select("doc_id", part("term_id").alias("idx"), part("n").alias("cnt"))
+    part = lambda name, kind: F.coalesce(F.transform("cells", lambda c: c[name]), F.array().cast(f"array<{kind}>"))
+    return full.select("doc_id", part("term_id", "long").alias("idx"), part("n", "int").alias("cnt"))
 
 
 def as_vectors(dtm: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -145,11 +165,23 @@ def as_vectors(dtm: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return lists.select("doc_id", make(F.transform("cells", lambda c: c["term_id"]), F.transform("cells", lambda c: c["value"])).alias("features"))
 
 
+#: Terms of a document that are paired in one go; a document of more is cut into blocks that other tasks take.
+PAIR_BLOCK = 2048
+
+
 def cross_product(dtm: DataFrame) -> DataFrame:
     """(i, j, value): in how many documents two terms occur together; both halves and the diagonal.
 
-    Pairs are made within each document's row, not by a join of the table with itself.
+    Pairs are made within each document's row, not by a join of the table with itself, and summed map-side.  Documents
+    of more than PAIR_BLOCK terms are dealt out as pairs of blocks, so none is left to one task.
     """
     rows = dtm.filter("value <> 0").groupBy("doc_id").agg(F.collect_set("column").alias("terms"))
-    pairs = rows.select(F.explode("terms").alias("i"), "terms").select("i", F.explode("terms").alias("j"))
+    size = F.size("terms")
+    paired = lambda df, a, b: df.select(F.explode(a).alias("i"), b.alias("b")).select("i", F.explode("b").alias("j"))
+    small = paired(rows.filter(size <= PAIR_BLOCK), F.col("terms"), F.col("terms"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / PAIR_BLOCK).cast("int")), lambda k: F.slice("terms", k * PAIR_BLOCK + 1, F.lit(PAIR_BLOCK)))
+    wide = rows.filter(size > PAIR_BLOCK).select("doc_id", blocks.alias("blocks"))
+    wide = wide.select("doc_id", F.posexplode("blocks").alias("p", "a"), "blocks").select("doc_id", "p", "a", F.posexplode("blocks").alias("q", "b"))
+    spread = wide.repartition("doc_id", "p", "q")
+    pairs = small.unionByName(paired(spread, F.col("a"), F.col("b")))
     return pairs.groupBy("i", "j").agg(F.count("*").cast("double").alias("value"))

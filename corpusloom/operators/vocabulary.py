@@ -49,15 +49,16 @@ def create_vocabulary(tokens: DataFrame, ngram: tuple[int, int] = (1, 1), stopwo
     if len(sep) != 1:
         raise ValueError("the separator must be one character")
     made = Vocabulary(tokens, None, tuple(ngram), tuple(stopwords), sep)
-    grams = made.grams(tokens)
+    grams, n_docs = made.grams(tokens), None
     if window > 0:
+        n_docs = grams.agg(F.coalesce(F.sum(F.greatest(F.size("tokens") - window + 1, F.lit(1))), F.lit(0))).first()[0]
         grams = grams.select("doc_id", F.explode(fn.windows(F.col("tokens"), window)).alias("tokens"))
         grams = grams.withColumn("tokens", F.array_distinct("tokens"))  # a token counts once a window
-    pair = lambda t, n, d: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("d"))
-    both = F.concat(F.transform("tokens", lambda t: pair(t, 1, 0)), F.transform(F.array_distinct("tokens"), lambda t: pair(t, 0, 1)))
-    counted = grams.select(F.explode(both).alias("x")).groupBy("x.term").agg(F.sum("x.n").alias("term_count"), F.sum("x.d").alias("doc_count"))
+    # no lambdas here: both explodes stay in generated code
+    sides = F.explode(F.array(F.struct(F.col("tokens"), F.lit(1).alias("n"), F.lit(0).alias("d")), F.struct(F.array_distinct("tokens").alias("tokens"), F.lit(0).alias("n"), F.lit(1).alias("d")))).alias("x")
+    counted = grams.select(sides).select(F.explode("x.tokens").alias("term"), "x.n", "x.d").groupBy("term").agg(F.sum("n").alias("term_count"), F.sum("d").alias("doc_count"))
     terms = counted.filter("term <> ''").select("term", F.col("term_count").cast("long"), F.col("doc_count").cast("long"))
-    return replace(made, terms=terms, document_count=grams.count())
+    return replace(made, terms=terms, document_count=tokens.count() if n_docs is None else n_docs)
 
 
 def vocabulary_of_terms(terms: DataFrame, ngram: tuple[int, int] = (1, 1), stopwords: list[str] = (), sep: str = "_") -> Vocabulary:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from ..functions.hashing import BUCKET_SEED, SIGN_SEED, murmur3_sql
 from ..functions.numeric import qnorm_sql
 from ..operators import evaluate, matrix, similarity, vectorize
 from ..operators.collocations import Collocations
@@ -34,8 +35,9 @@ _TOK = f"tok AS (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, ''
 _FLAT = f"{_TOK}, flat AS (SELECT doc_id, lang, unnest(ts) AS term, unnest(range(1, len(ts) + 1)) AS pos FROM tok)"
 _STAT = "SELECT term, count(*)::BIGINT AS term_count, count(DISTINCT doc_id)::BIGINT AS doc_count FROM {} GROUP BY term"
 _VOC = f"{_FLAT}, voc AS ({_STAT.format('flat')})"
-#: The vocabulary of the matrix queries: terms of 50 occurrences or more in at most half of the documents.
-_PRUNED = f"{_VOC}, v AS (SELECT * FROM voc WHERE term_count >= 50 AND doc_count <= 0.5 * (SELECT count(*) FROM documents))"
+#: The vocabulary of the matrix queries: terms of 10 occurrences or more in at most half of the documents.
+_PRUNED = f"{_VOC}, v AS (SELECT * FROM voc WHERE term_count >= 10 AND doc_count <= 0.5 * (SELECT count(*) FROM documents))"
+_ALL_DTM = f"{_FLAT}, dtm AS (SELECT doc_id, term, count(*)::DOUBLE AS value FROM flat GROUP BY ALL)"
 _DTM = f"{_PRUNED}, dtm AS (SELECT doc_id, term, count(*)::DOUBLE AS value FROM flat JOIN v USING (term) GROUP BY ALL)"
 
 
@@ -62,10 +64,18 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pruned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Vocabulary]:
     """Tokens, and the vocabulary of the matrix queries (written once, as it is used many times)."""
     own = words(spark, sf_dir)
-    v = prune(create_vocabulary(own), term_count_min=50, doc_proportion_max=0.5)
+    v = prune(create_vocabulary(own), term_count_min=10, doc_proportion_max=0.5)
     return own, Vocabulary(materialize(v.terms, "vocabulary"), v.document_count)
 
 
+def all_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Vocabulary]:
+    """Counts over the whole vocabulary."""
+    own = words(spark, sf_dir)
+    v = create_vocabulary(own)
+    v = Vocabulary(materialize(v.terms, "vocabulary"), v.document_count)
+    return vectorize.create_dtm(own, vectorize.VocabVectorizer(v)), v
+
+
 def counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Vocabulary]:
     own, v = pruned(spark, sf_dir)
     return vectorize.create_dtm(own, vectorize.VocabVectorizer(v)), v
@@ -158,7 +168,7 @@ def vocab_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary_of_terms(own, stopwords=STOP).terms.select("term")
 
 
-@query(f"WITH {_VOC} SELECT term, (row_number() OVER (ORDER BY term_count, term) - 1)::INT AS term_id FROM voc")
+@query(f"WITH {_VOC} SELECT term, (row_number() OVER (ORDER BY term_count, term) - 1)::BIGINT AS term_id FROM voc")
 def vocab_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return create_vocabulary(words(spark, sf_dir)).with_ids().select("term", "term_id")
 
@@ -230,7 +240,36 @@ def bns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return BiNormalSeparation().fit(m, y, v.terms).stat.select("term", F.round("bns", 6).alias("bns"), "positive")
 
 
-@query()
+@query(f"WITH {_BNS.replace('SELECT term, round(abs', ', stat AS (SELECT term, round(abs', 1)}) SELECT doc_id, term, bns AS value FROM dtm JOIN stat USING (term)")
+def bns_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights learned from labelled documents, on all documents."""
+    m, v = counts(spark, sf_dir)
+    m = materialize(m, "dtm")
+    y = table(spark, sf_dir, "labels").filter("quality IS NOT NULL").select("doc_id", (F.col("quality") == 1).alias("positive"))
+    return cells(BiNormalSeparation().fit(m, y, v.terms).transform(m))
+
+
+@query(f"WITH {_DTM}, r AS (SELECT v.term, count(dtm.value) AS held, coalesce(min(dtm.value), 0) AS low, coalesce(max(dtm.value), 0) AS high FROM v LEFT JOIN dtm USING (term) GROUP BY 1) SELECT term, CASE WHEN held < (SELECT count(*) FROM documents) THEN least(low, 0) ELSE low END AS least, CASE WHEN held < (SELECT count(*) FROM documents) THEN greatest(high, 0) ELSE high END AS most FROM r")
+def column_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least and greatest value of each term, cells that are not stored counting as 0."""
+    m, v = counts(spark, sf_dir)
+    return matrix.column_range(m, v.document_count).withColumnRenamed("column", "term")
+
+
+_GRAMS = f"{_TOK}, g AS (SELECT doc_id, flatten(list_transform(range(1, len(ts) + 1), lambda i: CASE WHEN i < len(ts) THEN [ts[i], ts[i] || '_' || ts[i + 1]] ELSE [ts[i]] END)) AS gs FROM tok)"
+
+
+@query(f"""WITH {_GRAMS}, flat AS (SELECT doc_id, unnest(gs) AS term, unnest(range(1, len(gs) + 1)) AS pos FROM g), v AS (SELECT term FROM flat GROUP BY term HAVING count(*) >= 50)
+SELECT x.term AS i, y.term AS j, round(sum(1 / (y.pos - x.pos)), 6) AS value FROM flat x JOIN flat y ON y.doc_id = x.doc_id AND y.pos > x.pos AND y.pos <= x.pos + 2 WHERE x.term IN (SELECT term FROM v) AND y.term IN (SELECT term FROM v) GROUP BY 1, 2""")
+def tcm_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over the interleaved words and pairs of words."""
+    own = words(spark, sf_dir)
+    v = prune(create_vocabulary(own, (1, 2)), term_count_min=50)
+    return vectorize.create_tcm(own, vectorize.VocabVectorizer(v), 2, "right").withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {_GRAMS}, flat AS (SELECT doc_id, unnest(gs) AS term FROM g), t AS (SELECT DISTINCT term FROM flat), h AS (SELECT term, {murmur3_sql("term", BUCKET_SEED)} % 16384 AS b, CASE WHEN {murmur3_sql("term", SIGN_SEED)} >= 2147483648 THEN -1 ELSE 1 END AS s FROM t)
+SELECT doc_id, b::BIGINT AS "column", sum(s)::DOUBLE AS value FROM flat JOIN h USING (term) GROUP BY 1, 2""")
 def hash_dtm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorize.create_dtm(words(spark, sf_dir), vectorize.HashVectorizer(1 << 14, (1, 2), signed=True))
 
@@ -275,40 +314,38 @@ def tcm_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorize.word_count(own, vectorize.VocabVectorizer(v))
 
 
-_FEW = _PRUNED.replace("term_count >= 50", "term_count >= 300")
+_FEW = _PRUNED.replace("term_count >= 10", "term_count >= 300")
 
 
 @query(f"WITH {_FEW}, b AS (SELECT DISTINCT doc_id, term FROM flat JOIN v USING (term)) SELECT x.term AS i, y.term AS j, count(*)::DOUBLE AS value FROM b x JOIN b y USING (doc_id) GROUP BY 1, 2")
 def tcm_crossprod(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectorize.cross_product(_few(spark, sf_dir)[0])
-
-
-def _few(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Vocabulary]:
-    """Counts over terms of 300 occurrences or more: a vocabulary fit for pairs of terms."""
+    """Documents that two terms share, for all pairs of a vocabulary of frequent terms (300 or more, in half of the documents at most)."""
     own = words(spark, sf_dir)
     v = prune(create_vocabulary(own), term_count_min=300, doc_proportion_max=0.5)
     v = Vocabulary(materialize(v.terms, "vocabulary"), v.document_count)
-    return vectorize.create_dtm(own, vectorize.VocabVectorizer(v)), v
+    return vectorize.cross_product(vectorize.create_dtm(own, vectorize.VocabVectorizer(v)))
 
 
-@query()
+@query(f"""WITH {_FLAT}, t AS (SELECT DISTINCT term FROM flat), h AS (SELECT term, ({murmur3_sql("term", BUCKET_SEED)} % 1024)::BIGINT AS b FROM t), f AS (SELECT doc_id, pos, b FROM flat JOIN h USING (term)), p AS (SELECT least(x.b, y.b) AS i, greatest(x.b, y.b) AS j, y.pos - x.pos AS d FROM f x JOIN f y ON y.doc_id = x.doc_id AND y.pos > x.pos AND y.pos <= x.pos + 2)
+SELECT i, j, round(sum(1 / d), 6) AS value FROM p GROUP BY 1, 2""")
 def tcm_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectorize.create_tcm(words(spark, sf_dir), vectorize.HashVectorizer(1 << 10), 2)
+    return vectorize.create_tcm(words(spark, sf_dir), vectorize.HashVectorizer(1 << 10), 2).withColumn("value", F.round("value", 6))
 
 
 # -- collocations
 
 _LL = "({k} * ln(CASE WHEN {p} = 0 THEN 1 ELSE {p} END) + ({n} - {k}) * ln(CASE WHEN 1 - {p} = 0 THEN 1 ELSE 1 - {p} END))"
 _LLR = "-2 * (" + _LL.format(p="(n_j / n)", n="n_i", k="n_ij") + " + " + _LL.format(p="(n_j / n)", n="(n - n_i)", k="(n_j - n_ij)") + " - " + _LL.format(p="(n_ij / n_i)", n="n_i", k="n_ij") + " - " + _LL.format(p="((n_j - n_ij) / (n - n_i))", n="(n - n_i)", k="(n_j - n_ij)") + ")"
+_SCORES = f"log2(n_ij / n_i / n_j * n) AS pmi, log2(n_ij * n_ij * n_ij / n_i / n_j / n) AS lfmd, (n_ij - 5) * n / (n_i * n_j) AS gensim, {_LLR} AS llr"
 _COLLOC = f"""{_VOC}, v AS (SELECT * FROM voc WHERE term_count >= 5), t AS (SELECT sum(term_count)::DOUBLE AS n FROM v),
 pairs AS (SELECT x.term AS prefix, y.term AS suffix, count(*)::DOUBLE AS n_ij FROM flat x JOIN flat y ON y.doc_id = x.doc_id AND y.pos = x.pos + 1 GROUP BY 1, 2 HAVING count(*) >= 5),
 s AS (SELECT prefix, suffix, a.term_count::DOUBLE AS n_i, b.term_count::DOUBLE AS n_j, n_ij, n FROM pairs JOIN v a ON a.term = prefix JOIN v b ON b.term = suffix, t),
-sc AS (SELECT prefix, suffix, n_i, n_j, n_ij, log2(n_ij) - log2(n_i) - log2(n_j) + log2(n) AS pmi, 3 * log2(n_ij) - log2(n_i) - log2(n_j) - log2(n) AS lfmd, (n_ij - 5) * n / (n_i * n_j) AS gensim, {_LLR} AS llr FROM s)
+sc AS (SELECT prefix, suffix, n_i, n_j, n_ij, {_SCORES} FROM s)
 SELECT prefix, suffix, n_i::BIGINT AS n_i, n_j::BIGINT AS n_j, n_ij::BIGINT AS n_ij, round(pmi, 6) AS pmi, round(lfmd, 6) AS lfmd, round(gensim, 6) AS gensim, round(llr, 4) AS llr FROM sc"""
 
 
-def _scored(c: Collocations) -> DataFrame:
-    return c.stat.select("prefix", "suffix", "n_i", "n_j", "n_ij", F.round("pmi", 6).alias("pmi"), F.round("lfmd", 6).alias("lfmd"), F.round("gensim", 6).alias("gensim"), F.round("llr", 4).alias("llr"))
+def _scored(c: Collocations, *more: str) -> DataFrame:
+    return c.stat.select("prefix", "suffix", "n_i", "n_j", "n_ij", *more, F.round("pmi", 6).alias("pmi"), F.round("lfmd", 6).alias("lfmd"), F.round("gensim", 6).alias("gensim"), F.round("llr", 4).alias("llr"))
 
 
 def _open(**thresholds: float) -> Collocations:
@@ -326,7 +363,36 @@ def colloc_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(_open().fit(words(spark, sf_dir)).prune(pmi_min=3.0, gensim_min=0.5, lfmd_min=-15.0, llr_min=10.0))
 
 
-@query()
+def _collapsed(tok: str, phrases: str) -> str:
+    """SQL of (doc_id, ts) with phrases merged: a fold whose state is [the token before, the token now, tokens put out ...]."""
+    runs = " UNION ALL ".join(f"SELECT doc_id, unnest(list_transform(range(1, len(ts) - {n - 2}), lambda i: array_to_string(ts[i:i + {n - 1}], '_'))) AS phrase FROM {tok} WHERE len(ts) >= {n}" for n in (2, 3, 4))
+    has = "list_contains(own, {})".format
+    return f"""SELECT doc_id, CASE WHEN len(st) = 0 THEN [] WHEN {has("st[1] || '_' || st[2]")} THEN CASE WHEN len(st) > 2 THEN st[3:len(st) - 1] ELSE [] END || [st[1] || '_' || st[2]] ELSE st[3:] || [st[2]] END AS ts FROM (
+  SELECT doc_id, own, CASE WHEN len(ts) = 0 THEN []::VARCHAR[] ELSE list_reduce(list_prepend(['_', ts[1]], list_transform(ts[2:], lambda t: [t])), lambda a, x: CASE
+    WHEN {has("a[2] || '_' || x[1]")} THEN [a[1], a[2] || '_' || x[1]] || a[3:]
+    WHEN len(a) > 2 AND {has("a[1] || '_' || a[2]")} THEN [a[1], x[1]] || a[3:len(a) - 1] || [a[1] || '_' || a[2]]
+    ELSE [a[2], x[1]] || a[3:] || [a[2]] END) END AS st
+  FROM (SELECT k.doc_id, k.ts, coalesce(o.own, []::VARCHAR[]) AS own FROM {tok} k LEFT JOIN (SELECT doc_id, list(DISTINCT phrase) AS own FROM ({runs}) JOIN {phrases} USING (phrase) GROUP BY doc_id) o USING (doc_id)))"""
+
+
+_PASSES = f"""{_COLLOC.replace("SELECT prefix, suffix, n_i::BIGINT", ", unused AS (SELECT prefix, suffix, n_i::BIGINT", 1)}),
+one AS (SELECT * FROM sc WHERE pmi >= 3), ph1 AS (SELECT DISTINCT prefix || '_' || suffix AS phrase FROM one), k1 AS ({_collapsed("tok", "ph1")}),
+flat1 AS (SELECT doc_id, unnest(ts) AS term, unnest(range(1, len(ts) + 1)) AS pos FROM k1), voc2 AS (SELECT term FROM v UNION SELECT phrase FROM ph1),
+c2 AS (SELECT term, count(*)::DOUBLE AS c FROM flat1 WHERE term IN (SELECT term FROM voc2) GROUP BY term), t2 AS (SELECT sum(c) AS n FROM c2),
+pairs2 AS (SELECT x.term AS prefix, y.term AS suffix, count(*)::DOUBLE AS n_ij FROM flat1 x JOIN flat1 y ON y.doc_id = x.doc_id AND y.pos = x.pos + 1 GROUP BY 1, 2 HAVING count(*) >= 5),
+s2 AS (SELECT prefix, suffix, a.c AS n_i, b.c AS n_j, n_ij, n FROM pairs2 JOIN c2 a ON a.term = prefix JOIN c2 b ON b.term = suffix, t2),
+two AS (SELECT prefix, suffix, n_i, n_j, n_ij, {_SCORES} FROM s2 WHERE NOT (prefix IN (SELECT prefix FROM one) AND suffix IN (SELECT suffix FROM one))),
+stat AS (SELECT *, 1 AS iter FROM one UNION ALL SELECT *, 2 AS iter FROM two WHERE pmi >= 3)"""
+
+
+@query(f"WITH {_PASSES} SELECT prefix, suffix, n_i::BIGINT AS n_i, n_j::BIGINT AS n_j, n_ij::BIGINT AS n_ij, round(pmi, 6) AS pmi, round(lfmd, 6) AS lfmd, round(gensim, 6) AS gensim, round(llr, 4) AS llr, iter FROM stat")
+def colloc_second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of phrases: a second pass over the text in which those of the first are merged."""
+    c = _open(pmi_min=3.0).fit(words(spark, sf_dir), 2)
+    return _scored(c, "iter")
+
+
+@query(f"WITH {_PASSES}, ph2 AS (SELECT DISTINCT prefix || '_' || suffix AS phrase FROM stat), k2 AS ({_collapsed('tok', 'ph2')}) {_DIGEST.replace('FROM tok', 'FROM k2')}")
 def colloc_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = words(spark, sf_dir)
     return _listed(_open(pmi_min=3.0).fit(own, 2).transform(own))
@@ -335,24 +401,24 @@ def colloc_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- similarity
 
 
-@query(f"WITH {_DTM}, u AS (SELECT doc_id, term, value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)) AS v FROM dtm) SELECT x.doc_id AS x_id, y.doc_id AS y_id, round(sum(x.v * y.v), 6) AS sim FROM u x JOIN u y USING (term) WHERE x.doc_id % 20 = 0 GROUP BY 1, 2")
+@query(f"WITH {_ALL_DTM}, u AS (SELECT doc_id, term, value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)) AS v FROM dtm) SELECT x.doc_id AS x_id, y.doc_id AS y_id, round(sum(x.v * y.v), 6) AS sim FROM u x JOIN u y USING (term) WHERE x.doc_id % 20 = 0 GROUP BY 1, 2")
 def cosine_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = counts(spark, sf_dir)[0]
+    m = all_counts(spark, sf_dir)[0]
     return similarity.sim2(m.filter("doc_id % 20 = 0"), m).withColumn("sim", F.round("sim", 6))
 
 
 _SETS = "s AS (SELECT DISTINCT doc_id, term FROM dtm), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT x.doc_id AS x_id, y.doc_id AS y_id, count(*) AS k FROM s x JOIN s y USING (term) WHERE x.doc_id % 20 = 0 GROUP BY 1, 2)"
 
 
-@query(f"WITH {_DTM}, {_SETS} SELECT x_id, y_id, round(k / (a.n + b.n - k), 6) AS sim FROM c JOIN n a ON a.doc_id = x_id JOIN n b ON b.doc_id = y_id")
+@query(f"WITH {_ALL_DTM}, {_SETS} SELECT x_id, y_id, round(k / (a.n + b.n - k), 6) AS sim FROM c JOIN n a ON a.doc_id = x_id JOIN n b ON b.doc_id = y_id")
 def jaccard_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = counts(spark, sf_dir)[0]
+    m = all_counts(spark, sf_dir)[0]
     return similarity.sim2(m.filter("doc_id % 20 = 0"), m, "jaccard").withColumn("sim", F.round("sim", 6))
 
 
-@query(f"WITH {_DTM}, {_SETS} SELECT x_id, y_id, round(1 - k / (a.n + b.n - k), 6) AS dist FROM c JOIN n a ON a.doc_id = x_id JOIN n b ON b.doc_id = y_id")
+@query(f"WITH {_ALL_DTM}, {_SETS} SELECT x_id, y_id, round(1 - k / (a.n + b.n - k), 6) AS dist FROM c JOIN n a ON a.doc_id = x_id JOIN n b ON b.doc_id = y_id")
 def jaccard_dist_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = counts(spark, sf_dir)[0]
+    m = all_counts(spark, sf_dir)[0]
     return similarity.dist2(m.filter("doc_id % 20 = 0"), m, "jaccard").withColumn("dist", F.round("dist", 6))
 
 
@@ -410,26 +476,35 @@ def _topics(spark: SparkSession, sf_dir: str, v: Vocabulary, n: int) -> DataFram
     return found.withColumn("place", place).filter(F.col("place") <= n).select(F.col("lang").alias("topic"), "place", "term", "n")
 
 
-_COH = f"""WITH {_FEW}, top AS (SELECT * FROM (SELECT lang AS topic, term, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS place FROM flat JOIN v USING (term) WHERE lang IS NOT NULL GROUP BY lang, term) WHERE place <= 8),
-b AS (SELECT DISTINCT doc_id, term FROM flat JOIN v USING (term)), m AS (SELECT x.term AS i, y.term AS j, count(*)::DOUBLE AS n FROM b x JOIN b y USING (doc_id) GROUP BY 1, 2), f AS (SELECT term, min((topic, place)) AS first FROM top GROUP BY term), nd AS (SELECT count(*)::DOUBLE AS t FROM documents),
+_COH_PAIRS = f"""{_PRUNED}, top AS (SELECT * FROM (SELECT lang AS topic, term, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS place FROM flat JOIN v USING (term) WHERE lang IS NOT NULL GROUP BY lang, term) WHERE place <= 8),
+b AS (SELECT DISTINCT doc_id, term FROM flat WHERE term IN (SELECT term FROM top)), m AS (SELECT x.term AS i, y.term AS j, count(*)::DOUBLE AS n FROM b x JOIN b y USING (doc_id) GROUP BY 1, 2), f AS (SELECT term, min((topic, place)) AS first FROM top GROUP BY term), nd AS (SELECT count(*)::DOUBLE AS t FROM documents)"""
+_COH = f"""WITH {_COH_PAIRS},
 p AS (SELECT a.topic, ma.n AS na, mb.n AS nb, coalesce(mab.n, 0) AS nab, CASE WHEN fa.first < fb.first THEN ma.n ELSE mb.n END AS low, t FROM top a JOIN top b2 ON a.topic = b2.topic AND a.place < b2.place JOIN m ma ON ma.i = a.term AND ma.j = a.term JOIN m mb ON mb.i = b2.term AND mb.j = b2.term LEFT JOIN m mab ON mab.i = a.term AND mab.j = b2.term JOIN f fa ON fa.term = a.term JOIN f fb ON fb.term = b2.term, nd),
 s AS (SELECT topic, avg(ln((nab + 1e-12) / low)) AS mean_logratio, avg(log2(nab / t + 1e-12) - log2(na / t) - log2(nb / t)) AS mean_pmi, avg((log2(nab / t + 1e-12) - log2(na / t) - log2(nb / t)) / -log2(nab / t + 1e-12)) AS mean_npmi, avg(nab / t / (na / t) - nb / t) AS mean_difference FROM p GROUP BY topic)
 SELECT topic, metric, round(value, 6) AS value FROM (UNPIVOT s ON mean_logratio, mean_pmi, mean_npmi, mean_difference INTO NAME metric VALUE value)"""
 
 
-@query(_COH)
-def coherence_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, v = _few(spark, sf_dir)
-    tcm = materialize(vectorize.cross_product(m), "tcm")
+def _coherence(spark: SparkSession, sf_dir: str, metrics: tuple[str, ...]) -> DataFrame:
+    """Coherence of the languages' most frequent terms, by the documents they share; only the top terms are paired."""
+    m, v = counts(spark, sf_dir)
     top = materialize(_topics(spark, sf_dir, v, 8), "top")
-    metrics = ("mean_logratio", "mean_pmi", "mean_npmi", "mean_difference")
+    wanted = m.join(top.select(F.col("term").alias("column")).distinct(), "column", "left_semi")
+    tcm = materialize(vectorize.cross_product(wanted), "tcm")
     return evaluate.coherence(top, tcm, metrics, n_docs=v.document_count).withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(_COH)
+def coherence_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coherence(spark, sf_dir, ("mean_logratio", "mean_pmi", "mean_npmi", "mean_difference"))
+
+
+@query(f"""WITH {_COH_PAIRS},
+x AS (SELECT a.topic, a.place AS pa, b2.place AS pb, CASE WHEN a.term = b2.term THEN 1.0::DOUBLE ELSE (log2(coalesce(mab.n, 0) / t + 1e-12) - log2(ma.n / t) - log2(mb.n / t)) / -log2(coalesce(mab.n, 0) / t + 1e-12) END AS x FROM top a JOIN top b2 ON a.topic = b2.topic JOIN m ma ON ma.i = a.term AND ma.j = a.term JOIN m mb ON mb.i = b2.term AND mb.j = b2.term LEFT JOIN m mab ON mab.i = a.term AND mab.j = b2.term, nd),
+r AS (SELECT topic, pa, list(x ORDER BY pb) AS v FROM x GROUP BY 1, 2), c AS (SELECT topic, list(s ORDER BY pb) AS w FROM (SELECT topic, pb, sum(x) AS s FROM x GROUP BY 1, 2) GROUP BY 1)
+SELECT topic, 'mean_npmi_cosim' AS metric, round(avg(list_cosine_similarity(v, w)), 6) AS value FROM r JOIN c USING (topic) GROUP BY topic
+UNION ALL SELECT r.topic, 'mean_npmi_cosim2', round(avg(list_cosine_similarity(r.v, o.v)), 6) FROM r JOIN r o ON o.topic = r.topic AND o.pa > r.pa GROUP BY r.topic""")
 def coherence_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, v = _few(spark, sf_dir)
-    return evaluate.coherence(materialize(_topics(spark, sf_dir, v, 8), "top"), materialize(vectorize.cross_product(m), "tcm"), ("mean_npmi_cosim", "mean_npmi_cosim2"), n_docs=v.document_count)
+    return _coherence(spark, sf_dir, ("mean_npmi_cosim", "mean_npmi_cosim2"))
 
 
 _LANGS = ("de", "en", "es", "fr")
@@ -452,51 +527,104 @@ def perplexity_langs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- models
 
 
+def _weighted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    m, v = counts(spark, sf_dir)
+    weighted = materialize(TfIdf().fit_transform(m, v.document_count), "tfidf")
+    return weighted, materialize(v.with_ids(), "ids").select("term", "term_id"), v.document_count
+
+
 @query()
 def lsa_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, v = _few(spark, sf_dir)
-    weighted = materialize(TfIdf().fit_transform(m, v.document_count), "tfidf")
-    return LatentSemanticAnalysis(5).fit_transform(weighted, materialize(v.with_ids(), "ids").select("term", "term_id"), v.document_count)
+    return LatentSemanticAnalysis(5).fit_transform(*_weighted(spark, sf_dir))
+
+
+@query()
+def lsa_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(topic, variance, share): what each dimension explains of the variance of all columns."""
+    model = LatentSemanticAnalysis(5).fit(*_weighted(spark, sf_dir))
+    rows = [(k, float(v), float(r)) for k, (v, r) in enumerate(zip(model.explained, model.explained_variance_ratio(), strict=True), 1)]
+    return spark.createDataFrame(rows, "topic int, variance double, share double")
+
+
+def _lda(spark: SparkSession, sf_dir: str) -> tuple[LatentDirichletAllocation, DataFrame, DataFrame]:
+    m, v = counts(spark, sf_dir)
+    ids, m = materialize(v.with_ids().select("term", "term_id"), "ids"), materialize(m, "dtm")
+    return LatentDirichletAllocation(4, 0.1, 0.01).fit(m, ids, n_iter=10, check_every=5), m, ids
 
 
 @query()
 def lda_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, v = _few(spark, sf_dir)
-    ids = materialize(v.with_ids().select("term", "term_id"), "ids")
-    model = LatentDirichletAllocation(4, 0.1, 0.01).fit(materialize(m, "dtm"), ids, n_iter=10, check_every=5)
+    model, _, ids = _lda(spark, sf_dir)
     return model.top_words(10).join(ids, "term_id").select("topic", "place", "term")
 
 
-def _word_vectors(spark: SparkSession, sf_dir: str, n_iter: int = 5) -> tuple[DataFrame, DataFrame]:
+@query(f"WITH {_PRUNED} SELECT term, count(*)::BIGINT AS n FROM flat JOIN v USING (term) GROUP BY term")
+def lda_term_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each term over all topics of a fitted model: sampling moves tokens and loses none."""
+    model, _, ids = _lda(spark, sf_dir)
+    return model.topic_word().groupBy("term_id").agg(F.sum("n").alias("n")).join(ids, "term_id").select("term", "n")
+
+
+@query(f"WITH {_DTM} SELECT doc_id, 1.0::DOUBLE AS share FROM dtm GROUP BY doc_id")
+def lda_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of all documents under frozen term counts: shares that add up to 1."""
+    model, m, ids = _lda(spark, sf_dir)
+    return model.transform(m, ids).select("doc_id", F.round(F.aggregate("topics", F.lit(0.0), lambda s, x: s + x), 9).alias("share"))
+
+
+@query()
+def glove_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of terms of 50 occurrences or more, after five epochs."""
     own = words(spark, sf_dir)
-    v = prune(create_vocabulary(own), term_count_min=300, doc_proportion_max=0.9)
+    v = prune(create_vocabulary(own), term_count_min=50, doc_proportion_max=0.9)
+    v = Vocabulary(materialize(v.terms, "vocabulary"), v.document_count)
     ids = materialize(v.with_ids().select("term", "term_id"), "ids")
     tcm = vectorize.create_tcm(own, vectorize.VocabVectorizer(v), 5)
     numbered = tcm.join(ids.select(F.col("term").alias("i"), F.col("term_id").alias("a")), "i").join(ids.select(F.col("term").alias("j"), F.col("term_id").alias("b")), "j").select(F.col("a").alias("i"), F.col("b").alias("j"), "value")
     model = GloVe(16)
-    main = model.fit_transform(numbered, ids.count(), n_iter)
-    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(main + model.context)], "term_id int, v array<double>")
-    return ids.join(vectors, "term_id"), own
+    vectors = model.fit_transform(numbered, ids.count(), 5) + model.context
+    return ids.join(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "term_id long, v array<double>"), "term_id").select("term", "v")
 
 
-@query()
-def glove_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _word_vectors(spark, sf_dir)[0].select("term", "v")
+def _lent(spark: SparkSession, sf_dir: str, ids: DataFrame, *places: str) -> DataFrame:
+    """(term, term_id, v): table vectors in the place of trained ones, so that SQL can say the same: the sum of those at ``places``, each after the first doubled once more."""
+    e = materialize(table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")), "lent")
+    n, out = e.count(), ids
+    for k, place in enumerate(places):
+        own = e.select(F.col("vec_id").alias(f"at{k}"), F.transform("e", lambda x: x * (1 << k)).alias(f"e{k}"))  # noqa: B023
+        out = out.withColumn(f"at{k}", F.expr(place.format(n=n)).cast("long")).join(own, f"at{k}")
+    v = F.col("e0")
+    for k in range(1, len(places)):
+        v = F.zip_with(v, f"e{k}", lambda a, b: a + b)
+    return out.select("term", "term_id", v.alias("v"))
 
 
-@query()
+_LENT = "n AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
+
+
+@query(f"""WITH {_ALL_DTM}, {_LENT}, voc AS (SELECT term, sum(value) AS c FROM dtm GROUP BY term), ids AS (SELECT term, (row_number() OVER (ORDER BY c, term) - 1) % n AS vec_id FROM voc, n),
+w AS (SELECT doc_id, vec_id, sum(share) AS share FROM (SELECT doc_id, term, value / sum(value) OVER (PARTITION BY doc_id) AS share FROM dtm) JOIN ids USING (term) GROUP BY 1, 2),
+cs AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM e a, e b), asked AS (SELECT DISTINCT doc_id AS q_id, vec_id FROM w WHERE doc_id % 20 = 0),
+best AS (SELECT q_id, b AS vec_id, max(c) AS best FROM asked JOIN cs ON a = vec_id GROUP BY 1, 2)
+SELECT q_id, doc_id, round(sum(share * best), 6) AS sim FROM w JOIN best USING (vec_id) GROUP BY 1, 2""")
 def rwmd_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors, own = _word_vectors(spark, sf_dir)
-    vectors = materialize(vectors, "word-vectors")
-    m = materialize(vectorize.create_dtm(own, vectorize.VocabVectorizer(Vocabulary(vectors.select("term"), None))), "dtm")
+    """Every 20th document against all, over the whole vocabulary."""
+    m, v = all_counts(spark, sf_dir)
+    m = materialize(m, "dtm")
+    vectors = _lent(spark, sf_dir, v.with_ids().select("term", "term_id"), "term_id % {n}")
     model = RelaxedWordMovers(m, vectors.select(F.col("term").alias("column"), "v"))
-    return model.sim2(m.filter("doc_id % 20 = 0"))
+    return model.sim2(m.filter("doc_id % 20 = 0")).withColumn("sim", F.round("sim", 6))
 
 
-@query()
+@query(f"""WITH {_PRUNED}, {_LENT}, ids AS (SELECT term, row_number() OVER (ORDER BY term_count, term) - 1 AS id FROM v), u AS (SELECT id, list_transform(list_zip(x.e, y.e), lambda p: p[1] + 2 * p[2]) AS v FROM ids, n JOIN e x ON x.vec_id = id % n JOIN e y ON y.vec_id = (id // n + id) % n),
+w AS (SELECT id, list_transform(v, lambda a: a / sqrt(list_inner_product(v, v))) AS v FROM u),
+q AS (SELECT a.id // 4 AS question, a.id AS a, b.id AS b, c.id AS c, d.id AS d, list_transform(list_zip(a.v, b.v, c.v), lambda p: p[2] + p[3] - p[1]) AS t FROM w a JOIN w b ON b.id = a.id + 1 JOIN w c ON c.id = a.id + 2 JOIN w d ON d.id = a.id + 3 WHERE a.id % 4 = 0),
+r AS (SELECT question, arg_max(w.id, list_cosine_similarity(t, w.v)) AS predicted, any_value(d) AS actual FROM q, w WHERE w.id NOT IN (a, b, c) GROUP BY question)
+SELECT 'in order' AS category, question::BIGINT AS question, predicted::BIGINT AS predicted, actual::BIGINT AS actual FROM r""")
 def analogy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a is to b as c is to d, with the terms taken four at a time in order of their ids."""
-    vectors = materialize(_word_vectors(spark, sf_dir)[0], "word-vectors")
+    _, v = pruned(spark, sf_dir)
+    vectors = materialize(_lent(spark, sf_dir, v.with_ids().select("term", "term_id"), "term_id % {n}", "(term_id div {n} + term_id) % {n}"), "word-vectors")
     group = F.floor(F.col("term_id") / 4).cast("long")
     questions = vectors.groupBy(group.alias("question")).agg(*(F.max(F.when(F.col("term_id") % 4 == k, F.col("term_id"))).alias(name) for k, name in enumerate("abcd"))).dropna()
     return evaluate.analogies(questions.withColumn("category", F.lit("in order")), vectors.select(F.col("term_id").alias("id"), "v"))

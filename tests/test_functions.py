@@ -65,3 +65,17 @@ def test_qnorm(spark):
     import duckdb
 
     assert duckdb.connect().execute("SELECT " + numeric.qnorm_sql("0.02")).fetchall()[0][0] == pytest.approx(NormalDist().inv_cdf(0.02))
+
+
+def test_murmur_sql_and_arrow_agree():
+    import random
+
+    import duckdb
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    terms = pa.table({"t": ["".join(rng.choice("abcdé日🙂 ") for _ in range(rng.randint(0, 19))) for _ in range(3000)]})
+    for seed in (hashing.BUCKET_SEED, hashing.SIGN_SEED):
+        got = duckdb.connect().execute(f"SELECT t, {hashing.murmur3_sql('t', seed)} FROM terms").fetchall()
+        made = hashing.murmur3_of(pa.array([t for t, _ in got]), seed)[0].tolist()
+        assert [h for _, h in got] == made

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import collocations, evaluate, glove, lda, lsa, matrix, ranking, rwmd, similarity, vectorize, vocabulary, weighting
+from corpusloom.operators import _arrays, collocations, evaluate, glove, lda, lsa, matrix, ranking, rwmd, similarity, vectorize, vocabulary, weighting
 
 DOCS = {1: "a b c a", 2: "b c d", 3: "", 4: "a a a b b", 5: "the a b"}
 
@@ -87,7 +87,9 @@ def test_dtm_and_hash(spark):
 
 @pytest.mark.parametrize("context", ["symmetric", "right", "left"])
 @pytest.mark.parametrize("binary", [False, True])
-def test_tcm_brute_force(spark, context, binary):
+@pytest.mark.parametrize("term_bytes", [64 << 20, 0])
+def test_tcm_brute_force(spark, monkeypatch, context, binary, term_bytes):
+    monkeypatch.setattr(_arrays, "TERM_BYTES", term_bytes)
     docs, window = random_docs(30, 3), 3
     known = set("abcde")
     want = Counter()
@@ -108,6 +110,38 @@ def test_tcm_brute_force(spark, context, binary):
         vectorize.create_tcm(tokens_of(spark), vectorize.VocabVectorizer(v), 3, weights=[1.0])
 
 
+@pytest.mark.parametrize("signed", [False, True])
+def test_hashed_tcm_brute_force(spark, signed):
+    from corpusloom.functions import hashing
+
+    docs, want = random_docs(30, 8), Counter()
+    column = lambda t: hashing.murmur3(t.encode(), hashing.BUCKET_SEED) % 3
+    sign = lambda t: -1 if signed and hashing.murmur3(t.encode(), hashing.SIGN_SEED) >> 31 else 1
+    for text in docs.values():
+        t = text.split()
+        for i, a in enumerate(t):
+            for d in (1, 2):
+                if i + d < len(t):
+                    b = t[i + d]
+                    want[tuple(sorted((column(a), column(b))))] += sign(a) * sign(b) / d
+    got = cells_of(vectorize.create_tcm(tokens_of(spark, docs), vectorize.HashVectorizer(3, signed=signed), 2), "i", "j")
+    assert got == pytest.approx(dict(want))
+
+
+def test_tcm_over_ngrams(spark):
+    """Windows run over the n-grams in order of their start."""
+    docs, want = random_docs(20, 12), Counter()
+    for text in docs.values():
+        t = text.split()
+        grams = [g for i in range(len(t)) for g in ([t[i], f"{t[i]}_{t[i + 1]}"] if i + 1 < len(t) else [t[i]])]
+        for i, a in enumerate(grams):
+            for d in (1, 2):
+                if i + d < len(grams):
+                    want[(a, grams[i + d])] += 1 / d
+    v = vocabulary.create_vocabulary(tokens_of(spark, docs), (1, 2))
+    assert cells_of(vectorize.create_tcm(tokens_of(spark, docs), vectorize.VocabVectorizer(v), 2, "right"), "i", "j") == pytest.approx(dict(want))
+
+
 def test_lda_c_and_vectors(spark):
     v = vocabulary.create_vocabulary(tokens_of(spark))
     ids = v.with_ids().select("term", "term_id")
@@ -157,6 +191,75 @@ def test_similarity(spark):
         similarity.cosine(m, m, "l1")
 
 
+def test_similarity_in_blocks(spark, monkeypatch):
+    """Many blocks of queries, few pairs at a time, negative and absent values, ids of any type."""
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(similarity, "MADE", 64)
+    rng = random.Random(3)
+    cells = {(f"d{i}", rng.choice("abcdefgh")): float(rng.choice([-2, -1, 1, 2, 5])) for i in range(30) for _ in range(5)}
+    m = spark.createDataFrame([(i, c, v) for (i, c), v in cells.items()], "doc_id string, column string, value double")
+    rows = {i: {c: v for (k, c), v in cells.items() if k == i} for i, _ in cells}
+    norm = {i: sum(v * v for v in r.values()) ** 0.5 for i, r in rows.items()}
+    shared = {(i, j) for i in rows for j in rows if rows[i].keys() & rows[j].keys()}
+    want = {(i, j): sum(v * rows[j].get(c, 0) for c, v in rows[i].items()) / norm[i] / norm[j] for i, j in shared}
+    assert cells_of(similarity.sim2(m).withColumnRenamed("sim", "value"), "x_id", "y_id") == pytest.approx(want)
+    got = cells_of(similarity.dist2(m, complete=True).withColumnRenamed("dist", "value"), "x_id", "y_id")
+    assert got == pytest.approx({(i, j): 1 - want.get((i, j), 0.0) for i in rows for j in rows})
+    assert similarity.sim2(m.limit(0), m).count() == 0 and similarity.sim2(m, m.limit(0), "jaccard").count() == 0
+
+
+def test_dense_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(similarity, "MADE", 20)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 6)) + 1000.0
+    x[7] = x[3]
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    got = {(r["x_id"], r["y_id"]): r["value"] for r in similarity.dense(rows, rows, "euclidean", "none").collect()}
+    assert got == pytest.approx({(i, j): float(np.linalg.norm(x[i] - x[j])) for i in range(40) for j in range(40)}, abs=1e-9)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = {(r["x_id"], r["place"]): r["y_id"] for r in similarity.nearest(rows, rows, 3).collect()}
+    sims = u @ u.T
+    for i in range(40):
+        order = sorted((j for j in range(40) if j != i), key=lambda j: -sims[i, j])[:3]  # noqa: B023
+        assert [sims[i, near[(i, k)]] for k in (1, 2, 3)] == pytest.approx([sims[i, j] for j in order])
+
+
+@pytest.mark.parametrize("vector_bytes", [128 << 20, 0])
+def test_rwmd_brute_force(spark, monkeypatch, vector_bytes):
+    monkeypatch.setattr(rwmd, "VECTOR_BYTES", vector_bytes)
+    monkeypatch.setattr(rwmd, "MADE", 64)
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 400)
+    rng = np.random.default_rng(6)
+    words = {w: rng.normal(size=5) for w in "abcdefghij"}
+    words["j"] = words["a"] * 2  # same direction as another word
+    docs = {k: [str(x) for x in rng.choice(list(words) + ["unknown"], 6)] for k in range(15)}
+    m = spark.createDataFrame([(k, w, float(n)) for k, t in docs.items() for w, n in Counter(t).items()], "doc_id long, column string, value double")
+    e = spark.createDataFrame([(w, v.tolist()) for w, v in words.items()], "column string, v array<double>")
+    cos = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    known = {k: [w for w in t if w in words] for k, t in docs.items()}
+    want = {(q, k): sum(max(cos(words[w], words[x]) for x in known[q]) for w in known[k]) / len(known[k]) for q in docs for k in docs if known[q] and known[k]}
+    got = {(r["q_id"], r["doc_id"]): r["sim"] for r in rwmd.RelaxedWordMovers(m, e).sim2(m).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_ranges_count_absent_cells(spark):
+    m = spark.createDataFrame([(1, "a", 3.0), (2, "a", 4.0), (1, "b", -3.0), (1, "c", 5.0)], "doc_id long, column string, value double")
+    got = {r["column"]: (r["least"], r["most"]) for r in matrix.column_range(m, 2).collect()}
+    assert got == {"a": (3.0, 4.0), "b": (-3.0, 0.0), "c": (0.0, 5.0)}
+    assert {r["doc_id"]: (r["least"], r["most"]) for r in matrix.row_range(m, 3).collect()} == {1: (-3.0, 5.0), 2: (0.0, 4.0)}
+    assert {r["column"]: r["least"] for r in matrix.column_range(m).collect()} == {"a": 3.0, "b": -3.0, "c": 5.0}
+    assert matrix.split_ranges(20, 3) == [(1, 7), (8, 14), (15, 20)] and matrix.split_ranges(2, 3) == [(1, 1), (2, 2)]
+
+
+def test_wide_rows_cross_product(spark, monkeypatch):
+    monkeypatch.setattr(vectorize, "PAIR_BLOCK", 4)
+    docs = random_docs(12, 15)
+    m = vectorize.create_dtm(tokens_of(spark, docs), vectorize.VocabVectorizer(vocabulary.create_vocabulary(tokens_of(spark, docs))))
+    want = Counter((a, b) for t in docs.values() for a in set(t.split()) for b in set(t.split()))
+    assert cells_of(vectorize.cross_product(m), "i", "j") == dict(want)
+
+
 def test_collapse():
     phrases = {"c_te", "d_ivoire", "c_te_d_ivoire"}
     for text, want in (("c te d 2 2", "c_te d 2 2"), ("c te d ivoire 2", "c_te_d_ivoire 2"), ("c te d ivoire", "c_te_d_ivoire")):
@@ -173,6 +276,18 @@ def test_llr_published_rows(spark):
         assert got == pytest.approx(llr, rel=2e-4)
 
 
+def test_second_pass_drops_known_ends(spark):
+    """A pair of the second pass goes if its prefix is any known prefix and its suffix any known suffix."""
+    docs = {i: "a b c d x a d y" for i in range(10)}
+    model = collocations.Collocations(count_min=5, pmi_min=float("-inf"), gensim_min=float("-inf"), llr_min=float("-inf")).fit(tokens_of(spark, docs), 2)
+    first = {(r["prefix"], r["suffix"]) for r in model.stat.filter("iter = 1").collect()}
+    second = {(r["prefix"], r["suffix"]) for r in model.stat.filter("iter = 2").collect()}
+    prefixes, suffixes = {p for p, _ in first}, {s for _, s in first}
+    text = collocations.collapse(docs[0].split(), {f"{p}_{s}" for p, s in first}, "_")
+    pairs = set(zip(text, text[1:]))  # noqa: B905
+    assert second == {(p, s) for p, s in pairs if not (p in prefixes and s in suffixes)}
+
+
 def test_collocations(spark):
     docs = {i: ("new york is big " if i % 2 else "old york was new ") * 3 for i in range(40)}
     model = collocations.Collocations(count_min=20, pmi_min=0.5).fit(tokens_of(spark, docs), 2)
