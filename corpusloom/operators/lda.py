@@ -10,36 +10,63 @@ document's terms bring their counts by a join.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import log, materialize
+from . import _arrays
 
 COUNT_BYTES = 64 << 20
 
 
-def _sweep(terms: np.ndarray, z: np.ndarray, of_term: np.ndarray, totals: np.ndarray, alpha: float, beta: float, beta_sum: float, rng: np.random.Generator) -> np.ndarray:
-    """One iteration over a document; of_term: counts of each token's term (tokens x topics)."""
-    k, n = len(totals), len(z)
-    if not n:
-        return z
-    at = np.arange(n)
-    weight = of_term + beta
-    upto = weight.cumsum(axis=1)
-    proposal = np.minimum((upto < (rng.random(n) * upto[:, -1])[:, None]).sum(axis=1), k - 1)
-    own = np.bincount(z, minlength=k)
-    ratio = (own[proposal] + alpha) / (own[z] + alpha) * (totals[z] + beta_sum) / (totals[proposal] + beta_sum)
-    z = np.where(rng.random(n) < ratio, proposal, z)
-    from_doc = rng.random(n) < n / (n + k * alpha)
-    proposal = np.where(from_doc, z[rng.integers(0, n, n)], rng.integers(0, k, n))
-    ratio = weight[at, proposal] / weight[at, z] * (totals[z] + beta_sum) / (totals[proposal] + beta_sum)
-    return np.where(rng.random(n) < ratio, proposal, z)
+_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+
+def _uniform(keys: np.ndarray, draw: int) -> np.ndarray:
+    """Numbers in [0, 1) that follow from keys and the number of the draw alone, so they do not depend on batches or tasks."""
+    x = keys + np.uint64(draw + 1) * _MIX[0]
+    x = (x ^ x >> np.uint64(30)) * _MIX[1]
+    x = (x ^ x >> np.uint64(27)) * _MIX[2]
+    x ^= x >> np.uint64(31)
+    return (x >> np.uint64(11)) * 2.0**-53
+
+
+@dataclass
+class _Tokens:
+    """All tokens of a batch of documents: their terms and topics, and for each the number and key of its document."""
+
+    terms: np.ndarray
+    z: np.ndarray
+    doc: np.ndarray
+    sizes: np.ndarray
+    keys: np.ndarray
+    of_term: np.ndarray  # counts of each token's term (tokens x topics)
+
+    def sweep(self, totals: np.ndarray, alpha: float, beta: float, beta_sum: float, seed: int) -> None:
+        """One iteration over every document of the batch at once."""
+        k, n, z, doc = len(totals), len(self.z), self.z, self.doc
+        if not n:
+            return
+        at = np.arange(n)
+        keys = self.keys + np.uint64((seed * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF)
+        weight = self.of_term + beta
+        upto = weight.cumsum(axis=1)
+        proposal = np.minimum((upto < (_uniform(keys, 0) * upto[:, -1])[:, None]).sum(axis=1), k - 1)
+        own = np.bincount(doc * k + z, minlength=len(self.sizes) * k).reshape(-1, k)
+        ratio = (own[doc, proposal] + alpha) / (own[doc, z] + alpha) * (totals[z] + beta_sum) / (totals[proposal] + beta_sum)
+        z = np.where(_uniform(keys, 1) < ratio, proposal, z)
+        size, starts = self.sizes[doc], (np.cumsum(self.sizes) - self.sizes)[doc]
+        other = z[starts + np.minimum((_uniform(keys, 2) * size).astype(np.int64), size - 1)]
+        proposal = np.where(_uniform(keys, 3) < size / (size + k * alpha), other, (_uniform(keys, 4) * k).astype(np.int64))
+        ratio = weight[at, proposal] / weight[at, z] * (totals[z] + beta_sum) / (totals[proposal] + beta_sum)
+        self.z = np.where(_uniform(keys, 5) < ratio, proposal, z)
 
 
 @dataclass
@@ -69,66 +96,82 @@ class LatentDirichletAllocation:
         return listed.select("doc_id", F.flatten(F.transform("cells", lambda c: F.array_repeat(c["term_id"], c["n"]))).alias("terms"))
 
     def _counts(self, state: DataFrame) -> DataFrame:
-        pairs = state.select(F.explode(F.arrays_zip("terms", "z")).alias("p")).groupBy("p.terms", "p.z").agg(F.count("*").alias("n"))
-        made = pairs.groupBy(F.col("terms").alias("term_id")).agg(*(F.coalesce(F.sum(F.when(F.col("z") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(self.n_topics)))
-        return made.select("term_id", F.array(*(F.col(f"n{k}") for k in range(self.n_topics))).alias("n"))
-
-    def _with_counts(self, state: DataFrame, counts: DataFrame, totals: np.ndarray, step):
-        """Run ``step(doc_id, terms, z, of_term)`` over all documents."""
-        size = counts.count() * self.n_topics * 8
-        small = size <= COUNT_BYTES
-        if small:
-            held = [(r["term_id"], r["n"]) for r in counts.toLocalIterator()]
-            width = max((t for t, _ in held), default=-1) + 1
-            dense = np.zeros((width + 1, self.n_topics))
-            for t, n in held:
-                dense[t] = n
+        k = self.n_topics
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _arrays.slices(batches, "terms"):
+                term, z = (part.column(c).flatten().to_numpy().astype(np.int64) for c in ("terms", "z"))
+                terms, at = np.unique(term, return_inverse=True)
+                n = np.bincount(at * k + z, minlength=len(terms) * k).reshape(-1, k)
+                yield pa.record_batch([pa.array(terms), *(pa.array(n[:, j]) for j in range(k))], ["term_id", *(f"n{j}" for j in range(k))])
+
+        made = state.select("terms", "z").mapInArrow(run, ", ".join(["term_id long", *(f"n{j} long" for j in range(k))]))
+        summed = made.groupBy("term_id").agg(*(F.sum(f"n{j}").alias(f"n{j}") for j in range(k)))
+        return summed.select("term_id", F.array(*(F.col(f"n{j}") for j in range(k))).alias("n"))
+
+    def _with_counts(self, state: DataFrame, counts: DataFrame):
+        """The documents with what their terms need, and a reader that gives (doc_ids, lists of terms, tokens) by batch."""
+        k = self.n_topics
+        size = counts.count() * k * 8
+        if size <= COUNT_BYTES:
+            held = counts.toArrow()
+            at = held.column("term_id").to_numpy()
+            dense = np.zeros((int(at.max(initial=-1)) + 2, k))
+            dense[at] = held.column("n").combine_chunks().flatten().to_numpy().reshape(-1, k)
             sent, source = state.sparkSession.sparkContext.broadcast(dense), state.withColumn("of", F.lit(None).cast("array<array<bigint>>"))
         else:
             sent = None
-            exploded = state.select("doc_id", "z", F.posexplode("terms").alias("pos", "term_id")).join(counts, "term_id")
-            source = exploded.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "term_id", F.col("n"), F.get("z", F.col("pos")).alias("z")))).alias("x"))
+            exploded = state.select("doc_id", "z", F.posexplode("terms").alias("pos", "term_id")).join(counts, "term_id", "left")
+            none = F.array_repeat(F.lit(0).cast("long"), k)
+            source = exploded.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "term_id", F.coalesce("n", none).alias("n"), F.get("z", F.col("pos")).alias("z")))).alias("x"))
             source = source.select("doc_id", F.transform("x", lambda x: x["term_id"]).alias("terms"), F.transform("x", lambda x: x["z"]).alias("z"), F.transform("x", lambda x: x["n"]).alias("of"))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, made = batch.column("doc_id"), []
-                for doc, terms, z, of in zip(ids.to_pylist(), *(batch.column(c).to_pylist() for c in ("terms", "z", "of")), strict=True):
-                    terms, z = np.array(terms, np.int64), np.array(z, np.int64)
-                    made.append(step(doc, terms, z, sent.value[np.minimum(terms, len(sent.value) - 1)] if of is None else np.array(of, float).reshape(len(terms), -1)))
-                yield ids, made
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, _Tokens]]:
+            for part in _arrays.slices(batches, "terms"):
+                lists = part.column("terms")
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                terms, z = lists.flatten().to_numpy().astype(np.int64), part.column("z").flatten().to_numpy().astype(np.int64)
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.arange(len(terms)) - (np.cumsum(sizes) - sizes)[doc]
+                keys = part.column("key").to_numpy().astype(np.uint64)[doc] + place.astype(np.uint64) * _MIX[1]
+                of = sent.value[np.minimum(terms, len(sent.value) - 1)] if sent is not None else part.column("of").flatten().flatten().to_numpy().reshape(-1, k).astype(float)
+                yield part.column("doc_id"), lists, _Tokens(terms, z, doc, sizes, keys, of)
 
-        return source.select("doc_id", "terms", "z", "of"), run
+        return source.select("doc_id", "terms", "z", "of", F.xxhash64("doc_id").alias("key")), read
 
     def fit(self, dtm: DataFrame, ids: DataFrame, n_iter: int = 100, check_every: int = 10, tol: float = 1e-3) -> LatentDirichletAllocation:
         """Sample until the pseudo log-likelihood grows by less than ``tol`` (relative) between checks."""
         k, seed = self.n_topics, self.seed
         start = F.transform("terms", lambda t, i: F.pmod(F.xxhash64(F.col("doc_id"), i, F.lit(seed)), F.lit(k)).cast("int"))
         state = materialize(self.rows(dtm, ids).withColumn("z", start), "lda-state")
+        out = T.StructType([state.schema["doc_id"], *T._parse_datatype_string("terms array<long>, z array<int>")])
         beta_sum = self.topic_word_prior * (ids.count() if self.per_term_normalizer else k)
         before, self.trace = float("-inf"), []
         for i in range(1, n_iter + 1):
             counts = materialize(self._counts(state), "lda-counts")
             totals = self._totals(counts)
-            source, run = self._with_counts(state, counts, totals, self._stepper(totals, beta_sum, i))
-            state = materialize(source.mapInArrow(_as_state(run), "doc_id long, terms array<long>, z array<int>"), "lda-state")
+            source, read = self._with_counts(state, counts)
+            state = materialize(source.mapInArrow(self._iteration(read, totals, beta_sum, i), out), "lda-state")
             if i % check_every == 0:
                 now = self._likelihood(materialize(self._counts(state), "lda-counts"), beta_sum)
                 self.trace.append((i, now))
+                log.info("topic model: iteration %d, pseudo log-likelihood %.3f", i, now)
                 if before > float("-inf") and before / now - 1 < tol:
                     break
                 before = now
         self.counts = materialize(self._counts(state), "lda-counts")
         return self
 
-    def _stepper(self, totals: np.ndarray, beta_sum: float, i: int):
+    def _iteration(self, read, totals: np.ndarray, beta_sum: float, i: int):
         alpha, beta, seed = self.doc_topic_prior, self.topic_word_prior, self.seed
 
-        def step(doc: object, terms: np.ndarray, z: np.ndarray, of: np.ndarray) -> tuple[list, list]:
-            rng = np.random.default_rng([seed, i, zlib.crc32(str(doc).encode())])
-            return terms.tolist(), _sweep(terms, z, of, totals, alpha, beta, beta_sum, rng).tolist()
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for doc_ids, lists, tokens in read(batches):
+                tokens.sweep(totals, alpha, beta, beta_sum, (seed << 20) + i)
+                at = pa.array(np.concatenate([[0], np.cumsum(tokens.sizes)]), pa.int32())
+                yield pa.record_batch([doc_ids, lists.cast(pa.list_(pa.int64())), pa.ListArray.from_arrays(at, pa.array(tokens.z, pa.int32()))], ["doc_id", "terms", "z"])
 
-        return step
+        return run
 
     def _totals(self, counts: DataFrame) -> np.ndarray:
         return np.array(counts.agg(*(F.coalesce(F.sum(F.get("n", F.lit(k))), F.lit(0)) for k in range(self.n_topics))).first(), float)
@@ -146,21 +189,19 @@ class LatentDirichletAllocation:
         start = F.transform("terms", lambda t, i: F.pmod(F.xxhash64(F.col("doc_id"), i, F.lit(seed)), F.lit(k)).cast("int"))
         state = self.rows(dtm, ids).withColumn("z", start)
 
-        def step(doc: object, terms: np.ndarray, z: np.ndarray, of: np.ndarray) -> tuple[list]:
-            rng = np.random.default_rng([seed, 0, zlib.crc32(str(doc).encode())])
-            total = np.zeros(k)
-            for _ in range(rounds):
-                z = _sweep(terms, z, of, totals, alpha, beta, beta_sum, rng)
-                total += np.bincount(z, minlength=k)
-            return (total / max(total.sum(), 1)).tolist()
+        source, read = self._with_counts(state, self.counts)
 
-        source, run = self._with_counts(state, self.counts, totals, step)
-
-        def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for doc_ids, made in run(batches):
-                yield pa.record_batch([doc_ids, pa.array(made, pa.list_(pa.float64()))], ["doc_id", "topics"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for doc_ids, _, tokens in read(batches):
+                total = np.zeros(len(tokens.sizes) * k)
+                for r in range(rounds):
+                    tokens.sweep(totals, alpha, beta, beta_sum, (seed << 20) - 1 - r)
+                    total += np.bincount(tokens.doc * k + tokens.z, minlength=len(total))
+                share = total.reshape(-1, k)
+                share = share / np.maximum(share.sum(axis=1, keepdims=True), 1)
+                yield pa.record_batch([doc_ids, pa.array(share.tolist(), pa.list_(pa.float64()))], ["doc_id", "topics"])
 
-        return source.mapInArrow(out, "doc_id long, topics array<double>")
+        return source.mapInArrow(run, T.StructType([state.schema["doc_id"], *T._parse_datatype_string("topics array<double>")]))
 
     def fit_transform(self, dtm: DataFrame, ids: DataFrame, **parameters: object) -> DataFrame:
         return self.fit(dtm, ids, **parameters).transform(dtm, ids)
@@ -177,6 +218,27 @@ class LatentDirichletAllocation:
         return top_words(self.topic_word(), n, relevance)
 
 
+    def viewer(self, n_terms: int = 30) -> dict[str, object]:
+        """What a topic viewer draws, ready for JSON: topics with their place in a plane and share, and their terms with smoothed shares.
+
+        The terms are the ``n_terms`` most relevant of each topic at a relevance of 1 and of 0 (a report of bounded size).
+        The map needs the shares of all terms: topics x terms numbers, bounded as the model's counts are for a broadcast.
+        """
+        n = self.counts.count()
+        if n * self.n_topics * 8 > COUNT_BYTES:
+            raise ValueError("too many terms for a map; prune the vocabulary")
+        held = self.counts.orderBy("term_id").toArrow()
+        phi = held.column("n").combine_chunks().flatten().to_numpy().reshape(-1, self.n_topics).T + self.topic_word_prior
+        totals = self._totals(self.counts)
+        phi = phi / phi.sum(axis=1, keepdims=True)
+        place = topic_map(phi) if self.n_topics > 2 and n else np.zeros((self.n_topics, 2))
+        at = {t: k for k, t in enumerate(held.column("term_id").to_pylist())}
+        both = self.top_words(n_terms, 1.0).unionByName(self.top_words(n_terms, 0.0)).select("topic", "term_id").distinct()
+        terms = [{"topic": r["topic"], "term_id": r["term_id"], "share": float(phi[r["topic"], at[r["term_id"]]])} for r in both.orderBy("topic", "term_id").collect()]
+        topics = [{"topic": k, "x": float(x), "y": float(y), "share": float(totals[k] / max(totals.sum(), 1))} for k, (x, y) in enumerate(place)]
+        return {"topics": topics, "terms": terms}
+
+
 def top_words(topic_word: DataFrame, n: int = 10, relevance: float = 1.0) -> DataFrame:
     """Terms by relevance * ln share + (1 - relevance) * ln (share / share in all topics).  topic_word: (topic, term_id, n, share)."""
     total = topic_word.agg(F.sum("n")).first()[0] or 1
@@ -186,14 +248,6 @@ def top_words(topic_word: DataFrame, n: int = 10, relevance: float = 1.0) -> Dat
     return scored.withColumn("place", place).filter(F.col("place") <= n).select("topic", "term_id", "place")
 
 
-def _as_state(run):
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, made in run(batches):
-            yield pa.record_batch([doc_ids, pa.array([x[0] for x in made], pa.list_(pa.int64())), pa.array([x[1] for x in made], pa.list_(pa.int32()))], ["doc_id", "terms", "z"])
-
-    return out
-
-
 def topic_map(phi: np.ndarray) -> np.ndarray:
     """Topics (rows of phi) placed in a plane: classical scaling of their Jensen-Shannon divergences."""
     p = phi / phi.sum(axis=1, keepdims=True)

@@ -6,6 +6,7 @@ divisible by 20 and compare them with all rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,8 @@ from ..operators.lsa import LatentSemanticAnalysis
 from ..operators.rwmd import RelaxedWordMovers
 from ..operators.vocabulary import Vocabulary, combine, create_vocabulary, prune, vocabulary_of_terms
 from ..operators.weighting import BiNormalSeparation, TfIdf
-from ..session import materialize
-from ..sources.documents import tokens
+from ..session import materialize, shared_dir
+from ..sources.documents import read_dir, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -116,6 +117,14 @@ def ngrams_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(words(spark, sf_dir).withColumn("tokens", fn.ngrams(F.col("tokens"), 1, 3, STOP)))
 
 
+@query("SELECT line AS text, count(*)::BIGINT AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark) GROUP BY 1")
+def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files with a document a line: the benchmark's texts, written as files and read back."""
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "benchmark").select("text").write.text(path)
+    return read_dir(spark, path).groupBy("text").agg(F.count("*").alias("n"))
+
+
 # -- vocabularies
 
 
@@ -638,9 +647,6 @@ def split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_VOC} SELECT * FROM voc")
 def stream_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary of a stream of documents: batches counted one by one, then summed."""
-    import uuid
-
-    from ..session import shared_dir
     from ..streaming import incremental
 
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"

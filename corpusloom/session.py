@@ -8,6 +8,7 @@ temporary folder, because there driver and executors are one process.
 from __future__ import annotations
 
 import atexit
+import logging
 import os
 import shutil
 import tempfile
@@ -15,6 +16,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Progress of iterated fits, at level INFO.
+log = logging.getLogger("corpusloom")
+
 _LOCAL: dict[str, str] = {}
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import _arrays, collocations, evaluate, glove, lda, lsa, matrix, ranking, rwmd, similarity, vectorize, vocabulary, weighting
+from corpusloom.operators import _arrays, collocations, evaluate, glove, lda, lsa, matrix, ranking, rwmd, similarity, vectorize, verbs, vocabulary, weighting
 
 DOCS = {1: "a b c a", 2: "b c d", 3: "", 4: "a a a b b", 5: "the a b"}
 
@@ -330,6 +330,38 @@ def test_lda_counts_and_perplexity(spark):
     assert phi.shape == (3, 2)
 
 
+def test_viewer_and_verbs(spark):
+    import json
+
+    docs = {i: ("apple pear fig ", "bolt nut gear ", "sun rain wind ")[i % 3] * 4 for i in range(30)}
+    v = vocabulary.create_vocabulary(tokens_of(spark, docs))
+    ids = v.with_ids().select("term", "term_id")
+    m = vectorize.create_dtm(tokens_of(spark, docs), vectorize.VocabVectorizer(v))
+    model = verbs.fit(m, lda.LatentDirichletAllocation(3, 0.1, 0.01), ids, n_iter=4)
+    seen = json.loads(json.dumps(model.viewer(5)))
+    assert [t["topic"] for t in seen["topics"]] == [0, 1, 2] and sum(t["share"] for t in seen["topics"]) == pytest.approx(1)
+    assert all(0 < t["share"] < 1 for t in seen["terms"])
+    assert verbs.transform(m, model, ids).count() == 30
+    assert cells_of(verbs.fit_transform(m, weighting.TfIdf(), 30)) == pytest.approx(cells_of(weighting.TfIdf().fit_transform(m, 30)))
+
+
+def test_lda_does_not_depend_on_tasks(spark, monkeypatch):
+    """The same model whether counts are broadcast or joined, and however documents are dealt to tasks."""
+    docs = {i: ("apple pear fig " if i % 2 else "bolt nut gear ") * (1 + i % 4) for i in range(30)}
+    v = vocabulary.create_vocabulary(tokens_of(spark, docs))
+    ids = v.with_ids().select("term", "term_id")
+    m = vectorize.create_dtm(tokens_of(spark, docs), vectorize.VocabVectorizer(v))
+
+    def fitted(m):
+        model = lda.LatentDirichletAllocation(2, 0.1, 0.01).fit(m, ids, n_iter=4, check_every=2, tol=-1)
+        return {r["term_id"]: r["n"] for r in model.counts.collect()}, {r["doc_id"]: r["topics"] for r in model.transform(m, ids).collect()}
+
+    whole = fitted(m)
+    assert fitted(m.repartition(5)) == whole
+    monkeypatch.setattr(lda, "COUNT_BYTES", 0)
+    assert fitted(m) == whole
+
+
 def test_perplexity(spark):
     m = spark.createDataFrame([(1, "a", 2.0), (1, "b", 1.0)], "doc_id long, column string, value double")
     phi = spark.createDataFrame([("a", [0.5, 0.2]), ("b", [0.5, 0.8])], "column string, phi array<double>")
