@@ -8,13 +8,12 @@ words; each counts once, so a long text is not toxic or poor for its length.
 
 from __future__ import annotations
 
-import copy
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -124,9 +123,16 @@ class Learner:
         raise NotImplementedError
 
 
+def _order(epoch: int) -> list[Column]:
+    return [F.xxhash64("rank", F.lit(epoch)), F.col("rank"), F.col("grade"), F.size("slots"), F.xxhash64("slots")]
+
+
 def in_order(sample: DataFrame, epoch: int) -> DataFrame:
     """The written sample in one partition, in the seeded order of an epoch: one task reads it and sorts it, nothing is shuffled."""
-    return sample.coalesce(1).sortWithinPartitions(F.xxhash64("rank", F.lit(epoch)), "rank", "grade", F.size("slots"), F.xxhash64("slots"))
+    return sample.coalesce(1).sortWithinPartitions(*_order(epoch))
+
+
+_STATE = "z binary, n binary, rest binary"
 
 
 def train(sample: DataFrame, make: Callable[[dict[int, int]], Learner]) -> tuple[np.ndarray, np.ndarray, list[float]]:
@@ -134,30 +140,48 @@ def train(sample: DataFrame, make: Callable[[dict[int, int]], Learner]) -> tuple
 
     ``make`` starts a learner from the rows of each grade; with fewer than two grades it is not trained.  An epoch is
     one task, as the rows depend on each other; it streams them, so a sample of very long documents takes
-    time and no memory.  Between epochs the state, 16 MB, goes through the driver.
+    time and no memory.  The state, 16 MB, is written by one epoch and read first by the next; only weights reach the driver.
     """
     sample = materialize(sample, "labelled")
     counts = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
-    learner = make(counts)
-    for epoch in range(EPOCHS if len(counts) > 1 else 0):
-        sent = sample.sparkSession.sparkContext.broadcast(learner)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = copy.deepcopy(sent.value)  # noqa: B023
-            for batch in batches:
-                for grade, found in zip(batch.column("grade").to_pylist(), batch.column("slots"), strict=True):
-                    own.visit(found.values.to_numpy() if found.is_valid else np.empty(0, np.int32), grade)
-            state = [x.tobytes() for x in (own.model.z, own.model.n, own.rest)]
-            del own
-            give_back()
-            yield pa.record_batch([pa.array([x], pa.binary()) for x in state], ["z", "n", "rest"])
-
-        state = in_order(sample, epoch).mapInArrow(run, "z binary, n binary, rest binary").first()
-        learner.model.z, learner.model.n, learner.rest = (np.frombuffer(x, np.float64).copy() for x in state)
-        sent.unpersist()
-    weights = learner.model.weights()
-    at = np.flatnonzero(weights)
-    return at, weights[at], learner.rest.tolist()
+    if len(counts) < 2:
+        return np.empty(0, np.int64), np.empty(0), make(counts).rest.tolist()
+    empty = [F.lit(None).cast("binary").alias(x) for x in ("z", "n", "rest")]
+    rows = sample.select(F.lit(1).alias("kind"), "grade", "rank", "slots", *empty)
+    state = None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = make(counts)
+        for batch in batches:
+            for kind, grade, slots, *held in zip(batch.column("kind").to_pylist(), batch.column("grade").to_pylist(), batch.column("slots"), *(batch.column(x) for x in ("z", "n", "rest")), strict=True):
+                if kind:
+                    own.visit(slots.values.to_numpy() if slots.is_valid else np.empty(0, np.int32), grade)
+                else:
+                    own.model.z, own.model.n, own.rest = (np.frombuffer(x.as_buffer(), np.float64).copy() for x in held)
+        made = pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in (own.model.z, own.model.n, own.rest)], ["z", "n", "rest"])
+        del own
+        give_back()
+        yield made
+
+    for epoch in range(EPOCHS):
+        feed = rows
+        if state is not None:
+            none = [F.lit(None).cast(f.dataType).alias(f.name) for f in sample.schema if f.name in ("grade", "rank", "slots")]
+            feed = rows.unionByName(state.select(F.lit(0).alias("kind"), *none, "z", "n", "rest"))
+        state = materialize(feed.coalesce(1).sortWithinPartitions("kind", *_order(epoch)).mapInArrow(run, _STATE), "training-state")
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for held in zip(*(batch.column(x) for x in ("z", "n", "rest")), strict=True):
+                own = make(counts)
+                own.model.z, own.model.n, rest = (np.frombuffer(x.as_buffer(), np.float64) for x in held)
+                found = own.model.weights()
+                at = np.flatnonzero(found)
+                yield pa.record_batch([pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([found[at].tolist()], pa.list_(pa.float64())), pa.array([rest.tolist()], pa.list_(pa.float64()))], ["at", "weight", "rest"])
+                del own, found
+
+    last = state.mapInArrow(weights, "at array<long>, weight array<double>, rest array<double>").first()
+    return np.array(last["at"], np.int64), np.array(last["weight"], np.float64), list(last["rest"])
 
 
 def score(docs: DataFrame, at: np.ndarray, weight: np.ndarray, finish: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, extra: Callable[[bytes], list[bytes]] | None = None) -> DataFrame:
