@@ -12,8 +12,8 @@ Defined results
 * null text: as the empty text; its fingerprint is the empty string.  Two empty
   fingerprints are alike (1.0), an empty one and any other are not (0.0).
 * equal texts: equal fingerprints, whatever else their rows hold.
-* rows with equal doc_id: ordered by a digest of their text, so reruns agree;
-  null doc_id comes before all others.
+* rows with equal doc_id: ordered by a hash of their text, so reruns agree; rows equal in both
+  follow one another.  null doc_id comes before all others.
 * one document only: it is its own next document.  Empty table: empty result.
 * very long texts: chunked whole; memory is a small multiple of one text.
 * other columns, whatever their names: ignored.
@@ -22,6 +22,7 @@ Defined results
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -32,6 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ._arrow import give_back, project, texts_of
 
 LEAST, NORMAL, MOST = 12, 32, 128
@@ -128,28 +130,80 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _PACKED = "part int, halo boolean, doc_id long, tie long, packed binary"
+#: Stands for a null doc_id, which comes before all others.
+_NULL = -(1 << 63) - 1
 
+#: (doc_id, tie, lane): where a range begins.
+Lead = tuple[int, int, int]
 
-def _packer(leads: list[int | None]):
+
+def _least(bounds: list[Lead]):
+    """Kernel over (doc_id, tie): the least key of each range that a task meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[int, int]] = {}
+        for batch in batches:
+            for key, tie in zip(batch.column("doc_id").fill_null(0).to_pylist(), batch.column("tie").to_pylist(), strict=True):
+                part = bisect.bisect_right(bounds, (key, tie, 0))
+                if part not in found or (key, tie) < found[part]:
+                    found[part] = (key, tie)
+        yield pa.record_batch([pa.array(list(found), pa.int32()), pa.array([x for x, _ in found.values()], pa.int64()), pa.array([x for _, x in found.values()], pa.int64())], ["part", "doc_id", "tie"])
+
+    return run
+
+
+def range_leads(keys: DataFrame, n: int, parts: int) -> tuple[list[Lead], dict[tuple[int, int], int]]:
+    """Where ranges begin, each at a row that is there, and in how many lanes equal rows are dealt.
+
+    keys: (doc_id, tie).  Bounds are approximate quantiles of doc_id; an id with the rows of two ranges or more is cut by the hash
+    of the text; rows equal in both, if so many, are dealt to lanes, which are ranges of their own.  Some ``parts`` ranges, and
+    as many cuts and lanes at most, come to the driver.
+    """
+    share = 2 * n / parts
+    known = keys.filter("doc_id IS NOT NULL")
+    marks = known.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()[0] if parts > 1 else None
+    bounds = {(m, -(1 << 63), 0) for m in marks or []}
+    own = lambda x: _NULL if x is None else x
+    wide = [(own(r["doc_id"]), r["count"]) for r in keys.groupBy("doc_id").count().filter(F.col("count") > share).collect()] if parts > 1 else []
+    for key, count in wide:
+        cuts = int(count * parts / n) + 1
+        bounds |= {(key, -(1 << 63) + (j << 64) // cuts, 0) for j in range(cuts)}
+    equal = [((own(r["doc_id"]), r["tie"]), int(r["count"] * parts / n) + 1) for r in keys.groupBy("doc_id", "tie").count().filter(F.col("count") > share).collect()] if wide else []
+    inner = sorted(b for b in bounds if b[0] != _NULL)
+    leads: list[Lead] = []
+    for rows, cut in ((known, inner), (keys.filter("doc_id IS NULL"), sorted((0, t, lane) for k, t, lane in bounds if k == _NULL))):
+        found = rows.mapInArrow(_least(cut), "part int, doc_id long, tie long").groupBy("part").agg(F.min(F.struct("doc_id", "tie")).alias("x")).collect()
+        leads += [(_NULL if rows is not known else r["x"]["doc_id"], r["x"]["tie"], 0) for r in found]
+    return sorted({*leads, *((*key, lane) for key, lanes in equal for lane in range(lanes))}), dict(equal)
+
+
+def _packer(held):
     """Kernel of the map side: place every row in its range, with its text compressed.
 
-    leads: least doc_id of each range, ascending; null (if any is) leads the first.
-    Rows that may lead a range are sent to the range before it as well (halo); the
-    first range comes after the last.
+    The row that leads a range is sent to the range before it as well (halo), equal ones once a task; the
+    first range comes after the last.  Of rows in lanes a task sends the first to the last lane, so
+    that those of the other lanes are followed by one like them.
     """
-    marks = np.array(leads[1:], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leads, lanes = held.value
+        begins: dict[tuple[int, int], list[int]] = {}
+        for part, lead in enumerate(leads):
+            begins.setdefault(lead[:2], []).append(part)
+        sent: dict[tuple[int, int], int] = {}
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
-                part = 0 if key is None else int(np.searchsorted(marks, key, "right"))
-                tie = int.from_bytes(xxhash.xxh3_64_digest(text), "big", signed=True)
-                packed = squeeze.compress(text)
-                rows.append((part, False, key, tie, packed))
-                if key == leads[part]:
-                    rows.append(((part - 1) % len(leads), True, key, tie, packed))
+            for doc, tie, text in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), texts_of(batch.column("text")), strict=True):
+                key, packed = (_NULL if doc is None else doc, tie), squeeze.compress(text)
+                of = begins.get(key)
+                turn = sent.get(key, 0) if of else 0
+                lane = (lanes[key] - 1 - turn) % lanes[key] if key in lanes else 0
+                rows.append((bisect.bisect_right(leads, (*key, lane)) - 1, False, doc, tie, packed))
+                if of:
+                    if not turn:
+                        rows += [((part - 1) % len(leads), True, doc, tie, packed) for part in of]
+                    sent[key] = turn + 1
             kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
             columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
             yield pa.record_batch([pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True)], ["part", "halo", "doc_id", "tie", "packed"])
@@ -184,23 +238,18 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range_rows: int = 4096) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness (see the module).
 
-    The texts are brought into doc_id order by one shuffle, compressed.  Range
-    bounds are approximate quantiles of doc_id, one per ``range_rows`` rows up to 20,000 (so
-    what the kernel is sent stays below 200 kB; beyond that, ranges hold more rows, and as they
-    are walked row by row their size is no matter).  No window runs over the
-    whole table and no range needs another.
+    The texts are brought into order of doc_id and text hash by one shuffle, compressed, in ranges of about ``range_rows`` rows (up to
+    20,000 ranges; beyond that they hold more rows, and as they are walked row by row their size is no matter).  No id,
+    and no group of equal rows, is left to one range (see ``range_leads``), no window runs over the
+    whole table, and no range needs another.
     """
     spark = docs.sparkSession
-    base = project(docs, doc_id=doc_id, text=text)
-    n = base.count()
+    base = project(docs, doc_id=doc_id, text=text).withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keys = materialize(base.select(F.col("doc_id").cast("long").alias("doc_id"), "tie"), "fingerprint-keys")
+    n = keys.count()
     if not n:
         return spark.createDataFrame([], _OUT)
-    parts = int(min(max(n // range_rows, 1), 20_000))
-    shares = [i / parts for i in range(1, parts)] or [0.5]
-    found = base.agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("nulls"), F.percentile_approx("doc_id", shares, 10 * parts).alias("marks")).first()
-    least = None if found["nulls"] else found["least"]
-    marks = sorted(set(found["marks"] or [])) if parts > 1 else []
-    leads = [least, *(int(x) for x in marks if least is None or x > least)]
-    placed = base.mapInArrow(_packer(leads), _PACKED)
+    held = spark.sparkContext.broadcast(range_leads(keys, n, int(min(max(n // range_rows, 1), 20_000))))
+    placed = base.mapInArrow(_packer(held), _PACKED)
     ordered = placed.repartition("part").sortWithinPartitions("part", "halo", F.col("doc_id").asc_nulls_first(), "tie")
     return ordered.select("doc_id", "halo", "packed").mapInArrow(_compare, _OUT)

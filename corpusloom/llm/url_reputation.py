@@ -33,6 +33,8 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Suffixes of two labels; a deployment passes the public list.
 TWO_PART = ("co.uk", "com.au", "co.jp", "com.br")
+#: What a host takes in a broadcast, and the most that all may take.
+HOST_ROW, BROADCAST_BYTES = 200, 64 << 20
 #: A prior counts as one page at least.
 LEAST_STRENGTH = 1.0
 
@@ -104,7 +106,9 @@ def judge_urls(pages: DataFrame, outcome: Column, rules: list[tuple[str, str]],
     """
     read = pages.select(F.col(f"`{page_id}`").alias("page_id"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"), outcome.cast("int").alias("bad"))
     read = materialize(read, "page-urls")
-    known = reputations(read, z, two_part).select(F.col("host").alias("known"), "mean", "low")
+    known = materialize(reputations(read, z, two_part).select(F.col("host").alias("known"), "mean", "low"), "host-reputations")
+    if known.count() * HOST_ROW <= BROADCAST_BYTES:  # else shuffled by host, where adaptive execution splits a host with a third of all pages
+        known = F.broadcast(known)
     joined = read.join(known, F.col("host") == F.col("known")).withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("low") > cutoff, "block").otherwise("allow"))
     return joined.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "mean", "low")

@@ -578,6 +578,28 @@ def test_edited_fingerprints(spark, range_rows):
     assert {r["doc_id"]: r["fingerprint"] for r in both} == {i: r["fingerprint"] for i, r in got.items()}
 
 
+@pytest.mark.parametrize("range_rows", [2, 7, 4096])
+def test_edited_fingerprints_of_hot_ids(spark, range_rows):
+    """A third of the rows without an id, a third with one id, many equal throughout: every row is followed by the next in order."""
+    rows = [(None, f"text {i} " * (1 + i % 5), "x", "y") for i in range(30)] + [(7, "the same text of all these rows", "x", "y")] * 40 + [(7, f"own {i}", "x", "y") for i in range(10)]
+    rows += [(100 + i, f"other {i} é" * 3, "x", "y") for i in range(25)] + [(None, "twin", "x", "y")] * 20 + [(3, None, "x", "y")] * 9
+    docs = frame(spark, rows).repartition(5)
+    order = sorted((-(1 << 70) if r["doc_id"] is None else r["doc_id"], r["tie"], r["text"] or "") for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).collect())
+    want = Counter()
+    for k, (i, _, own) in enumerate(order):
+        new = fingerprint.edited(own, order[(k + 1) % len(order)][2])
+        want[(None if i < 0 else i, len(own), hashlib.sha256(new.encode()).hexdigest())] += 1
+    got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprint.edited_fingerprints(docs, range_rows=range_rows).collect())
+    assert got == want
+
+
+def test_no_range_holds_a_hot_id(spark):
+    rows = [(7, "same", "x", "y")] * 400 + [(8, f"t{i}", "x", "y") for i in range(400)] + [(100 + i, "z", "x", "y") for i in range(400)]
+    keys = near_dup.materialize(frame(spark, rows).select("doc_id", F.xxhash64("text").alias("tie")), "test-keys")
+    leads, lanes = fingerprint.range_leads(keys, 1200, 12)
+    assert len(lanes) == 1 and sum(i == 7 for i, *_ in leads) == 5 and sum(i == 8 for i, *_ in leads) >= 4 and len(leads) < 30
+
+
 def test_fingerprints_of_odd_tables(spark):
     docs = frame(spark, odd_rows())
     assert fingerprint.edited_fingerprints(docs, range_rows=2).count() == len(odd_rows())
@@ -779,7 +801,25 @@ def test_pipeline_stages(spark):
             for r in docs.collect():
                 have[r["doc_id"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
             assert have == Counter(plan)
-    assert docs.count() > 0
+        else:
+            from tokenizers import Tokenizer
+
+            theirs, sha = Tokenizer.from_file(PATH), lambda x: hashlib.sha256(x.encode()).hexdigest()
+            rows = [(r["doc_id"], r["text"] or "") for r in before.collect()]
+            want = []
+            for (i, t), code in zip(rows, theirs.encode_batch([t for _, t in rows], add_special_tokens=False), strict=True):
+                want.append((i, len(code.ids), sha(",".join(map(str, code.ids))), sha(theirs.decode(code.ids, skip_special_tokens=False))))
+            assert rows and sorted(map(tuple, docs.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == sorted(want)
+
+
+def test_pipeline_runs_its_stages(spark):
+    """run() is the stages one after the other, over documents."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = near_dup.materialize(stage(spark, docs, SF), f"test-stage-{k}")
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, docs.collect()))
 
 
 def test_pipeline_on_empty(spark):
