@@ -109,16 +109,22 @@ class LatentDirichletAllocation:
         summed = made.groupBy("term_id").agg(*(F.sum(f"n{j}").alias(f"n{j}") for j in range(k)))
         return summed.select("term_id", F.array(*(F.col(f"n{j}") for j in range(k))).alias("n"))
 
-    def _with_counts(self, state: DataFrame, counts: DataFrame):
-        """The documents with what their terms need, and a reader that gives (doc_ids, lists of terms, tokens) by batch."""
+    def _dense(self, counts: DataFrame) -> np.ndarray:
+        """Counts as an array with a row for each term id, and one of zeros at the end."""
+        held = counts.toArrow()
+        at = held.column("term_id").to_numpy()
+        dense = np.zeros((int(at.max(initial=-1)) + 2, self.n_topics))
+        dense[at] = held.column("n").combine_chunks().flatten().to_numpy().reshape(-1, self.n_topics)
+        return dense
+
+    def _with_counts(self, state: DataFrame, counts: DataFrame | np.ndarray):
+        """The documents with what their terms need, and a reader that gives (doc_ids, lists of terms, tokens) by batch.
+
+        ``counts`` is an array if it may be broadcast, else a table.
+        """
         k = self.n_topics
-        size = counts.count() * k * 8
-        if size <= COUNT_BYTES:
-            held = counts.toArrow()
-            at = held.column("term_id").to_numpy()
-            dense = np.zeros((int(at.max(initial=-1)) + 2, k))
-            dense[at] = held.column("n").combine_chunks().flatten().to_numpy().reshape(-1, k)
-            sent, source = state.sparkSession.sparkContext.broadcast(dense), state.withColumn("of", F.lit(None).cast("array<array<bigint>>"))
+        if isinstance(counts, np.ndarray):
+            sent, source = state.sparkSession.sparkContext.broadcast(counts), state.withColumn("of", F.lit(None).cast("array<array<bigint>>"))
         else:
             sent = None
             exploded = state.select("doc_id", "z", F.posexplode("terms").alias("pos", "term_id")).join(counts, "term_id", "left")
@@ -145,15 +151,18 @@ class LatentDirichletAllocation:
         start = F.transform("terms", lambda t, i: F.pmod(F.xxhash64(F.col("doc_id"), i, F.lit(seed)), F.lit(k)).cast("int"))
         state = materialize(self.rows(dtm, ids).withColumn("z", start), "lda-state")
         out = T.StructType([state.schema["doc_id"], *T._parse_datatype_string("terms array<long>, z array<int>")])
-        beta_sum = self.topic_word_prior * (ids.count() if self.per_term_normalizer else k)
+        n_terms = ids.count()
+        small = n_terms * k * 8 <= COUNT_BYTES
+        take = lambda state: self._dense(self._counts(state)) if small else materialize(self._counts(state), "lda-counts")
+        beta_sum = self.topic_word_prior * (n_terms if self.per_term_normalizer else k)
         before, self.trace = float("-inf"), []
+        counts = take(state)
         for i in range(1, n_iter + 1):
-            counts = materialize(self._counts(state), "lda-counts")
-            totals = self._totals(counts)
             source, read = self._with_counts(state, counts)
-            state = materialize(source.mapInArrow(self._iteration(read, totals, beta_sum, i), out), "lda-state")
+            state = materialize(source.mapInArrow(self._iteration(read, self._totals(counts), beta_sum, i), out), "lda-state")
+            counts = take(state)
             if i % check_every == 0:
-                now = self._likelihood(materialize(self._counts(state), "lda-counts"), beta_sum)
+                now = self._likelihood(counts, beta_sum)
                 self.trace.append((i, now))
                 log.info("topic model: iteration %d, pseudo log-likelihood %.3f", i, now)
                 if before > float("-inf") and before / now - 1 < tol:
@@ -173,13 +182,19 @@ class LatentDirichletAllocation:
 
         return run
 
-    def _totals(self, counts: DataFrame) -> np.ndarray:
+    def _totals(self, counts: DataFrame | np.ndarray) -> np.ndarray:
+        if isinstance(counts, np.ndarray):
+            return counts.sum(axis=0)
         return np.array(counts.agg(*(F.coalesce(F.sum(F.get("n", F.lit(k))), F.lit(0)) for k in range(self.n_topics))).first(), float)
 
-    def _likelihood(self, counts: DataFrame, beta_sum: float) -> float:
-        cell = F.aggregate("n", F.lit(0.0), lambda s, x: s + F.when(x > 0, x * F.ln(x + self.topic_word_prior)).otherwise(F.lit(0.0)))
+    def _likelihood(self, counts: DataFrame | np.ndarray, beta_sum: float) -> float:
         totals = self._totals(counts)
-        return float(counts.agg(F.coalesce(F.sum(cell), F.lit(0.0))).first()[0] - (totals * np.log(totals + beta_sum)).sum())
+        if isinstance(counts, np.ndarray):
+            cells = float((counts * np.log(np.where(counts > 0, counts + self.topic_word_prior, 1.0))).sum())
+        else:
+            cell = F.aggregate("n", F.lit(0.0), lambda s, x: s + F.when(x > 0, x * F.ln(x + self.topic_word_prior)).otherwise(F.lit(0.0)))
+            cells = float(counts.agg(F.coalesce(F.sum(cell), F.lit(0.0))).first()[0])
+        return cells - float((totals * np.log(totals + beta_sum)).sum())
 
     def transform(self, dtm: DataFrame, ids: DataFrame) -> DataFrame:
         """(doc_id, topics): shares from the last ``n_iter_inference`` samples with frozen term counts; all in one pass."""
@@ -189,7 +204,7 @@ class LatentDirichletAllocation:
         start = F.transform("terms", lambda t, i: F.pmod(F.xxhash64(F.col("doc_id"), i, F.lit(seed)), F.lit(k)).cast("int"))
         state = self.rows(dtm, ids).withColumn("z", start)
 
-        source, read = self._with_counts(state, self.counts)
+        source, read = self._with_counts(state, self._dense(self.counts) if self.counts.count() * k * 8 <= COUNT_BYTES else self.counts)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc_ids, _, tokens in read(batches):
