@@ -260,6 +260,21 @@ def test_wide_rows_cross_product(spark, monkeypatch):
     assert cells_of(vectorize.cross_product(m), "i", "j") == dict(want)
 
 
+def test_merging_on_numbers_brute_force():
+    """Random phrase sets and texts: the kernel gives what the fold over strings gives."""
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    for _ in range(200):
+        words = list("abc")
+        phrases = {"_".join(rng.choice(words) for _ in range(rng.randint(2, 4))) for _ in range(rng.randint(0, 9))} | ({"___a"} if rng.random() < 0.3 else set())
+        docs = [[rng.choice(words) for _ in range(rng.randint(0, 9))] for _ in range(12)] + [None]
+        batch = pa.record_batch([pa.array(docs, pa.list_(pa.string()))], ["tokens"])
+        for part in (batch, batch.slice(3, 7)):
+            got = collocations._merged(part, phrases, "_").to_pylist()
+            assert got == [collocations.collapse(d or [], phrases, "_") for d in part.column("tokens").to_pylist()]
+
+
 def test_collapse():
     phrases = {"c_te", "d_ivoire", "c_te_d_ivoire"}
     for text, want in (("c te d 2 2", "c_te d 2 2"), ("c te d ivoire 2", "c_te_d_ivoire 2"), ("c te d ivoire", "c_te_d_ivoire")):
