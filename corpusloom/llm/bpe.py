@@ -10,7 +10,8 @@ rows, spines and the labels' byte tree are arrays (``Tables``), compiled once an
 
 In this automaton every string has exactly one path.  Reading bytes, the subset construction makes
 it deterministic: a subset holds (state, place within a label) for all labels under way, and as every prefix
-has one path too, exactly one label ends at each byte.  A cell of the byte table is (next subset, that label);
+has one path too, exactly one label ends at each byte.  Subsets are minimised: within a label, states that lead to the
+same labels are one, and places that lead to none are dropped.  A cell of the byte table is (next subset, that label);
 cells are made on first use and kept up to CELLS.  Encoding walks the table one byte at a time, never
 stepping back, and reads the path off the labels from the word's end.  Decoding emits the labels of the arcs.
 
@@ -27,6 +28,7 @@ Defined results
 from __future__ import annotations
 
 import gc
+import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
@@ -46,6 +48,8 @@ _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 #: A symbol right before a full stop or comma at which a text is cut: the two are one word.
 _MEET = re.compile(r"[.,](?<=[^\w\s][.,]|_[.,])[ \n]")
+#: Labels below a node up to which states are told apart there by these labels alone.
+FEW = 64
 #: Words (and parts) kept per worker; beyond it the store starts afresh.
 KEPT = 1 << 17
 #: Cells of the byte table kept per worker; beyond it the table starts afresh.
@@ -73,9 +77,12 @@ class Tables:
     tree_key: np.ndarray  # node << 8 | byte of every edge of the byte tree
     tree_child: np.ndarray
     tree_label: np.ndarray  # node -> token, or -1
+    below_at: np.ndarray  # node -> labels that end below it, where they are FEW at most
+    below_label: np.ndarray
     label_at: np.ndarray  # token -> bytes
     label_bytes: bytes
     added: dict[str, int]
+    name: str  # digest of what was compiled
 
 
 def _rows(found: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,9 +151,16 @@ def compile_merges(vocab: dict[str, int], merges: list[tuple[str, str]], added:
                     labels.append(-1)
                 node = nodes[key]
             labels[node] = i
+    inside: list[list[int] | None] = [[] for _ in labels]
+    for key, node in zip(reversed(keys), reversed(children), strict=True):  # deeper nodes first
+        parent, own = inside[key >> 8], inside[node]
+        if parent is not None:
+            more = None if own is None else own + ([labels[node]] if labels[node] >= 0 else [])
+            inside[key >> 8] = None if more is None or len(parent) + len(more) > FEW else parent + more
+    below = [x or [] for x in inside]
     text = {i: raw[name] for name, i in vocab.items()} | {i: x.encode() for x, i in added.items()}
     spelled = [text.get(i, b"") for i in range(size)]
-    return Tables(class_of, *_rows([sorted(x) for x in classes]), *_rows(left), np.array(keys, np.int64), np.array(children, np.int32), np.array(labels, np.int32), np.cumsum([0, *map(len, spelled)], dtype=np.int64), b"".join(spelled), added)
+    return Tables(class_of, *_rows([sorted(x) for x in classes]), *_rows(left), np.array(keys, np.int64), np.array(children, np.int32), np.array(labels, np.int32), np.cumsum([0, *map(len, below)], dtype=np.int64), np.array([x for own in below for x in own], np.int32), np.cumsum([0, *map(len, spelled)], dtype=np.int64), b"".join(spelled), added, hashlib.md5(repr((list(vocab.items()), merges, added)).encode()).hexdigest())
 
 
 class Automaton:
@@ -175,6 +189,8 @@ class Automaton:
         self.cells: dict[int, tuple[int, int]] = {}
         self._subsets = [self._start]
         self._number = {self._start: 0}
+        self._like: dict[int, int] = {}
+        self._shown: dict[tuple[int, int], int] = {}
         self._place(keep)
 
     def _place(self, subset: tuple) -> int:
@@ -201,6 +217,20 @@ class Automaton:
                 return False
         return True
 
+    def like(self, state: int, node: int) -> int:
+        """The state that stands for ``state`` at a place within labels: all states that lead to the same labels from there are one; -1 if none is left."""
+        key = state << 32 | node
+        found = self._like.get(key)
+        if found is None:
+            found, i, j = state, *self.tables.below_at[node : node + 2].tolist()
+            if i < j:
+                left = 0
+                for k, label in enumerate(self.tables.below_label[i:j].tolist()):
+                    left |= self.fits(state, label) << k
+                found = -1 if not left else 0 if left == (1 << j - i) - 1 else self._shown.setdefault((node, left), state)
+            self._like[key] = found
+        return found
+
     def step(self, at: int, byte: int) -> tuple[int, int]:
         """Make one cell: the row of the subset that follows, and the label that ends here."""
         subset, done, under_way = self._subsets[at], -1, []
@@ -212,7 +242,9 @@ class Automaton:
             if label >= 0 and done < 0 and self.fits(state, label):
                 done = label
             if self._inner[node]:
-                under_way.append((state, node))
+                state = self.like(state, node) if state else 0
+                if state >= 0:
+                    under_way.append((state, node))
         if done < 0:
             raise ValueError(f"no path for byte {byte}")
         under_way.append((self._class[done], 0))
@@ -239,6 +271,9 @@ class Automaton:
             n -= length[path[-1]]
         return tuple(path[::-1])
 
+    def forget_words(self) -> None:
+        self._words = {}
+
     def pieces(self, text: str) -> list[int]:
         """Ids of a text without special strings."""
         out: list[int] = []
@@ -277,6 +312,18 @@ def compiled(path: str) -> Tables:
     return compile_merges(spec["model"]["vocab"], merges, added)
 
 
+#: The automaton that this worker walked last: its byte table is good for the next task too.
+_WALKED: dict[str, Automaton] = {}
+
+
+def walker(tables: Tables) -> Automaton:
+    """The automaton of compiled tables, with the cells that earlier tasks of this worker made."""
+    if tables.name not in _WALKED:
+        _WALKED.clear()
+        _WALKED[tables.name] = Automaton(tables)
+    return _WALKED[tables.name]
+
+
 #: ids as decimals joined by commas, bytes of the labels
 Coded = tuple[bytes, bytes]
 #: A part that cannot be coded by itself: the split looks beyond it.
@@ -299,7 +346,7 @@ class Codec:
     """
 
     def __init__(self, tables: Tables):
-        self.auto = Automaton(tables)
+        self.auto = walker(tables)
         #: newer and older generation, of parts beside marks and of parts beside spaces
         self.stores: dict[str, list[dict[str, Coded]]] = {"bare": [{}, {}], "spaced": [{}, {}]}
         self.decimal = [str(i).encode() for i in range(len(self.auto.label))]
@@ -393,7 +440,9 @@ def map_codes(docs: DataFrame, path: str, make: Callable[[Coded], tuple], column
                 rows = [make(coder.encode(x or "")) for x in part.column("text").to_pylist()]
                 made = [pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), list(arrow)[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *made], schema=arrow)
-        del coder  # the worker lives on for other stages: leave them the memory
+        if coder:  # the worker lives on for other stages: leave them the memory, but for the byte table
+            coder.auto.forget_words()
+        del coder
         gc.collect()
         give_back()
 
@@ -414,7 +463,7 @@ def decode(coded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids"
     tables = coded.sparkSession.sparkContext.broadcast(compiled(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = Automaton(tables.value)
+        auto = walker(tables.value)
         for batch in batches:
             texts = [auto.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
