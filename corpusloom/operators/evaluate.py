@@ -84,7 +84,7 @@ def analogies(questions: DataFrame, vectors: DataFrame) -> DataFrame:
         asked = asked.join(scaled.select(F.col("id").alias(k), F.col("v").alias(f"v{k}")), k)
     target = F.zip_with(F.zip_with("vb", "vc", lambda x, y: x + y), "va", lambda x, y: x - y)
     queries = asked.select(F.col("question").cast("long").alias("id"), target.alias("v"))
-    # the best four of a slice hold one that is none of a, b, c
+    # the best four of a task hold one that is none of a, b, c
     close = similarity.dense(queries, scaled, "cosine", "l2", top=4).withColumnRenamed("x_id", "question")
     free = close.join(questions.select("question", "a", "b", "c"), "question").filter("y_id <> a AND y_id <> b AND y_id <> c")
     best = free.groupBy("question").agg(F.max(F.struct("value", -F.col("y_id"))).alias("best"))

@@ -225,6 +225,20 @@ def test_dense_in_blocks(spark, monkeypatch):
         assert [sims[i, near[(i, k)]] for k in (1, 2, 3)] == pytest.approx([sims[i, j] for j in order])
 
 
+def test_top_keeps_k_rows_a_task(spark, monkeypatch):
+    """However small the slices and however many rows tie, a task hands on the best k of each query."""
+    monkeypatch.setattr(similarity, "MADE", 20)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 4))
+    x[20:40] = x[3]
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>").coalesce(1)
+    for method, sign in (("cosine", -1), ("euclidean", 1)):
+        whole = similarity.dense(rows, rows, method, "none").collect()
+        want = {(q, r["y_id"]) for q in range(60) for r in sorted((r for r in whole if r["x_id"] == q), key=lambda r: (sign * round(r["value"], 9), r["y_id"]))[:4]}
+        kept = similarity.dense(rows, rows, method, "none", top=4).collect()
+        assert len(kept) == 240 and {(r["x_id"], r["y_id"]) for r in kept} == want
+
+
 @pytest.mark.parametrize("vector_bytes", [128 << 20, 0])
 def test_rwmd_brute_force(spark, monkeypatch, vector_bytes):
     monkeypatch.setattr(rwmd, "VECTOR_BYTES", vector_bytes)
