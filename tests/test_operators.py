@@ -208,6 +208,18 @@ def test_similarity_in_blocks(spark, monkeypatch):
     assert similarity.sim2(m.limit(0), m).count() == 0 and similarity.sim2(m, m.limit(0), "jaccard").count() == 0
 
 
+def test_blocks_are_not_written(spark, monkeypatch):
+    """Pairs of many blocks of queries go straight to the reader: only the rows are laid aside."""
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 60)
+    aside = []
+    monkeypatch.setattr(similarity, "materialize", lambda df, label, keep=similarity.materialize: aside.append(label) or keep(df, label))
+    m = spark.createDataFrame([(i, c, 1.0) for i in range(12) for c in "ab"], "doc_id long, column string, value double")
+    for method in ("cosine", "jaccard"):
+        found = similarity.sim2(m, method=method)
+        assert found.count() == 144 and all(r["sim"] == pytest.approx(1) for r in found.collect())
+    assert aside == ["sparse-rows", "sparse-rows"]
+
+
 def test_dense_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK_BYTES", 200)
     monkeypatch.setattr(similarity, "MADE", 20)
