@@ -269,6 +269,34 @@ def test_rwmd_brute_force(spark, monkeypatch, vector_bytes):
     assert got == pytest.approx(want)
 
 
+def test_pairs_leave_in_small_batches(spark, monkeypatch):
+    """A task makes few pairs at a time, whatever the length of its batch; the sums are the same."""
+    docs = random_docs(40, 11)
+    v = vectorize.VocabVectorizer(vocabulary.create_vocabulary(tokens_of(spark, docs)))
+    made = lambda binary: cells_of(vectorize.create_tcm(tokens_of(spark, docs), v, 3, binary=binary), "i", "j")
+    whole = [made(b) for b in (False, True)]
+    sizes = []
+    monkeypatch.setattr(vectorize, "MADE", 12)
+    monkeypatch.setattr(vectorize, "BATCH_ROWS", 3)
+    assert [made(b) for b in (False, True)] == whole
+    rows = np.repeat(np.arange(9), [3, 1, 9, 1, 1, 1, 5, 2, 2])
+    for at in vectorize._arrays.row_ranges(rows, 4):
+        sizes.append(at.stop - at.start)
+        assert at.start == 0 or rows[at.start] != rows[at.start - 1]
+    assert sizes == [4, 9, 3, 5, 4]
+
+
+def test_dtm_shuffles_once(spark):
+    """One row a document travels, and what goes by document stays where it is; rows of one document are summed."""
+    own = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["zz"]), (1, ["a"]), (3, [])], "doc_id long, tokens array<string>")
+    v = vocabulary.vocabulary_of_terms(spark.createDataFrame([("a",), ("b",)], "term string"))
+    m = vectorize.create_dtm(own, vectorize.VocabVectorizer(v))
+    assert cells_of(m) == {(1, "a"): 3.0, (1, "b"): 1.0}
+    normed = matrix.normalize(m, "l1")
+    assert normed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert cells_of(normed) == {(1, "a"): 0.75, (1, "b"): 0.25}
+
+
 def test_ranges_count_absent_cells(spark):
     m = spark.createDataFrame([(1, "a", 3.0), (2, "a", 4.0), (1, "b", -3.0), (1, "c", 5.0)], "doc_id long, column string, value double")
     got = {r["column"]: (r["least"], r["most"]) for r in matrix.column_range(m, 2).collect()}
