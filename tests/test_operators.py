@@ -269,6 +269,26 @@ def test_rwmd_brute_force(spark, monkeypatch, vector_bytes):
     assert got == pytest.approx(want)
 
 
+def test_cross_product_sums_frequent_terms_in_a_table(spark, monkeypatch):
+    """The same counts whether pairs lie in the table, outside it or across, and no pair is handed on twice by a task."""
+    docs = random_docs(30, 9)
+    m = vectorize.create_dtm(tokens_of(spark, docs), vectorize.VocabVectorizer(vocabulary.create_vocabulary(tokens_of(spark, docs))))
+    want = dict(Counter((a, b) for t in docs.values() for a in set(t.split()) for b in set(t.split())))
+    for terms in (0, 3, 4096):
+        monkeypatch.setattr(vectorize, "TABLE_TERMS", terms)
+        assert cells_of(vectorize.cross_product(m), "i", "j") == want
+
+
+def test_word_vector_tasks_follow_the_vocabulary(spark, monkeypatch):
+    """Every task hands back all factors, so a wide vocabulary has more cells a task."""
+    monkeypatch.setattr(glove, "PART_CELLS", 10)
+    cells = spark.createDataFrame([(i, j, 1.0 + i) for i in range(20) for j in range(i, 20)], "i int, j int, value double")
+    tasks = []
+    monkeypatch.setattr(glove, "materialize", lambda df, label, keep=glove.materialize: tasks.append((label, keep(df, label))) or tasks[-1][1])
+    glove.GloVe(2).fit_transform(cells, 20, 1)
+    assert dict(tasks)["glove-epoch"].count() == 1  # 210 cells, 32 * 20 a task; 21 tasks at 10 cells a task
+
+
 def test_pairs_leave_in_small_batches(spark, monkeypatch):
     """A task makes few pairs at a time, whatever the length of its batch; the sums are the same."""
     docs = random_docs(40, 11)
@@ -297,6 +317,18 @@ def test_dtm_shuffles_once(spark):
     assert cells_of(normed) == {(1, "a"): 0.75, (1, "b"): 0.25}
 
 
+def test_rwmd_best_matches_are_made_once_a_block(spark, monkeypatch):
+    """One table a block of queries, bounded by BEST_BYTES, whatever the number of tasks."""
+    monkeypatch.setattr(rwmd, "BEST_BYTES", 8 * 3 * 2)
+    tables = []
+    keep = rwmd.RelaxedWordMovers._table
+    monkeypatch.setattr(rwmd.RelaxedWordMovers, "_table", staticmethod(lambda *args: tables.append(keep(*args)) or tables[-1]))
+    e = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0]), ("z", [1.0, 1.0])], "column string, v array<double>")
+    m = spark.createDataFrame([(i, "xyz"[i % 3], 1.0) for i in range(5)], "doc_id long, column string, value double").repartition(4)
+    got = rwmd.RelaxedWordMovers(m, e).sim2(m)
+    assert got.count() == 25 and [t.shape for t in tables] == [(3, 2), (3, 2), (3, 1)]
+
+
 def test_ranges_count_absent_cells(spark):
     m = spark.createDataFrame([(1, "a", 3.0), (2, "a", 4.0), (1, "b", -3.0), (1, "c", 5.0)], "doc_id long, column string, value double")
     got = {r["column"]: (r["least"], r["most"]) for r in matrix.column_range(m, 2).collect()}
