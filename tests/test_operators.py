@@ -329,6 +329,14 @@ def test_rwmd_best_matches_are_made_once_a_block(spark, monkeypatch):
     assert got.count() == 25 and [t.shape for t in tables] == [(3, 2), (3, 2), (3, 1)]
 
 
+def test_vocabulary_counts_before_the_shuffle(spark):
+    """Tokens are not exploded; null and empty ones are no terms, and every row counts as a document."""
+    own = spark.createDataFrame([(1, ["a", "b", "a", None, ""]), (1, ["a"]), (2, None), (3, [])], "doc_id long, tokens array<string>")
+    v = vocabulary.create_vocabulary(own)
+    assert "Generate" not in v.terms._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in v.terms.collect()} == {("a", 3, 2), ("b", 1, 1)} and v.document_count == 4
+
+
 def test_ranges_count_absent_cells(spark):
     m = spark.createDataFrame([(1, "a", 3.0), (2, "a", 4.0), (1, "b", -3.0), (1, "c", 5.0)], "doc_id long, column string, value double")
     got = {r["column"]: (r["least"], r["most"]) for r in matrix.column_range(m, 2).collect()}
