@@ -16,14 +16,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import log, materialize
 from . import _arrays
+from .rows import cells_of, column_sums, is_listed, lists, rows_of
 
 COUNT_BYTES = 64 << 20
+#: Tokens that are swept at a time; their arrays stay in a core's cache.
+SWEPT = 1 << 16
 
 
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -89,18 +92,25 @@ class LatentDirichletAllocation:
 
     @staticmethod
     def rows(dtm: DataFrame, ids: DataFrame) -> DataFrame:
-        """(doc_id, terms): a document's term ids, each as often as it occurs."""
-        cells = dtm.join(ids.select(F.col("term").alias("column"), "term_id"), "column").filter("value >= 1")
-        own = F.sort_array(F.collect_list(F.struct("term_id", F.floor("value").cast("int").alias("n"))))
-        listed = cells.groupBy("doc_id").agg(own.alias("cells"))
-        return listed.select("doc_id", F.flatten(F.transform("cells", lambda c: F.array_repeat(c["term_id"], c["n"]))).alias("terms"))
+        """(doc_id, terms): a document's term ids, each as often as it occurs.  dtm: long or listed rows."""
+        listed = rows_of(dtm if is_listed(dtm) else dtm.filter("value >= 1"), ids)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _arrays.slices(batches, "at"):
+                sizes, at, values = cells_of(part)
+                n, row = np.floor(np.maximum(values, 0)).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+                own = np.bincount(row, n, len(sizes)).astype(np.int64)
+                made = pa.record_batch([part.column("doc_id"), *lists(own, np.repeat(at, n).astype(np.int32))], ["doc_id", "terms"])
+                yield made.filter(pa.array(own > 0))
+
+        return listed.select("doc_id", "at", "values").mapInArrow(run, T.StructType([listed.schema["doc_id"], T.StructField("terms", T.ArrayType(T.IntegerType()))]))
 
     def _counts(self, state: DataFrame) -> DataFrame:
         k = self.n_topics
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in _arrays.slices(batches, "terms"):
-                term, z = (part.column(c).flatten().to_numpy().astype(np.int64) for c in ("terms", "z"))
+                _, term, z = cells_of(part, "terms", "z")
                 terms, at = np.unique(term, return_inverse=True)
                 n = np.bincount(at * k + z, minlength=len(terms) * k).reshape(-1, k)
                 yield pa.record_batch([pa.array(terms), *(pa.array(n[:, j]) for j in range(k))], ["term_id", *(f"n{j}" for j in range(k))])
@@ -109,6 +119,22 @@ class LatentDirichletAllocation:
         summed = made.groupBy("term_id").agg(*(F.sum(f"n{j}").alias(f"n{j}") for j in range(k)))
         return summed.select("term_id", F.array(*(F.col(f"n{j}") for j in range(k))).alias("n"))
 
+    def _summed(self, state: DataFrame, width: int) -> np.ndarray:
+        """Counts as an array with a row for each term id, and one of zeros at the end: a task sends one table."""
+        k = self.n_topics
+
+        def of(sizes: np.ndarray, terms: np.ndarray, z: np.ndarray, total: np.ndarray) -> None:
+            for j in range(k):
+                total[:, j] += np.bincount(terms[z == j], minlength=len(total))
+
+        return column_sums(state, width + 1, k, of, "terms", "z")
+
+    def _listed(self, counts: np.ndarray, spark: SparkSession) -> DataFrame:
+        """(term_id, n) of an array of counts, terms that occur alone."""
+        at = np.flatnonzero(counts.any(axis=1))
+        n = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * self.n_topics, pa.int32()), pa.array(counts[at].astype(np.int64).ravel()))
+        return spark.createDataFrame(pa.table({"term_id": pa.array(at.astype(np.int64)), "n": n}))
+
     def _dense(self, counts: DataFrame) -> np.ndarray:
         """Counts as an array with a row for each term id, and one of zeros at the end."""
         held = counts.toArrow()
@@ -133,7 +159,7 @@ class LatentDirichletAllocation:
             source = source.select("doc_id", F.transform("x", lambda x: x["term_id"]).alias("terms"), F.transform("x", lambda x: x["z"]).alias("z"), F.transform("x", lambda x: x["n"]).alias("of"))
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, _Tokens]]:
-            for part in _arrays.slices(batches, "terms"):
+            for part in _arrays.slices(batches, "terms", SWEPT):
                 lists = part.column("terms")
                 sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 terms, z = lists.flatten().to_numpy().astype(np.int64), part.column("z").flatten().to_numpy().astype(np.int64)
@@ -150,10 +176,10 @@ class LatentDirichletAllocation:
         k, seed = self.n_topics, self.seed
         start = F.transform("terms", lambda t, i: F.pmod(F.xxhash64(F.col("doc_id"), i, F.lit(seed)), F.lit(k)).cast("int"))
         state = materialize(self.rows(dtm, ids).withColumn("z", start), "lda-state")
-        out = T.StructType([state.schema["doc_id"], *T._parse_datatype_string("terms array<long>, z array<int>")])
-        n_terms = ids.count()
-        small = n_terms * k * 8 <= COUNT_BYTES
-        take = lambda state: self._dense(self._counts(state)) if small else materialize(self._counts(state), "lda-counts")
+        out = T.StructType([state.schema["doc_id"], *T._parse_datatype_string("terms array<int>, z array<int>")])
+        n_terms, width = ids.agg(F.count("*"), F.coalesce(F.max("term_id"), F.lit(-1)) + 1).first()
+        small = width * k * 8 <= COUNT_BYTES
+        take = lambda state: self._summed(state, width) if small else materialize(self._counts(state), "lda-counts")
         beta_sum = self.topic_word_prior * (n_terms if self.per_term_normalizer else k)
         before, self.trace = float("-inf"), []
         counts = take(state)
@@ -168,7 +194,7 @@ class LatentDirichletAllocation:
                 if before > float("-inf") and before / now - 1 < tol:
                     break
                 before = now
-        self.counts = materialize(self._counts(state), "lda-counts")
+        self.counts = materialize(self._listed(counts, state.sparkSession), "lda-counts") if small else counts
         return self
 
     def _iteration(self, read, totals: np.ndarray, beta_sum: float, i: int):
@@ -178,7 +204,7 @@ class LatentDirichletAllocation:
             for doc_ids, lists, tokens in read(batches):
                 tokens.sweep(totals, alpha, beta, beta_sum, (seed << 20) + i)
                 at = pa.array(np.concatenate([[0], np.cumsum(tokens.sizes)]), pa.int32())
-                yield pa.record_batch([doc_ids, lists.cast(pa.list_(pa.int64())), pa.ListArray.from_arrays(at, pa.array(tokens.z, pa.int32()))], ["doc_id", "terms", "z"])
+                yield pa.record_batch([doc_ids, lists.cast(pa.list_(pa.int32())), pa.ListArray.from_arrays(at, pa.array(tokens.z, pa.int32()))], ["doc_id", "terms", "z"])
 
         return run
 
@@ -214,7 +240,7 @@ class LatentDirichletAllocation:
                     total += np.bincount(tokens.doc * k + tokens.z, minlength=len(total))
                 share = total.reshape(-1, k)
                 share = share / np.maximum(share.sum(axis=1, keepdims=True), 1)
-                yield pa.record_batch([doc_ids, pa.array(share.tolist(), pa.list_(pa.float64()))], ["doc_id", "topics"])
+                yield pa.record_batch([doc_ids, *lists(np.full(len(share), k), share.ravel())], ["doc_id", "topics"])
 
         return source.mapInArrow(run, T.StructType([state.schema["doc_id"], *T._parse_datatype_string("topics array<double>")]))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import _arrays, collocations, evaluate, glove, lda, lsa, matrix, ranking, rwmd, similarity, vectorize, verbs, vocabulary, weighting
+from corpusloom.operators import _arrays, collocations, evaluate, glove, lda, lsa, matrix, ranking, rows, rwmd, similarity, vectorize, verbs, vocabulary, weighting
 
 DOCS = {1: "a b c a", 2: "b c d", 3: "", 4: "a a a b b", 5: "the a b"}
 
@@ -424,6 +424,44 @@ def test_lsa(spark):
     assert model.transform(m).count() == sum(1 for t in docs.values() if t)
 
 
+@pytest.mark.parametrize("held_bytes", [1 << 28, 0])
+def test_lsa_on_listed_rows(spark, monkeypatch, held_bytes):
+    """Rows listed from tokens, the decomposition by passes over them, with and without starting again; no job is made a vector."""
+    monkeypatch.setattr(lsa, "HELD_BYTES", held_bytes)
+    rng = np.random.default_rng(3)
+    docs = {i: " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 30) % 60) for i in range(80)} | {80: ""}
+    v = vocabulary.create_vocabulary(tokens_of(spark, docs))
+    ids = v.with_ids().select("term", "term_id")
+    own = rows.create_rows(tokens_of(spark, docs), v, ids)
+    m = weighting.TfIdf().fit_transform(vectorize.create_dtm(tokens_of(spark, docs), vectorize.VocabVectorizer(v)), len(docs))
+    weighted = rows.tf_idf(own, ids.count(), len(docs))
+    at = {r["term"]: r["term_id"] for r in ids.collect()}
+    x = np.zeros((81, len(at)))
+    for (d, t), n in cells_of(m).items():
+        x[d, at[t]] = n
+    got = np.zeros_like(x)
+    for r in weighted.collect():
+        got[r["doc_id"], r["at"]] = r["values"]
+    assert got == pytest.approx(x)
+    model = lsa.LatentSemanticAnalysis(4).fit(weighted, ids, len(docs))
+    assert model.singular == pytest.approx(np.linalg.svd(x, compute_uv=False)[:4], rel=1e-9)
+    assert model.passes < 40 and model.total_variance == pytest.approx(x.var(axis=0).sum())
+    assert model.explained == pytest.approx((x @ model.loadings).var(axis=0))
+    long, listed = ({r["doc_id"]: r["topics"] for r in model.transform(y).collect()} for y in (m, weighted))
+    assert listed.keys() == long.keys() and all(listed[k] == pytest.approx(long[k]) for k in long)
+
+
+def test_rows_of_one_document_are_added(spark, monkeypatch):
+    own = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["zz"]), (1, ["a", "c"]), (3, None), (4, ["c"])], "doc_id long, tokens array<string>")
+    v = vocabulary.vocabulary_of_terms(spark.createDataFrame([("a",), ("b",), ("c",)], "term string"))
+    ids = spark.createDataFrame([("a", 2), ("b", 0), ("c", 1)], "term string, term_id long")
+    found = lambda: {r["doc_id"]: (r["at"], r["values"]) for r in rows.create_rows(own, v, ids).collect()}
+    whole = found()
+    assert whole == {1: ([0, 1, 2], [1.0, 1.0, 3.0]), 4: ([1], [1.0])}
+    monkeypatch.setattr(_arrays, "TERM_BYTES", 0)
+    assert found() == whole
+
+
 def test_lda_counts_and_perplexity(spark):
     docs = {i: ("apple pear fig " if i % 2 else "bolt nut gear ") * 6 for i in range(30)}
     v = vocabulary.create_vocabulary(tokens_of(spark, docs))
