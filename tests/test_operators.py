@@ -369,6 +369,39 @@ def test_merging_on_numbers_brute_force():
             assert got == [collocations.collapse(d or [], phrases, "_") for d in part.column("tokens").to_pylist()]
 
 
+def test_neighbours_are_numbers_and_rare_pairs_stay_behind(spark, monkeypatch):
+    """Pairs of known terms by brute force, whatever is summed at a time, and the same by strings; rare ones are dropped before they are written."""
+    docs = {**random_docs(30, 5), 99: "x y x y x y"}
+    terms = spark.createDataFrame([(t,) for t in sorted({w for t in docs.values() for w in t.split()})[1:]], "term string")
+    known, want = {r["term"] for r in terms.collect()}, Counter()
+    for t in docs.values():
+        ws = t.split()
+        want.update((w, None) for w in ws if w in known)
+        want.update(p for p in zip(ws, ws[1:]) if set(p) <= known)
+    want = {k: n for k, n in want.items() if n >= 3 or k[1] is None}
+    found = lambda: {(r["prefix"], r["suffix"]): r["n"] for r in collocations._neighbours(tokens_of(spark, docs), terms, 3).collect()}
+    assert found() == want
+    monkeypatch.setattr(collocations, "PAIRS", 4)
+    assert found() == want
+    monkeypatch.setattr(_arrays, "TERM_BYTES", 0)
+    assert found() == want
+
+
+def test_psim_and_counts_by_on_numbers(spark):
+    """Row-wise similarity of listed rows is that of the long form; counts by language need no join with the documents."""
+    docs = random_docs(20, 6)
+    v = vocabulary.create_vocabulary(tokens_of(spark, docs))
+    ids = v.with_ids().select("term", "term_id")
+    m = vectorize.create_dtm(tokens_of(spark, docs), vectorize.VocabVectorizer(v))
+    own = rows.create_rows(tokens_of(spark, docs), v, ids)
+    ones = rows.mapped(own, lambda sizes, at, values: np.ones(len(at)))
+    got = {r["doc_id"]: r["sim"] for r in similarity.psim2(own, ones).collect()}
+    assert got == pytest.approx({r["doc_id"]: r["sim"] for r in similarity.psim2(m, m.withColumn("value", F.lit(1.0))).collect()})
+    spoken = tokens_of(spark, docs).withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("l"), F.col("doc_id") % 3)))
+    want = Counter((None if d % 3 == 0 else f"l{d % 3}", w) for d, t in docs.items() for w in t.split())
+    assert {(r["doc_id"], r["term"]): r["n"] for r in vocabulary.counts_by(spoken).collect()} == want
+
+
 def test_collapse():
     phrases = {"c_te", "d_ivoire", "c_te_d_ivoire"}
     for text, want in (("c te d 2 2", "c_te d 2 2"), ("c te d ivoire 2", "c_te_d_ivoire 2"), ("c te d ivoire", "c_te_d_ivoire")):
