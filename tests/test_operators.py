@@ -237,6 +237,34 @@ def test_dense_in_blocks(spark, monkeypatch):
         assert [sims[i, near[(i, k)]] for k in (1, 2, 3)] == pytest.approx([sims[i, j] for j in order])
 
 
+def test_rounded_pairs_leave_in_order(spark, monkeypatch, tmp_path):
+    """All pairs with the values that rounding each gives, ordered by value within a grid, so that they take half the bytes; odd values are kept."""
+    from corpusloom.plans.registry import rounded
+
+    rng = np.random.default_rng(6)
+    x = 1 + 0.3 * rng.normal(size=(6000, 8))
+    x[5], x[6], x[7] = -x[9], 0.0, x[9]
+    frame = lambda a: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(a)], "id long, v array<double>").coalesce(1)
+    size = lambda df, name: df.write.parquet(f"{tmp_path}/{name}") or sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet"))
+    rows, queries = frame(x), frame(x[:300])
+    plain = similarity.dense(queries, rows).withColumn("value", rounded("value"))
+    made = similarity.dense(queries, rows, digits=6)
+    assert size(made, "made") < 0.6 * size(plain, "plain")
+    monkeypatch.setattr(similarity, "GRID", 1 << 10)
+    monkeypatch.setattr(similarity, "GRID_QUERIES", 7)
+    monkeypatch.setattr(similarity, "MADE", 64)
+    spread = rng.normal(size=(60, 3)) * np.array([[1e-7], [1.0], [1e14]])[np.arange(60) % 3]
+    spread[8] = -spread[2]
+    few, bad = frame(x[:40]), frame(np.vstack([spread, np.full((1, 3), np.nan)]))
+    for rows in (few, bad, frame(spread)):
+        for method, norm in (("cosine", "l2"), ("cosine", "none"), ("euclidean", "none")):
+            of = lambda df: {(r["x_id"], r["y_id"]): str(r["value"]) for r in df.collect()}
+            want = of(similarity.dense(rows, rows, method, norm).withColumn("value", F.expr("signum(value) * if(isnan(value) or abs(value) > 1e12, abs(value), floor(abs(value) * 1e6 + 0.5) / 1e6)")))
+            got = of(similarity.dense(rows, rows, method, norm, digits=6))
+            near = {k for k in want if want[k] != got[k] and not abs(float(want[k]) - float(got[k])) <= 1e-9 * abs(float(want[k])) + 1.1e-6}
+            assert len(got) == rows.count() ** 2 and got.keys() == want.keys() and not near
+
+
 def test_top_keeps_k_rows_a_task(spark, monkeypatch):
     """However small the slices and however many rows tie, a task hands on the best k of each query."""
     monkeypatch.setattr(similarity, "MADE", 20)
