@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -430,6 +431,32 @@ def test_psim_and_counts_by_on_numbers(spark):
     assert {(r["doc_id"], r["term"]): r["n"] for r in vocabulary.counts_by(spoken).collect()} == want
 
 
+def test_words_of_texts(spark, monkeypatch):
+    """Kernels find the words that the JVM's tokenizer finds, and count them alike by language and for the vocabulary, in one pass."""
+    from corpusloom.functions import text as fn
+    from corpusloom.sources.documents import texts, tokens
+
+    monkeypatch.setattr(_arrays, "TEXT_BYTES", 200)
+    monkeypatch.setattr(_arrays, "WORDS", 40)
+    rng = random.Random(8)
+    alphabet = [*"ab1_.,;':·’ \n\tÉ٣ß", "̈", "文", "𝒳", "𝟙", "\0", "\ufffd", "½"]
+    held = [(i, rng.choice(["de", "en", None]), "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30)))) for i in range(600)] + [(600, "de", None), (601, None, "")]
+    docs = spark.createDataFrame(held, "doc_id long, lang string, text string")
+    want = {r["doc_id"]: r["tokens"] for r in tokens(docs, F.lower, fn.word_tokens).collect()}
+    lower = {r["doc_id"]: r["text"] for r in texts(docs, F.lower).collect()}
+    got = _arrays.words(pa.array([lower[i] for i in range(602)], pa.string()), fn.word_classes(spark)).to_pylist()
+    assert got == [want[i] for i in range(602)]
+    assert _arrays.words(pa.array([], pa.string()), fn.word_classes(spark)).to_pylist() == []
+    counts = {(r["doc_id"], r["term"]): (r["n"], r["d"]) for r in vocabulary.counts_by(texts(docs, F.lower, "lang")).collect()}
+    lang = {i: x for i, x, _ in held}
+    n, d = Counter((lang[i], w) for i in want for w in want[i]), Counter((lang[i], w) for i in want for w in set(want[i]))
+    assert counts == {k: (n[k], d[k]) for k in n}
+    whole = vocabulary.create_vocabulary(tokens(docs, F.lower, fn.word_tokens))
+    assert terms_of(vocabulary.vocabulary_of_counts(vocabulary.counts_by(texts(docs, F.lower, "lang")), 602)) == terms_of(whole) == terms_of(vocabulary.create_vocabulary(texts(docs, F.lower)))
+    few = vocabulary.vocabulary_of_terms(whole.terms.filter("doc_count > 2").select("term"))
+    assert cells_of(vectorize.create_dtm(texts(docs, F.lower), vectorize.VocabVectorizer(few))) == cells_of(vectorize.create_dtm(tokens(docs, F.lower, fn.word_tokens), vectorize.VocabVectorizer(few)))
+
+
 def test_collapse():
     phrases = {"c_te", "d_ivoire", "c_te_d_ivoire"}
     for text, want in (("c te d 2 2", "c_te d 2 2"), ("c te d ivoire 2", "c_te_d_ivoire 2"), ("c te d ivoire", "c_te_d_ivoire")):
