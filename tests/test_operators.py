@@ -431,6 +431,21 @@ def test_psim_and_counts_by_on_numbers(spark):
     assert {(r["doc_id"], r["term"]): r["n"] for r in vocabulary.counts_by(spoken).collect()} == want
 
 
+def test_rows_meet_what_is_made_of_them_in_place(spark):
+    """Similarity of listed rows and a mapping of them: that of the join, without an exchange; rows of one document are added up first."""
+    docs = random_docs(30, 9)
+    held = spark.createDataFrame([(k // 2, v.split()) for k, v in docs.items()], "doc_id long, tokens array<string>")
+    for own in (tokens_of(spark, docs), held):
+        v = vocabulary.create_vocabulary(own)
+        m = rows.create_rows(own, v, v.with_ids().select("term", "term_id"))
+        for method, of in (("cosine", lambda sizes, at, values: np.ones(len(at))), ("jaccard", lambda sizes, at, values: (values > 1).astype(float)), ("cosine", lambda sizes, at, values: values - 1)):
+            made = similarity.psim_mapped(m, of, method)
+            plan = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+            assert plan(made) == plan(m.select("doc_id", "at", "values"))
+            want = {r["doc_id"]: r["sim"] for r in similarity.psim2(m, rows.mapped(m, of), method).collect()}
+            assert {r["doc_id"]: r["sim"] for r in made.collect()} == pytest.approx(want) and len(want) > 10
+
+
 def test_words_of_texts(spark, monkeypatch):
     """Kernels find the words that the JVM's tokenizer finds, and count them alike by language and for the vocabulary, in one pass."""
     from corpusloom.functions import text as fn
